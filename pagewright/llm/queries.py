@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, language, lookalike, mixture, personal, secrets, shared_spans, tokens
+from . import encoding, language, lookalike, mixture, personal, scanned, secrets, shared_spans, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,8 @@ QUERIES: dict[str, Query] = {
     "p4_redacted": _over(secrets.redacted, "sources", "env_refs"),
     "p5_found": _over(personal.found, "elements", "nodes", "given_names"),
     "p5_redacted": _over(personal.redacted, "elements", "nodes", "given_names"),
+    "p6_found": _over(scanned.found, "elements", "nodes", "extract_pages"),
+    "p6_text": _over(scanned.paragraphs, "elements", "nodes", "extract_pages"),
     "p7_found": _over(encoding.found, "elements"),
     "p7_restored": _over(encoding.restored, "elements"),
     "p8_ids": _over(tokens.encoded, "documents"),
