@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, language, lookalike, mixture, personal, scanned, secrets, shared_spans, tokens
+from . import encoding, language, lookalike, mixture, parsing, personal, scanned, secrets, shared_spans, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,9 @@ QUERIES: dict[str, Query] = {
     "p1_found": _over(lookalike.same_reading, "elements", "nodes"),
     "p1_edits": _over(lookalike.real_edits, "elements", "nodes"),
     "p1_consistent": _over(lookalike.consistent, "elements", "nodes"),
+    "p2_found": _over(parsing.found, "sources"),
+    "p2_rates": _over(parsing.rates, "sources"),
+    "p2_diagnostics": _over(parsing.against_diagnostics, "sources", "diagnostics"),
     "p3_found": _over(language.mislabelled_spans, "nodes", "ocr_jobs", "documents", "lang_codes"),
     "p3_spans": _over(language.span_languages, "nodes", "ocr_jobs", "documents", "lang_codes"),
     "p3_documents": _over(language.document_languages, "nodes", "ocr_jobs", "documents", "lang_codes"),
