@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou, overlaps, touches
+from ..functions.grouped import by_group
 from ..functions.udf import ratio
 
 PAGE = ["doc_id", "page_no"]
@@ -58,12 +59,12 @@ def reconciled(native: DataFrame, ocr: DataFrame) -> DataFrame:
     """(doc_id, page_no, source, node_no): native nodes, and the OCR nodes that repeat no primary native one.
 
     An OCR node repeats it at a similarity of 0.70, or 0.40 with half the area in common.  Both
-    inputs have node_no, role, text and bbox.  Pages are cogrouped, as similarity alone suffices.
+    inputs have node_no, role, text and bbox.  Similarity alone suffices, so all of a page are compared.
     """
-    import pandas as pd
 
-    def merge(n: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        primary = n[n.role == "primary"].to_dict("records")
+    def merge(rows: list[dict]) -> list[tuple]:
+        native = [r for r in rows if r["source"] == "native"]
+        primary = [r for r in native if r["role"] == "primary"]
 
         def area(r: dict) -> float:
             return max(0.0, r["x1"] - r["x0"]) * max(0.0, r["y1"] - r["y0"])
@@ -74,19 +75,23 @@ def reconciled(native: DataFrame, ocr: DataFrame) -> DataFrame:
 
         def repeats(r: dict) -> bool:
             for p in primary:
+                # Lengths bound the ratio, and often settle it.
+                n, m = len(r["text"]), len(p["text"])
+                if n + m and 2 * min(n, m) / (n + m) < 0.40:
+                    continue
                 s = ratio(r["text"], p["text"])
                 if s >= 0.70 or s >= 0.40 and common(r, p) >= 0.50:
                     return True
             return False
 
-        kept = [r for r in o.to_dict("records") if not repeats(r)]
-        rows = [("native", r) for r in n.to_dict("records")] + [("ocr", r) for r in kept]
-        return pd.DataFrame([{"doc_id": r["doc_id"], "page_no": r["page_no"], "source": s, "node_no": r["node_no"]} for s, r in rows], columns=["doc_id", "page_no", "source", "node_no"])
+        kept = [r for r in rows if r["source"] == "ocr" and not repeats(r)] if primary else [r for r in rows if r["source"] == "ocr"]
+        return [(r["doc_id"], r["page_no"], r["source"], r["node_no"]) for r in native + kept]
 
-    def flat(df: DataFrame) -> DataFrame:
-        return df.select(*PAGE, "node_no", "role", F.coalesce("text", F.lit("")).alias("text"), "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
+    def flat(df: DataFrame, source: str) -> DataFrame:
+        text = F.trim(F.coalesce("text", F.lit("")))
+        return df.select(*PAGE, F.lit(source).alias("source"), "node_no", "role", text.alias("text"), "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
 
-    return flat(native).groupBy(*PAGE).cogroup(flat(ocr).groupBy(*PAGE)).applyInPandas(merge, "doc_id string, page_no int, source string, node_no int")
+    return by_group(flat(native, "native").unionByName(flat(ocr, "ocr")), PAGE, ["source", "node_no"], merge, "doc_id string, page_no int, source string, node_no int")
 
 
 def line_matches(wanted: DataFrame, lines: DataFrame) -> DataFrame:
@@ -95,24 +100,26 @@ def line_matches(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     Lines whose top or middle lies within 4 points are candidates; of several the most similar;
     without any, a line that holds the text or is more than 0.8 similar.
     """
-    import pandas as pd
 
-    def match(e: pd.DataFrame, l: pd.DataFrame) -> pd.DataFrame:
-        ls = l.sort_values("line_no").to_dict("records")
+    def match(rows: list[dict]) -> list[tuple]:
+        ls = [r for r in rows if r["side"] == 0]
         out = []
-        for r in e.to_dict("records"):
+        for r in rows:
+            if r["side"] == 0:
+                continue
             mid = r["y"] + r["height"] / 2
             near = [x for x in ls if abs(x["y"] - r["y"]) <= 4 or abs(x["y"] + x["height"] / 2 - mid) <= 4]
             if len(near) > 1:
-                near = [max(near, key=lambda x: ratio(x["text"], r["original_text"]))]
+                near = [max(near, key=lambda x: ratio(x["text"], r["text"]))]
             if not near:
-                text = (r["original_text"] or "").strip()
+                text = (r["text"] or "").strip()
                 far = [x for x in ls if text and text in x["text"] or ratio(x["text"], text) > 0.8]
                 near = [max(far, key=lambda x: ratio(x["text"], text))] if far else []
-            out.append((r["doc_id"], r["page_no"], r["element_no"], near[0]["line_no"] if near else None))
-        frame = pd.DataFrame(out, columns=["doc_id", "page_no", "element_no", "line_no"])
-        return frame.assign(line_no=frame.line_no.astype("Int32"))
+            out.append((r["doc_id"], r["page_no"], r["no"], near[0]["no"] if near else None))
+        return out
 
-    e = wanted.select(*PAGE, "element_no", "original_text", "y", "height")
-    ls = lines.select(*PAGE, F.col("line_no"), F.coalesce("text", F.lit("")).alias("text"), "y", "height")
-    return e.groupBy(*PAGE).cogroup(ls.groupBy(*PAGE)).applyInPandas(match, "doc_id string, page_no int, element_no int, line_no int")
+    def side(df: DataFrame, no: str, text: str, which: int) -> DataFrame:
+        return df.select(*PAGE, F.lit(which).alias("side"), F.col(no).alias("no"), F.coalesce(text, F.lit("")).alias("text"), "y", "height")
+
+    rows = side(lines, "line_no", "text", 0).unionByName(side(wanted, "element_no", "original_text", 1)).where("y IS NOT NULL AND height IS NOT NULL")
+    return by_group(rows, PAGE, ["side", "no"], match, "doc_id string, page_no int, element_no int, line_no int")

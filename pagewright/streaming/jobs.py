@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grouped import by_group
+
 TERMINAL = ("succeeded", "failed", "cancelled")
 
 
@@ -39,13 +41,13 @@ JOB_STATE = "status string, progress int, cancel_requested boolean, updates int"
 def fold_jobs(events: DataFrame) -> DataFrame:
     """(job_id, state columns) of (job_id, ts, event_no, status, progress)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[dict]) -> list[tuple]:
         state = None
-        for e in pdf.sort_values(["ts", "event_no"]).to_dict("records"):
+        for e in rows:
             state = step(state, e)
-        return pd.DataFrame([{"job_id": pdf.job_id.iloc[0], **state}])
+        return [(rows[0]["job_id"], *(state[k] for k in ("status", "progress", "cancel_requested", "updates")))]
 
-    return events.select("job_id", "ts", "event_no", "status", "progress").groupBy("job_id").applyInPandas(fold, f"job_id string, {JOB_STATE}")
+    return by_group(events.select("job_id", "ts", "event_no", "status", "progress"), ["job_id"], ["ts", "event_no"], fold, f"job_id string, {JOB_STATE}")
 
 
 def stream_jobs(events: DataFrame) -> DataFrame:
@@ -118,12 +120,11 @@ def admit(active: dict[str, tuple[str, int]], event: dict) -> str:
 def lease_outcomes(events: DataFrame, pool: str = "pool") -> DataFrame:
     """(event_no, outcome) of lease events; capacities are those of one pool, so a pool is one sequence by nature."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[dict]) -> list[tuple]:
         active: dict[str, tuple[str, int]] = {}
-        pdf = pdf.sort_values(["ts", "event_no"])
-        return pd.DataFrame({"event_no": pdf.event_no, "outcome": [admit(active, e) for e in pdf.to_dict("records")]})
+        return [(e["event_no"], admit(active, e)) for e in rows]
 
-    return events.groupBy(pool).applyInPandas(fold, "event_no long, outcome string")
+    return by_group(events, [pool], ["ts", "event_no"], fold, "event_no long, outcome string")
 
 
 # ---- render sessions
@@ -137,11 +138,10 @@ def session_outcomes(events: DataFrame, shard: str = "shard") -> DataFrame:
     Each shard is one manager with its own capacity.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[dict]) -> list[tuple]:
         last: dict[str, float] = {}
         out = []
-        pdf = pdf.sort_values(["ts", "event_no"])
-        for e in pdf.to_dict("records"):
+        for e in rows:
             now, key = float(e["ts"]), e["sha256"]
             for k in [k for k, t in last.items() if now - t > SESSION_TTL]:
                 del last[k]
@@ -157,9 +157,9 @@ def session_outcomes(events: DataFrame, shard: str = "shard") -> DataFrame:
                     del last[min(last, key=last.get)]
                 last[key] = now
                 out.append("created")
-        return pd.DataFrame({"event_no": pdf.event_no, "outcome": out})
+        return [(e["event_no"], x) for e, x in zip(rows, out, strict=True)]
 
-    return events.groupBy(shard).applyInPandas(fold, "event_no long, outcome string")
+    return by_group(events, [shard], ["ts", "event_no"], fold, "event_no long, outcome string")
 
 
 # ---- nonces
