@@ -118,6 +118,8 @@ class Centroids:
     def verdict(self, texts: list[str]) -> list[tuple[str | None, float]]:
         """(language, confidence) of each text.  The confidence is the winner's lead over the runner-up in odds."""
         out: list[tuple[str | None, float]] = []
+        if not self.names:
+            return [(None, 0.0)] * len(texts)
         for at in range(0, len(texts), 256):
             s = self.scores(texts[at : at + 256])
             first = s.argmax(axis=1)
@@ -141,7 +143,9 @@ def _kmeans(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, str]], rounds: int = 3) -> Centroids:
-    """Train on (text, label)."""
+    """Train on (text, label); without rows nothing is ever classified."""
+    if not rows:
+        return Centroids(np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, 0), np.float32), [], np.inf)
     texts, labels = [t for t, _ in rows], np.array([x for _, x in rows])
     r, c, n = Grams().rows(texts)
     df = np.bincount(c, minlength=BUCKETS)
@@ -165,6 +169,8 @@ def train(documents: DataFrame, codes: list[str]) -> Centroids:
     """Fit on the bounded sample of labelled documents."""
     lang = F.lower(F.trim("lang"))
     rows = documents.where(lang.isin(codes) & (F.length("text") >= 60)).select(lang.alias("lang"), F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64("text").alias("h"))
+    if not codes:
+        return fit([])
     parts = [rows.where(F.col("lang") == c).orderBy("h", "text").limit(TRAIN_ROWS) for c in codes]
     sample = parts[0]
     for p in parts[1:]:
