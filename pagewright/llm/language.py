@@ -203,7 +203,7 @@ def classified(df: DataFrame, model: Centroids, text: str = "text") -> DataFrame
 
 
 def _codes(lang_codes: DataFrame) -> list[str]:
-    return sorted(r.code for r in lang_codes.select("code").distinct().collect())  # the languages in use, a handful
+    return sorted(r.code for r in lang_codes.where("code IS NOT NULL").select("code").distinct().collect())  # the languages in use, a handful
 
 
 def job_labels(jobs: DataFrame) -> DataFrame:

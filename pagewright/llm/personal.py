@@ -36,14 +36,14 @@ _CAP = f"(?:[{U}][{L}]+(?:-[{U}][{L}]+)*)"
 
 _CANDIDATES = {
     "email": re.compile(r"(?<![\w.+%\-])[\w.+%\-]+\s?(?:@|\(at\)|\[at\]|\{at\}|\sat\s|\(a\)|\[a\]|＠)\s?[\w\-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot\s|\(punkt\))\s?[\w\-]+)+", re.I),
-    "phone": re.compile(r"(?<![\w/.,:@=²³\-])(?:\(?\+\d|\(?0|[1-9(])[\d() ./\-‐-–]{4,22}\d(?![\w/])"),
+    "phone": re.compile(r"(?<![\w/.,:@=²³\-])(?:\(?\+\d|\(?0|[1-9(])[\d() ./\-‐-–]{4,22}\d(?![\w/]|-[A-Za-z])"),
     "id_number": re.compile(r"(?<![\w/@=\-])(?=[A-Z0-9 .\-]{0,24}\d)[A-Z0-9](?:[A-Z0-9]|[ .\-](?=[A-Z0-9])){6,24}(?![\w/@])"),
     "address": re.compile(
         rf"""(?xi)
         (?: \b(?:flat|apt\.?|unit|suite)\s\d+\w?,?\s )? \b\d{{1,5}}(?:\s?(?:bis|ter)|[a-z](?![a-z]))?,?\s+ (?: (?:rue|av\.|avenue|boulevard|bd\.?|place|chemin|impasse|quai|allée|cours|route)\s[^\d,;:()]{{2,40}}
                                               | (?:[\w'’.\-]+\s){{1,3}}(?:street|str?\.?|road|rd\.?|lane|ln\.?|avenue|ave\.?|drive|dr\.?|close|court|ct\.?|way|square|terrace|crescent|place|boulevard|blvd\.?)\b )
         | \b(?:calle|c/|avda\.?|avenida|plaza|paseo|camino|carrera|via|viale|piazza|corso|largo|vicolo|strada|ul\.|ulica|al\.|aleja|pl\.|plac|os\.|ул\.|улица|пер\.|переулок|пр\.|просп\.|проспект|пл\.|б-р|шоссе|наб\.|an\sder|am|auf\sder|im|in\sder|aan\sde|aan\shet|op\sde)\s[^\d;:()@]{{2,40}}?,?\s(?:n\.\s?|nr\.?\s?|no\.?\s?|д\.\s?|дом\s)?\d{{1,4}}\b
-        | \b[\w\-]{0,40}(?:straat|weg|laan|plein|gracht|kade|dijk|singel|str\.|straße|strasse|gasse|platz|allee|ufer|ring|damm)\s\d{{1,4}}\b
+        | \b[\w\-]{{0,40}}(?:straat|weg|laan|plein|gracht|kade|dijk|singel|str\.|straße|strasse|gasse|platz|allee|ufer|ring|damm)\s\d{{1,4}}\b
         """
     ),
     "name": re.compile(rf"(?<![\w.@’'\-]){_CAP}(?:,?\s(?:[{U}]\.|(?:von|van|de|der|den|di|del|della|da|le|la|ter)(?=\s[{U}])|{_CAP}))+(?![\w@])|(?<![\w.@\-])[{U}]{{3,}}(?:-[{U}]+)?,?\s[{U}]{{3,}}(?:-[{U}]{{3,}})?(?![\w@])|(?<=\s){_CAP}(?=[,:!]?$)"),
