@@ -151,7 +151,7 @@ def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
         F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"),
         F.count("*").alias("records"), F.sum("copies").alias("copies"), F.max("copies").alias("max_copies"),
     )
-    out = targets.select("source", "target_share").join(F.broadcast(sums), "source", "left").na.fill(0)
-    total = sums.agg(F.sum("mixed_tokens").alias("all_tokens"))
-    out = out.join(F.broadcast(total))  # one row
+    out = targets.select("source", "target_share").join(sums, "source", "left").na.fill(0)
+    total = sums.agg(F.sum("mixed_tokens")).first()[0] or 0  # one value
+    out = out.withColumn("all_tokens", F.lit(total).cast("long"))
     return out.select("source", "target_share", F.when(F.col("all_tokens") > 0, F.col("mixed_tokens") / F.col("all_tokens")).otherwise(0.0).alias("actual_share"), "available_tokens", "mixed_tokens", "records", "copies", "max_copies")

@@ -18,6 +18,7 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -207,7 +208,7 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 def _encoder(name: str, folder: str) -> Encoder:
     if (name, folder) not in _encoders:
-        _encoders[name, folder] = Encoder(SparkFiles.get(name), folder)
+        _encoders[name, folder] = Encoder(name if os.path.isabs(name) else SparkFiles.get(name), folder)
     return _encoders[name, folder]
 
 
@@ -235,11 +236,21 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lexicon(docs: DataFrame, words: int = LEXICON_WORDS, folder: str | None = None) -> str:
-    """Compile the corpus' ``words`` most frequent words and send the file to all executors; gives its name."""
+    """Compile the corpus' ``words`` most frequent words into one file for all executors; gives its place.
+
+    The file goes to the shared folder of ``spark.checkpoint.dir``, where every worker maps it.  Where that
+    is no file system path, Spark distributes it and the place is its name among Spark's files.
+    """
     spark, ranks = docs.sparkSession, Ranks(folder or tokenizer_dir())
     top = word_counts(docs).where((F.col("n") > 1) & (F.length("word") <= LEXICON_BYTES)).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
     entries = {bytes(r.word): ranks.merge(bytes(r.word)) for r in top}
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    name, shared = f"lexicon-{uuid.uuid4().hex}.bin", spark.conf.get("spark.checkpoint.dir", None)
+    if shared and (shared.startswith("file:") or shared.startswith("/")):
+        folder_path = urlparse(shared).path
+        os.makedirs(folder_path, exist_ok=True)
+        path = os.path.join(folder_path, name)
+        compile_transducer(entries, path)
+        return path
     path = os.path.join(tempfile.mkdtemp(prefix="pagewright-"), name)
     compile_transducer(entries, path)
     spark.sparkContext.addFile(path)
