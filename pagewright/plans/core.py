@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 from ..functions import udf as U
-from ..operators import editing, layout, pages, plans, render, service, source_facts, spatial, tables, words
+from ..operators import editing, layout, pages, plans, records, render, service, source_facts, spatial, tables, words
 from ..sources import readers, writers
 from ..streaming import jobs
 from . import sql as Q
@@ -563,8 +563,8 @@ _BUNDLES = ", ".join(Q.q(b) for b in words.BUNDLES)
 
 @_query(f"WITH b AS (SELECT unnest([{_BUNDLES}]) AS bundle), i AS (SELECT list(code) AS codes FROM lang_codes) SELECT bundle, array_to_string(list_filter(string_split(bundle, '+'), lambda c: list_contains(i.codes, c)), '+') AS usable, list_has_all(i.codes, string_split(bundle, '+')) AS whole FROM b, i")
 def language_bundles(spark: SparkSession, d: str) -> DataFrame:
-    codes = _t(spark, d, "lang_codes").agg(F.collect_set("code").alias("codes"))
-    rows = _literal(spark, [(b,) for b in words.BUNDLES], "bundle string").join(F.broadcast(codes))  # one row
+    codes = sorted(r.code for r in _t(spark, d, "lang_codes").select("code").distinct().collect())  # eight fixed rows
+    rows = _literal(spark, [(b,) for b in words.BUNDLES], "bundle string").withColumn("codes", F.array(*[F.lit(c) for c in codes]).cast("array<string>"))
     parts = F.split("bundle", r"\+")
     return rows.select("bundle", F.array_join(F.array_intersect(parts, "codes"), "+").alias("usable"), (F.size(F.array_except(parts, "codes")) == 0).alias("whole"))
 
@@ -824,6 +824,68 @@ def signed_requests(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", U.hmac_sha256(F.lit("secret"), message).alias("signature"))
 
 
+_META = [("a", " Title\t", None, "s", ""), ("b", None, None, None, None), ("c", "x", "y", "z", "k, l")]
+_META_NEW = [("a", "New ", "Me", None, " "), ("z", "t", "t", "t", "t")]
+
+
+@_query(
+    f"""WITH d AS (SELECT * FROM (VALUES {_values(_META)}) t(doc_id, title, author, subject, keywords)), n AS (SELECT * FROM (VALUES {_values(_META_NEW)}) t(doc_id, title, author, subject, keywords))
+    SELECT d.doc_id, {", ".join(f"coalesce({Q.strip(f'coalesce({Q.strip(f'n.{c}')}, d.{c})')}, '') AS {c}" for c in records.METADATA)} FROM d LEFT JOIN n USING (doc_id)"""
+)
+def metadata_write(spark: SparkSession, d: str) -> DataFrame:
+    schema = "doc_id string, title string, author string, subject string, keywords string"
+    return records.write_metadata(_literal(spark, _META, schema), _literal(spark, _META_NEW, schema)).select("doc_id", *records.read_metadata())
+
+
+@_query(
+    """WITH j AS (SELECT job_id, arg_max(struct_pack(s := status, o := owner, k := session_id), received_at) AS v, arg_min(struct_pack(o := owner, k := session_id), received_at) AS w FROM ocr_jobs GROUP BY job_id)
+    SELECT job_id, v.s AS status, coalesce(v.o, w.o, 'none') AS owner, coalesce(v.k, w.k, 'none') AS session_id FROM j"""
+)
+def task_merge(spark: SparkSession, d: str) -> DataFrame:
+    j = _t(spark, d, "ocr_jobs")
+    new = j.groupBy("job_id").agg(F.max_by(F.struct("status", "owner", "session_id"), "received_at").alias("v")).select("job_id", "v.*")
+    old = j.groupBy("job_id").agg(F.min_by(F.struct("owner", "session_id"), "received_at").alias("w")).select("job_id", "w.*")
+    return records.merge_tasks(new, old, ["owner", "session_id"]).na.fill("none", ["owner", "session_id"])
+
+
+@_query(f"WITH {Q.N} SELECT doc_id, page_no, node_no, CASE kind WHEN 'table' THEN 1 WHEN 'list' THEN 2 ELSE 0 END AS part FROM n")
+def node_concat(spark: SparkSession, d: str) -> DataFrame:
+    n = _nodes(spark, d)
+    return records.in_order(n.where("kind NOT IN ('table', 'list')"), n.where("kind = 'table'"), n.where("kind = 'list'")).select("doc_id", "page_no", "node_no", "part")
+
+
+@_query(
+    f"""WITH {Q.E} SELECT doc_id, page_no, element_no, round(x * 300 / 72, 6) AS px, round(y + 0.85 * height, 6) AS base_y, round(y + 0.85 * height + 0.12 * size, 6) AS underline_y, round(y + 0.85 * height - 0.28 * size, 6) AS strike_y, round(greatest(0.8, 0.06 * size), 6) AS line_width FROM e"""
+)
+def scaled_lines(spark: SparkSession, d: str) -> DataFrame:
+    base = records.baseline(F.col("y"), F.col("height"))
+    rows = _elements(spark, d).select("doc_id", "page_no", "element_no", records.pixels(F.col("x"), 300).alias("px"), base.alias("base_y"), *records.decoration(base, F.col("size")))
+    return rows.select("doc_id", "page_no", "element_no", *[F.round(c, 6).alias(c) for c in ("px", "base_y", "underline_y", "strike_y", "line_width")])
+
+
+@_query(f"WITH {Q.E}, {Q.WORDS} SELECT doc_id, page_no, word_no, lead(x0) OVER (PARTITION BY doc_id, page_no, line_no ORDER BY word_no) AS next_x FROM w")
+def next_words(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("doc_id", "page_no", "line_no").orderBy("word_no")
+    return _words(spark, d).select("doc_id", "page_no", "word_no", F.lead("x0").over(order).alias("next_x"))
+
+
+_ICONS = [("a", 0.0, 0.0, 20.0, 20.0, None), ("b", 0.0, 0.0, 20.0, 20.0, "data:image/png;base64,AA"), ("c", 0.0, 0.0, 30.0, 20.0, None)]
+
+
+@_query(f"SELECT name FROM (VALUES {_values(_ICONS)}) t(name, x0, y0, x1, y1, image_key) WHERE NOT (x1 - x0 < 25 AND y1 - y0 < 25 AND NOT coalesce(starts_with(image_key, 'data:'), false))")
+def shown_images(spark: SparkSession, d: str) -> DataFrame:
+    rows = _literal(spark, _ICONS, "name string, x0 double, y0 double, x1 double, y1 double, image_key string")
+    return records.shown_images(rows.select("name", F.struct("x0", "y0", "x1", "y1").alias("bbox"), "image_key")).select("name")
+
+
+@_query("SELECT lower(trim(unnest(string_split('Alpha|||beta||| Gamma ', '|||')))) AS keyword")
+def keyword_split(spark: SparkSession, d: str) -> DataFrame:
+    rows = _literal(spark, [("Alpha|||beta||| Gamma ",)], "form string")
+    return rows.select(F.explode(F.split("form", r"\|\|\|")).alias("k")).select(F.lower(F.trim("k")).alias("keyword"))
+
+
 # ---- state: jobs, leases, sessions, nonces
 
 

@@ -74,3 +74,15 @@ def test_stream_gives_the_states_of_the_batch(spark, tmp_path):
 def test_nonces_are_accepted_once(spark):
     e = spark.createDataFrame([(1, 100, "n", 100), (2, 101, "n", 101), (3, 102, "m", 9000), (4, 103, "m", 103)], "event_no long, ts long, nonce string, request_ts long")
     assert {r.event_no: r.accepted for r in jobs.accepted_requests(e).collect()} == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_stream_accepts_nonces_once(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2031, 1, 1)
+    rows = [(start + timedelta(seconds=i), f"n{i % 4}", start + timedelta(seconds=i - (900 if i == 3 else 0))) for i in range(12)]
+    schema = "at timestamp, nonce string, request_at timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = jobs.stream_accepted(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").format("memory").queryName("nonces").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.nonce for r in spark.sql("SELECT nonce FROM nonces").collect()) == ["n0", "n1", "n2", "n3"]
