@@ -35,15 +35,15 @@ L = "a-zß-öø-ÿāăąćčďđēęěğģīķłļńņňőœřśşšţťūůűź
 _CAP = f"(?:[{U}][{L}]+(?:-[{U}][{L}]+)*)"
 
 _CANDIDATES = {
-    "email": re.compile(r"(?<![\w.+%\-])[\w.+%\-]+\s?(?:@|\(at\)|\[at\]|\{at\}|\sat\s|\(a\)|\[a\]|＠)\s?[\w\-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot\s|\(punkt\))\s?[\w\-]+)+", re.I),
+    "email": re.compile(r"(?<![\w.+%\-])[\w.+%\-]+\s?(?:@|\(at\)|\[at\]|\{at\}|\sat\s|\(a\)|\[a\]|＠)\s?[\w\-]+(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\}|\(punkt\))\s?|\sdot\s)[\w\-]+)+", re.I),
     "phone": re.compile(r"(?<![\w/.,:@=²³\-])(?:\(?\+\d|\(?0|[1-9(])[\d() ./\-‐-–]{4,22}\d(?![\w/]|-[A-Za-z])"),
     "id_number": re.compile(r"(?<![\w/@=\-])(?=[A-Z0-9 .\-]{0,24}\d)[A-Z0-9](?:[A-Z0-9]|[ .\-](?=[A-Z0-9])){6,24}(?![\w/@])"),
     "address": re.compile(
         rf"""(?xi)
         (?: \b(?:flat|apt\.?|unit|suite)\s\d+\w?,?\s )? \b\d{{1,5}}(?:\s?(?:bis|ter)|[a-z](?![a-z]))?,?\s+ (?: (?:rue|av\.|avenue|boulevard|bd\.?|place|chemin|impasse|quai|allée|cours|route)\s[^\d,;:()]{{2,40}}
                                               | (?:[\w'’.\-]+\s){{1,3}}(?:street|str?\.?|road|rd\.?|lane|ln\.?|avenue|ave\.?|drive|dr\.?|close|court|ct\.?|way|square|terrace|crescent|place|boulevard|blvd\.?)\b )
-        | \b(?:calle|c/|avda\.?|avenida|plaza|paseo|camino|carrera|via|viale|piazza|corso|largo|vicolo|strada|ul\.|ulica|al\.|aleja|pl\.|plac|os\.|ул\.|улица|пер\.|переулок|пр\.|просп\.|проспект|пл\.|б-р|шоссе|наб\.|an\sder|am|auf\sder|im|in\sder|aan\sde|aan\shet|op\sde)\s[^\d;:()@]{{2,40}}?,?\s(?:n\.\s?|nr\.?\s?|no\.?\s?|д\.\s?|дом\s)?\d{{1,4}}\b
-        | \b[\w\-]{{0,40}}(?:straat|weg|laan|plein|gracht|kade|dijk|singel|str\.|straße|strasse|gasse|platz|allee|ufer|ring|damm)\s\d{{1,4}}\b
+        | \b(?:calle|c/|avda\.?|avenida|plaza|paseo|camino|carrera|via|viale|piazza|corso|largo|vicolo|strada|ul\.|ulica|al\.|aleja|pl\.|plac|os\.|ул\.|улица|пер\.|переулок|пр\.|просп\.|проспект|пл\.|б-р|шоссе|наб\.|an\sder|am|auf\sder|im|in\sder|aan\sde|aan\shet|op\sde)\s(?:(?!\.\s)[^\d;:()@]){{2,40}}?,?\s(?:n\.\s?|nr\.?\s?|no\.?\s?|д\.\s?|дом\s)?\d{{1,4}}[a-zа-я]?\b
+        | \b[\w\-]{{0,40}}(?:straat|weg|laan|plein|gracht|kade|dijk|singel|str\.|straße|strasse|gasse|platz|allee|ufer|ring|damm)\s\d{{1,4}}[a-z]?\b
         """
     ),
     "name": re.compile(rf"(?<![\w.@’'\-]){_CAP}(?:,?\s(?:[{U}]\.|(?:von|van|de|der|den|di|del|della|da|le|la|ter)(?=\s[{U}])|{_CAP}))+(?![\w@])|(?<![\w.@\-])[{U}]{{3,}}(?:-[{U}]+)?,?\s[{U}]{{3,}}(?:-[{U}]{{3,}})?(?![\w@])|(?<=\s){_CAP}(?=[,:!]?$)"),
@@ -120,7 +120,7 @@ _FILE_NUMBER = re.compile(r"\b\d{5}/\d{3}\b")  # of files and items, in ordinary
 _DIGITS = re.compile(r"\+\d|(?<![\w/.,])0\d|\d{3}-\d{4}|\(\d|\d \(\d")
 _ID_HINT = re.compile(r"\d{2}[ -]?\d{2,3}[ -]\d|[A-Z]{2,} ?\d|\d[A-Z]|\d-[A-Z]\b|\d{8}")
 _STREET_HINT = ("street", "road", " rd", "lane", "avenue", "ave", "drive", "close", "court", " way", "square", "terrace", "place", "boulevard", "blvd", "rue ", "av.", "bd", "chemin", "impasse", "quai", "allée", "calle", "c/", "avda", "plaza", "paseo", "camino", "carrera", "via", "piazza", "corso", "largo", "vicolo", "strada", "ul.", "ulica", "al.", "pl.", "os.", "ул.", "улица", "пер.", "пр.", "просп", "пл.", "шоссе", "наб.", "an der ", "auf der ", "aan de ", "aan het ", "op de ", "straat", "weg ", "laan", "plein", "gracht", "kade", "dijk", "singel", "str.", "stra", "gasse", "platz", "ufer", "damm")
-_HEAD = re.compile(r"(?i)^(?:dear|hello|hi|bonjour|hola|hallo|beste|geachte|gentile|egregio|estimad[oa]|liebe[r]?|cher|chère|caro|cara|ciao|drogi|droga|szanown[ya]|pani?|mr|mrs|ms|dr|prof|herrn?|frau|monsieur|madame|signora?|don|doña|signed|unterzeichnet von|ask|bitte|vraag|уважаемый|уважаемая|дорогой|дорогая)\s+")
+_HEAD = re.compile(r"(?i)^(?:dear|hello|hi|bonjour|hola|hallo|beste|geachte|gentile|egregio|estimad[oa]|liebe[r]?|cher|chère|caro|cara|ciao|drogi|droga|szanown[ya]|pani?|mr|mrs|ms|dr|prof|herrn?|frau|monsieur|madame|signora?|don|doña|signed by|unterzeichnet von|gezeichnet von|signé par|firmado por|firmato da|ondertekend door|signed|ask|bitte|vraag|уважаемый|уважаемая|дорогой|дорогая)\s+")
 _PHONE_NEAR = re.compile(r"(?i)[+()]|\b(?:tel|tél|fax|call|tfno|bel|sie|le|al|тел|звоните|chiamare|dzwonić)\b")
 _UNIT = re.compile(r"\s*(?:\w+\s)?\d+\s?(?:ml|g|kg|l|cl|cm|mm|stk|pcs)\b")
 
@@ -160,7 +160,7 @@ def _features(kind: str, before: str, span: str, after: str, votes: list[int]) -
 
 def candidates_of(text: str, given: frozenset[str], field: str = "text") -> list[tuple[str, int, int, str, list[int]]]:
     """(type, start, end, votes, features) of each candidate span in a text."""
-    plain = text.replace("\n", " ").replace("\xa0", " ")
+    plain = text.replace("\n", " " if field in ("text", "spans") else "|").replace("\xa0", " ")
     out = []
     taken: list[tuple[int, int]] = []
     for kind in _triggered(plain):

@@ -182,7 +182,7 @@ def test_personal_information(tables, frame):
     """Trained on the given tables, with cases of its own planted among them."""
     planted = [
         ("Please ask Quenby Vardowska for the key.", {"name"}), ("Signed by Luca Parström", {"name"}), ("E-mail: marek+x@kontor.test", {"email"}), ("info (at) post.example", {"email"}), ("Tel. +49 (0)30 5550815-47", {"phone"}), ("Fax: 020-5555549", {"phone"}),
-        ("The holder's SSN 918-05-4487 is on file.", {"id_number"}), ("De houder geeft paspoort ZT008762W op.", {"id_number"}), ("Lives at 38 Alder Lane, Oosterbach BX20 2QT", {"address"}), ("Woont op Aan de Vliet 171-hs, 0648 ZK Villaveen", {"address"}), ("Bezorgen op Molenstraat 150, 0990 XB Starhausen.", {"address"}), ("Wohnhaft: Lindenstr. 78, 00312 Karlsfontaine", {"address"}),
+        ("The holder's SSN 918-05-4487 is on file.", {"id_number"}), ("De houder geeft paspoort ZT008762W op.", {"id_number"}), ("Lives at 38 Alder Lane, Oosterbach BX20 2QT", {"address"}), ("Woont op Aan de Vliet 171-hs, 0648 ZK Villaveen", {"address"}), ("Bezorgen op Molenstraat 150, 0990 XB Starhausen.", {"address"}), ("Wohnhaft: Lindenstr. 78, 00312 Karlsfontaine", {"address"}), ("Lieferung an Krautweg 160b, 00210 Roccamoor.", {"address"}), ("Call 020-5550322 at noon. femke+shop (at) mail.invalid", {"phone", "email"}),
         ("Safety Manual", set()), ("3 @ 8.47 EUR", set()), ("16 313 133 EUR", set()), ("Oleario Tools – file number 7960-4433-44", set()), ("@brasko_news", set()), ("www.parworks.example/cv", set()), ("48.4123 N, 18.6483 E", set()), ("Typ 555-6050-B / 34 kW", set()), ("April Rose Clara 700 ml – Tellin & Co.", set()), (None, set()), ("", set()),
     ]
     own = frame("elements", [{"doc_id": "own", "page_no": 1, "element_no": i, "text": t} for i, (t, _) in enumerate(planted)])
