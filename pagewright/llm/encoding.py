@@ -166,9 +166,13 @@ def reread(text: str, read: str, right: str) -> str:
     return " ".join(map(word, text.split(" ")))
 
 
+# Signs that stand alone in right text.
+SIGNS = frozenset("×÷½¼¾±µ·°§–—€£¥¢©®™«»“”„‘’‚…•→←↑↓≤≥≠№¿¡ºª")
+
+
 def _testable(word: str) -> bool:
-    """Single Cyrillic letters are words, which chance takes for another page's."""
-    return len(word) <= 64 and (len(word) > 2 or not any(0x400 <= ord(c) < 0x530 for c in word))
+    """Signs and single Cyrillic letters stand alone, which chance takes for another page's."""
+    return len(word) <= 64 and not (len(word) == 1 and word in SIGNS) and (len(word) > 2 or not any(0x400 <= ord(c) < 0x530 for c in word))
 
 
 # Stretches without ASCII spaces that hold a character beyond ASCII, without ASCII punctuation around.

@@ -125,6 +125,9 @@ _PHONE_NEAR = re.compile(r"(?i)[+()]|\b(?:tel|tél|fax|call|tfno|bel|sie|le|al|
 _UNIT = re.compile(r"\s*(?:\w+\s)?\d+\s?(?:ml|g|kg|l|cl|cm|mm|stk|pcs)\b")
 
 
+_SPACES = dict.fromkeys([0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000], " ")
+
+
 def _triggered(text: str) -> list[str]:
     """The types whose patterns are worth trying, by cheap signs."""
     kinds = []
@@ -160,7 +163,7 @@ def _features(kind: str, before: str, span: str, after: str, votes: list[int]) -
 
 def candidates_of(text: str, given: frozenset[str], field: str = "text") -> list[tuple[str, int, int, str, list[int]]]:
     """(type, start, end, votes, features) of each candidate span in a text."""
-    plain = text.replace("\n", " " if field in ("text", "spans") else "|").replace("\xa0", " ")
+    plain = text.replace("\n", " " if field in ("text", "spans") else "|").translate(_SPACES)
     out = []
     taken: list[tuple[int, int]] = []
     for kind in _triggered(plain):

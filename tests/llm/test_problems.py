@@ -232,7 +232,7 @@ def test_twice_garbled_and_partly_garbled():
     assert encoding.undo_multibyte("près de la riviÃ¨re") == "près de la rivière"
 
 
-@pytest.mark.parametrize("text", ["«Ätna» – Öl § 969", "ŁÓDŹ, ŻÓŁW I ŹREBIĘ", "Опись на обоих языках, чертёж", "“Ça” – ‘621’", "\uf0b7 Punkt", "ÃO, ÕES: 560", "NAÏVETÉ, ÎLE ET ÂTRE", "Сегодня шкипер", "±304 µm / 5 °C", ""])
+@pytest.mark.parametrize("text", ["«Ätna» – Öl § 969", "ŁÓDŹ, ŻÓŁW I ŹREBIĘ", "Опись на обоих языках, чертёж", "“Ça” – ‘621’", "\uf0b7 Punkt", "ÃO, ÕES: 560", "NAÏVETÉ, ÎLE ET ÂTRE", "Сегодня шкипер", "±304 µm / 5 °C", "663 × ½ → ¼", ""])
 def test_right_text_stays(text):
     assert encoding.undo_multibyte(text) == text
 
