@@ -81,6 +81,8 @@ def secret_look(value: str) -> bool:
     if len(value) < 12 or PLACEHOLDER.match(value):
         return False
     digits, letters = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value)
+    if any(len(p) >= 12 and sum(c.isdigit() for c in p) >= 2 and p != p.lower() and p != p.upper() for p in value.split("_")):
+        return True  # a part that no name has
     return digits >= 2 and letters >= 2 and not re.fullmatch(r"[\w]*(?:_[\w]+)+", value) or bool(_JWT.search(value))
 
 
