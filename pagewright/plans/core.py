@@ -800,10 +800,10 @@ def job_labels(spark: SparkSession, d: str) -> DataFrame:
     return j.select("job_id", "received_at", "total_bytes", service.enough_disk(F.col("total_bytes") * 3, F.col("n_files").cast("long") * 100000).alias("enough"), service.status_label(F.col("status")).alias("label"))
 
 
-_FILES = [("pagewright-a", 4000, False, True), ("other", 4000, False, True), ("tess_x", 10, True, True), ("other", 10, False, False), ("other", 9000, False, False), ("pdf2docx_", 3600, False, True)]
+_FILES = [("pagewright-a", 4000, False, True), ("other", 4000, False, True), ("ocr-work-x", 10, True, True), ("other", 10, False, False), ("other", 9000, False, False), ("office-work-", 3600, False, True)]
 
 
-@_query(f"SELECT name, age, (NOT shared OR starts_with(name, 'pagewright-') OR starts_with(name, 'tess_') OR starts_with(name, 'pdf2docx_')) AND (is_link OR age > 3600) AS gone FROM (VALUES {_values(_FILES)}) t(name, age, is_link, shared)")
+@_query(f"SELECT name, age, (NOT shared OR starts_with(name, 'pagewright-') OR starts_with(name, 'ocr-work-') OR starts_with(name, 'office-work-')) AND (is_link OR age > 3600) AS gone FROM (VALUES {_values(_FILES)}) t(name, age, is_link, shared)")
 def expired_files(spark: SparkSession, d: str) -> DataFrame:
     rows = _literal(spark, _FILES, "name string, age int, is_link boolean, shared boolean")
     return rows.select("name", "age", service.expired(F.col("name"), F.col("age"), F.col("is_link"), F.col("shared")).alias("gone"))
