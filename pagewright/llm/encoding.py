@@ -175,17 +175,19 @@ def _testable(word: str) -> bool:
     return len(word) <= 64 and not (len(word) == 1 and word in SIGNS) and (len(word) > 2 or not any(0x400 <= ord(c) < 0x530 for c in word))
 
 
-# Stretches without ASCII spaces that hold a character beyond ASCII, without ASCII punctuation around.
-ODD_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]*[^\x00-\x7F][^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]*"
+# What parts words: ASCII spaces and punctuation.  Digits stay, and every character beyond ASCII.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BEYOND_ASCII = r"[^\x00-\x7F]"
 
 
 def odd_words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(ODD_WORD), F.lit(0)))
+    """The words that hold a character beyond ASCII, each once."""
+    return F.array_distinct(F.filter(F.split(text, BETWEEN), lambda w: w.rlike(BEYOND_ASCII)))
 
 
 def garbled_words(texts: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, read, right) of the vocabulary's garbled words; ``texts`` has a column ``text``."""
-    words = texts.select(F.explode(odd_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = texts.where(F.col("text").rlike(BEYOND_ASCII)).select(F.explode(odd_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     words = cut(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,12 +212,12 @@ def restored(elements: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fixed, pa.string())], names=[*b.schema.names, "fixed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", fixed string"
-    odd = F.col("text").rlike(r"[^\x00-\x7F]")
+    odd = F.col("text").rlike(BEYOND_ASCII)
     rows = cut(rows.where(odd).mapInArrow(undo, schema).unionByName(rows.where(~odd | F.col("text").isNull()).withColumn("fixed", F.lit(None).cast("string"))))
     done = rows.withColumn("fixed", F.coalesce("fixed", "text"))
     words = garbled_words(done.select(F.col("fixed").alias("text")))
     # Every text's garbled words; of their page pairs the most frequent counts for the text.
-    each = done.where(F.col("fixed").rlike(r"[^\x00-\x7F]")).select(*keys, "text", F.explode(odd_words(F.col("fixed"))).alias("word")).join(words, "word")
+    each = done.where(F.col("fixed").rlike(BEYOND_ASCII)).select(*keys, "text", F.explode(odd_words(F.col("fixed"))).alias("word")).join(words, "word")
     pages = each.groupBy(*keys, "text", "read", "right").agg(F.count("*").alias("n")).groupBy(*keys, "text").agg(F.max_by(F.struct("read", "right"), F.struct("n", "read", "right")).alias("pages"))
     pages = pages.select(*[F.col(k).alias(f"own_{k}") for k in [*keys, "text"]], "pages")
     same = [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in [*keys, "text"]]  # keys may hold nulls
