@@ -11,7 +11,13 @@ PAGE = ["doc_id", "page_no"]
 
 
 def unique(df: DataFrame, *keys: str) -> DataFrame:
-    """One row a key; the tables hold exact duplicates."""
+    """One row a key; the tables hold exact duplicates.
+
+    Rows are placed by page first.  That suits the removal, and the page's joins, windows and groups behind
+    it too, so they all share this one exchange.
+    """
+    if set(PAGE) <= set(keys):
+        df = df.repartition(*PAGE)
     return df.dropDuplicates(list(keys))
 
 
@@ -55,10 +61,11 @@ def content_class(chars: Column, image_ratio: Column, text_ratio: Column) -> Col
 
 def base_font_size(elements: DataFrame) -> DataFrame:
     """Per document the size, to one digit, that most characters have; of equal ones the first seen; 10 where there are none."""
-    sized = elements.select("doc_id", "page_no", "element_no", F.round("size", 1).alias("size"), F.length(strip("text")).alias("n")).where("n > 0 AND size IS NOT NULL")
-    weights = sized.groupBy("doc_id", "size").agg(F.sum("n").alias("weight"), F.min(F.struct("page_no", "element_no")).alias("first"))
-    best = weights.groupBy("doc_id").agg(F.min_by("size", F.struct(-F.col("weight"), "first")).alias("base_size"))
-    return elements.select("doc_id").distinct().join(best, "doc_id", "left").select("doc_id", F.coalesce("base_size", F.lit(10.0)).alias("base_size"))
+    n = F.length(strip("text"))
+    counted = elements.select("doc_id", F.when((n > 0) & F.col("size").isNotNull(), F.round("size", 1)).alias("size"), n.alias("n"), F.struct("page_no", "element_no").alias("at"))
+    weights = counted.groupBy("doc_id", "size").agg(F.sum("n").alias("weight"), F.min("at").alias("first"))  # combined before the shuffle
+    rank = F.when(F.col("size").isNotNull(), F.struct(-F.col("weight"), "first"))
+    return weights.groupBy("doc_id").agg(F.coalesce(F.min_by("size", rank), F.lit(10.0)).alias("base_size"))
 
 
 def bands(elements: DataFrame, pages: DataFrame) -> DataFrame:
