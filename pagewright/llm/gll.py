@@ -175,3 +175,45 @@ class Grammar:
                             work.append((slot + 1, node, end))
                 break
         return {s for s, node in roots.items() if n in node[2]}
+
+
+_OPEN, _CLOSE = frozenset("([{"), frozenset(")]}")
+
+
+def squeezed(tokens: Sequence[str], long: int = 400, period: int = 12) -> list[str]:
+    """Long token lists with runs of equal list items cut to three.
+
+    An item is a balanced stretch that ends in a comma.  Lists repeat their items without a count in every
+    grammar here, so three equal items in a row are accepted exactly where more of them are.
+    """
+    out = list(tokens)
+    while len(out) > long:
+        before = len(out)
+        for p in range(2, period + 1):
+            short: list[str] = []
+            i, n = 0, len(out)
+            while i < n:
+                item = out[i : i + p]
+                k = 1
+                if i + 4 * p <= n and item[-1] == "," and _balanced(item):
+                    while out[i + k * p : i + (k + 1) * p] == item:
+                        k += 1
+                if k > 3:
+                    short += item * 3
+                    i += k * p
+                else:
+                    short.append(out[i])
+                    i += 1
+            out = short
+        if len(out) == before:
+            break
+    return out
+
+
+def _balanced(item: Sequence[str]) -> bool:
+    depth = 0
+    for t in item:
+        depth += (t in _OPEN) - (t in _CLOSE)
+        if depth < 0:
+            return False
+    return depth == 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .gll import Grammar
+from .gll import Grammar, squeezed
 
 LANGUAGE = {"py": "python", "pyi": "python", "json": "json", "toml": "toml"}
 #: Line shapes that a worker remembers.
@@ -165,7 +165,8 @@ match: 'match' BLOCK INDENT ('case' suite)+ DEDENT ;
 """
 
 _JSON = """
-value: '{' [pair (',' pair)*] '}' | '[' [value (',' value)*] ']' | STR | NUMBER | 'true' | 'false' | 'null' ;
+whole: value ;
+value: VALUE | '{' [pair (',' pair)*] '}' | '[' [value (',' value)*] ']' | STR | NUMBER | 'true' | 'false' | 'null' ;
 pair: STR ':' value ;
 """
 
@@ -309,7 +310,7 @@ def python_valid(source: str) -> bool:
             if isinstance(line, str):
                 tokens.append(line)
                 continue
-            kinds, suites = line_kinds(tuple(line))
+            kinds, suites = line_kinds(tuple(squeezed(line)))
             if not kinds:
                 return False
             if suites and "SIMPLE" in kinds:  # begins with a soft keyword and ends without a colon
@@ -336,7 +337,35 @@ def json_valid(text: str) -> bool:
             return False
         tokens.append("STR" if m[1] is not None else "NUMBER" if m[2] is not None else m[3] or m[4])
         at = m.end()
-    return bool(_grammar("json").accepts(tokens, ["value"]))
+    return _json_recognised(tokens)
+
+
+_containers: dict[tuple[str, ...], bool] = {}
+
+
+def _json_recognised(tokens: list[str]) -> bool:
+    """Containers are recognised as they close, with what they hold as single values; equal shapes once."""
+    stack: list[list[str]] = [[]]
+    for t in tokens:
+        if t in "{[" and len(t) == 1:
+            stack.append([t])
+        elif t in "}]" and len(t) == 1:
+            stack[-1].append(t)
+            if len(stack) == 1 or not _json_accepts(stack.pop()):
+                return False
+            stack[-1].append("VALUE")
+        else:
+            stack[-1].append(t)
+    return len(stack) == 1 and _json_accepts(stack[0])
+
+
+def _json_accepts(tokens: list[str]) -> bool:
+    shape = tuple(squeezed(tokens))
+    if (known := _containers.get(shape)) is None:
+        known = bool(_grammar("json").accepts(shape, ["whole"]))
+        if len(_containers) < REMEMBERED:
+            _containers[shape] = known
+    return known
 
 
 # ---- TOML
@@ -538,7 +567,7 @@ def toml_valid(text: str) -> bool:
     if re.search(r"\r(?!\n)", text):
         return False
     tokens = toml_tokens(text)
-    if tokens is None or not _grammar("toml").accepts([k for k, _ in tokens], ["file"]):
+    if tokens is None or not _grammar("toml").accepts(squeezed([k for k, _ in tokens]), ["file"]):
         return False
     try:
         return toml_keys_agree(tokens)

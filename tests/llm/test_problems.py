@@ -100,6 +100,13 @@ def test_ambiguity_and_left_recursion_are_no_trouble():
     assert g.accepts(["N", "+"] * 20 + ["N"], ["e", "f"]) == {"e"} and g.accepts(["x"] * 9, ["e", "f"]) == {"f"} and g.accepts(["+"], ["e"]) == set()
 
 
+def test_long_lists_are_squeezed_alike():
+    numbers = ",".join(map(str, range(30_000)))
+    assert parsing.python_valid(f"x = [{numbers}]") and not parsing.python_valid(f"x = [{numbers} 1]") and not parsing.python_valid(f"x = [{numbers}")
+    assert parsing.json_valid(f"[{numbers}]") and not parsing.json_valid(f"[{numbers},]") and parsing.json_valid("[" * 5000 + "]" * 5000)
+    assert parsing.toml_valid(f"x = [{numbers}]") and not parsing.toml_valid(f"x = [{numbers} 1]")
+
+
 def test_files_by_extension(frame):
     files = [("a.PY", "print 'x'"), ("b.json", "{"), ("c.toml", "a"), ("d.md", "print 'x'"), ("e.py", None), ("f.pyi", "x: int"), (None, "("), ("g.json", "")]
     s = frame("sources", [{"file_id": i, "path": p, "content": c} for i, (p, c) in enumerate(files)] * 2)
