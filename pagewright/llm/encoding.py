@@ -135,21 +135,27 @@ def undo_multibyte(text: str) -> str:
 TYPOGRAPHIC = "–—“”‘’„…€"
 
 
-def other_readings(word: str) -> list[tuple[str, str, str]]:
-    """(read, right, other) for each pair of single-byte pages in which the word has another reading."""
-    out, seen = [], {word}
-    points = [ord(c) for c in word]
+@cache
+def _pairs() -> list[tuple[str, str, frozenset[str], dict[int, int]]]:
+    """(read, right, characters that have a readable counterpart, the counterparts) of each pair of pages."""
+    out = []
     for read in SINGLE_PAGES:
-        table = byte_map(read)
-        if not all(c < 0x80 or c in table for c in points):
-            continue
         for right in SINGLE_PAGES:
-            if right != read:
+            if read != right:
                 back = reading(right)
-                other = "".join(chr(c if c < 0x80 else back[table[c]]) for c in points)
-                if other not in seen and all(c.isalpha() or ord(c) < 0x80 or c in TYPOGRAPHIC for c in other):
-                    seen.add(other)
-                    out.append((read, right, other))
+                table = {c: back[b] for c, b in byte_map(read).items() if c >= 0x80 and (chr(back[b]).isalpha() or back[b] < 0x80 or chr(back[b]) in TYPOGRAPHIC)}
+                out.append((read, right, frozenset(map(chr, table)), table))
+    return out
+
+
+def other_readings(word: str) -> list[tuple[str, str, str]]:
+    """(read, right, other) for each pair of single-byte pages in which the word has another reading."""
+    odd = {c for c in word if ord(c) >= 0x80}
+    out, seen = [], {word}
+    for read, right, readable, table in _pairs():
+        if odd <= readable and (other := word.translate(table)) not in seen:
+            seen.add(other)
+            out.append((read, right, other))
     return out
 
 
