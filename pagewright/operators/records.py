@@ -58,3 +58,13 @@ def decoration(y: Column, size: Column) -> list[Column]:
 
 def ocr_font_size(word_heights: Column) -> Column:
     return 1.15 * F.array_max(word_heights)
+
+
+def contrast(mean: Column, deviation: Column) -> Column:
+    """How a page image is prepared: flat ones are stretched, dark ones levelled."""
+    return F.when(deviation < 35, "enhance").when(mean < 100, "autocontrast").otherwise("none")
+
+
+def preview_scale(width: Column, height: Column, dpi: int = 120, longest: int = 1600) -> Column:
+    """Zoom of a preview: its resolution, or less where the longest edge would exceed its bound."""
+    return F.least(F.lit(dpi / 72), F.lit(longest) / F.greatest(width, height))

@@ -36,6 +36,13 @@ def valid_tables(tables: DataFrame, pages: DataFrame) -> DataFrame:
     return t.where(ok).select(*PAGE, F.col("node_no").alias("table_no"), F.size("all_rows").alias("n_rows"), width.alias("n_cols"), F.greatest(zero, b["x0"]).alias("x0"), F.greatest(zero, b["y0"]).alias("y0"), F.least(F.col("pw"), b["x1"]).alias("x1"), F.least(F.col("ph"), b["y1"]).alias("y1"))
 
 
+def candidate_pages(drawings: DataFrame) -> DataFrame:
+    """Pages with two horizontal and two vertical lines at least, of drawings (doc_id, page_no, p1, p2): the cheap test before a search for tables."""
+    dx, dy = F.abs(F.col("p2.x") - F.col("p1.x")), F.abs(F.col("p2.y") - F.col("p1.y"))
+    counts = drawings.groupBy(*PAGE).agg(F.count_if((dy < 2) & (dx > 15)).alias("horizontal"), F.count_if((dx < 2) & (dy > 15)).alias("vertical"))
+    return counts.where("horizontal >= 2 AND vertical >= 2")
+
+
 def comma_rows(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Lines as cells: split at commas where there are any, without quoting; (keys, col_no, cell)."""
     t = strip("text")

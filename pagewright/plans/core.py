@@ -703,6 +703,28 @@ def table_cascade(spark: SparkSession, d: str) -> DataFrame:
     return tables.cascade(n.select("doc_id", "page_no", stage.alias("stage"), F.col("node_no").alias("no")).where("stage IS NOT NULL"))
 
 
+_LINES = "SELECT doc_id, page_no, x AS x1, y AS y1, CASE WHEN element_no % 2 = 0 THEN x + width ELSE x + 0.5 END AS x2, CASE WHEN element_no % 2 = 0 THEN y + 0.5 ELSE y + 20.0 END AS y2 FROM e"
+
+
+@_query(
+    f"""WITH {Q.E}, l AS ({_LINES}), c AS (SELECT doc_id, page_no, count(*) FILTER (WHERE abs(y2 - y1) < 2 AND abs(x2 - x1) > 15) AS horizontal, count(*) FILTER (WHERE abs(x2 - x1) < 2 AND abs(y2 - y1) > 15) AS vertical FROM l GROUP BY ALL)
+    SELECT * FROM c WHERE horizontal >= 2 AND vertical >= 2"""
+)
+def table_candidate_pages(spark: SparkSession, d: str) -> DataFrame:
+    even = F.col("element_no") % 2 == 0
+    p1 = F.struct("x", "y")
+    p2 = F.struct(F.when(even, F.col("x") + F.col("width")).otherwise(F.col("x") + 0.5).alias("x"), F.when(even, F.col("y") + 0.5).otherwise(F.col("y") + 20.0).alias("y"))
+    return tables.candidate_pages(_elements(spark, d).select("doc_id", "page_no", p1.alias("p1"), p2.alias("p2")))
+
+
+@_query(
+    f"""WITH {Q.P} SELECT doc_id, page_no, CASE WHEN word_count % 90 < 35 THEN 'enhance' WHEN word_count < 100 THEN 'autocontrast' ELSE 'none' END AS preparation, round(least(120 / 72.0, 1600 / greatest(width, height)), 6) AS scale FROM p"""
+)
+def page_previews(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return _pages(spark, d).select("doc_id", "page_no", records.contrast(c("word_count"), c("word_count") % 90).alias("preparation"), F.round(records.preview_scale(c("width"), c("height")), 6).alias("scale"))
+
+
 # ---- sources, sinks, service
 
 
