@@ -11,10 +11,12 @@ gradient and Hessian by source; only two numbers a source come to the driver.  R
 rounded into copies: the whole part, and one more where a hash of the record lies under the
 fraction; the hash threshold of each source is moved until its tokens come out right.
 
-The total is by default the largest at which every source that has tokens can reach its target
-within its cap, which meets the targets as closely as can be.  ``total_tokens`` sets
-another; sources then stop at their caps and their reached shares show it.  Sources without a target (null ones too) and records
-without tokens get no copies.  A source without tokens reaches 0; the others share its part in proportion to their targets.
+The queries give ``CORPUS`` as the total: the tokens of all documents.  Every source gets its share of that or, where
+it is short, all records at its cap; the shares reached show it.  What short sources lack is not passed on to others, which
+would take all shares further from their targets.  ``total_tokens`` may also be a number.  Without it the total is the
+largest at which every source that has tokens can reach its target within its cap; the smallest source then sizes the
+whole mixture, and a source without tokens reaches 0 while the others share its part in proportion to their targets.
+Sources without a target (null ones too) and records without tokens get no copies.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .tokens import token_sizes
 #: Bins of the hash threshold; one refinement takes it to 1 / BINS**2.
 BINS = 1024
 STEPS = 40
+#: As a total: the tokens of all documents.
+CORPUS = "corpus"
 
 
 def _number(values: dict[str, float], otherwise: float = 0.0) -> Column:
@@ -84,7 +88,7 @@ def balance(sizes: DataFrame, tokens: dict[str, float], records: dict[str, float
     return done | dual | held
 
 
-def mixture(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame, total_tokens: float | str | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, rate, copies) of every document."""
     goal = _targets(targets)
     share, cap = {s: v[0] for s, v in goal.items()}, {s: v[1] for s, v in goal.items()}
@@ -99,7 +103,8 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: float | None = No
         total = min((cap[s] * tokens[s] * whole / share[s] for s in live), default=0.0)
         wanted = {s: share[s] / whole * total for s in live}
     else:
-        wanted = {s: min(share[s] * total_tokens, cap[s] * tokens[s]) for s in live}
+        total = float(rows.agg(F.sum("n_tokens")).first()[0] or 0) if total_tokens == CORPUS else float(total_tokens)
+        wanted = {s: min(share[s] * total, cap[s] * tokens[s]) for s in live}
     dual = balance(sizes, tokens, records, wanted, cap)
 
     z = F.col("n_tokens") / _number({s: tokens[s] / records[s] for s in live}, 1.0)

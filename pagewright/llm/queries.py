@@ -21,16 +21,13 @@ def _over(operator: Callable[..., DataFrame], *names: str) -> Query:
     return query
 
 
-def _mixture_shares(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    return mixture.shares(mixture.mixture(docs, targets), targets)
-
+def _mixture(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """A mixture sized by the corpus, in which short sources stop at their caps."""
+    return mixture.mixture(docs, targets, mixture.CORPUS)
 
-def _budget_shares(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Shares of a mixture as large as the corpus, in which small sources stop at their caps."""
-    from pyspark.sql import functions as F
 
-    total = tokens.token_sizes(docs, ["doc_id"]).agg(F.sum("n_tokens").alias("n")).first().n or 0
-    return mixture.shares(mixture.mixture(docs, targets, float(total)), targets)
+def _mixture_shares(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    return mixture.shares(_mixture(docs, targets), targets)
 
 
 QUERIES: dict[str, Query] = {
@@ -53,9 +50,9 @@ QUERIES: dict[str, Query] = {
     "p7_found": _over(encoding.found, "elements"),
     "p7_restored": _over(encoding.restored, "elements"),
     "p8_ids": _over(tokens.encoded, "documents"),
-    "p9_mixture": _over(mixture.mixture, "documents", "mix_targets"),
+    "p9_mixture": _over(_mixture, "documents", "mix_targets"),
     "p9_shares": _over(_mixture_shares, "documents", "mix_targets"),
-    "p9_budget_shares": _over(_budget_shares, "documents", "mix_targets"),
+    "p9_budget_shares": _over(_mixture_shares, "documents", "mix_targets"),
     "p10_found": _over(shared_spans.shared_spans, "documents"),
     "p10_report": _over(shared_spans.shared_report, "documents"),
     "p10_units": _over(shared_spans.unit_report, "documents"),

@@ -10,6 +10,7 @@ import pytest
 
 from pagewright.llm import encoding, language, lookalike, mixture, parsing, personal, scanned, secrets, shared_spans, tokens
 from pagewright.llm.gll import Grammar
+from pagewright.llm.queries import QUERIES
 
 SPACES = "\u00a0\u2007\u202f\u3000"
 
@@ -298,6 +299,19 @@ def test_mixture_meets_targets_and_caps(spark, frame):
     assert all(large[s].mixed_tokens == m * large[s].available_tokens for s, m in (("big", 1), ("mid", 2), ("small", 4)))
 
 
+def test_registered_mixture_is_sized_by_the_corpus(spark, frame, tmp_path):
+    docs = [{"doc_id": i, "source": s, "text": "word " * (5 + i % 40)} for i, s in enumerate(["big"] * 900 + ["mid"] * 300 + ["tiny"] * 2)]
+    frame("documents", docs).write.parquet(f"{tmp_path}/documents.parquet")
+    frame("mix_targets", [{"source": s, "target_share": t, "max_repeats": m} for s, t, m in (("big", 0.6, 1), ("mid", 0.3, 2), ("tiny", 0.1, 4))]).write.parquet(f"{tmp_path}/mix_targets.parquet")
+    mix = QUERIES["p9_mixture"](spark, str(tmp_path)).groupBy("source").agg({"n_tokens": "sum"}).collect()
+    total = sum(r[1] for r in mix)
+    got = {r.source: r for r in QUERIES["p9_shares"](spark, str(tmp_path)).collect()}
+    assert abs(got["big"].mixed_tokens - 0.6 * total) < 0.01 * total and abs(got["mid"].mixed_tokens - 0.3 * total) < 0.01 * total
+    assert got["tiny"].mixed_tokens == 4 * got["tiny"].available_tokens
+    copies = {r.source: r.copies for r in QUERIES["p9_mixture"](spark, str(tmp_path)).groupBy("source").sum("copies").toDF("source", "copies").collect()}
+    assert copies == {s: r.copies for s, r in got.items()}
+
+
 # ---- 10
 
 
