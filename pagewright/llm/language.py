@@ -232,13 +232,24 @@ def mislabelled_spans(nodes: DataFrame, jobs: DataFrame, documents: DataFrame, l
     return out.select("doc_id", "page_no", "node_no", "span_no", "lang")
 
 
-def document_languages(nodes: DataFrame, jobs: DataFrame, documents: DataFrame, lang_codes: DataFrame) -> DataFrame:
-    """(doc_id, lang, confidence, n_langs, label_ok) of every document with a job, by the letters of its spans."""
-    spans = span_languages(nodes, jobs, documents, lang_codes)
-    each = spans.groupBy("doc_id", "codes", "lang").agg(F.sum("n_letters").alias("n"), F.sum(F.col("confidence") * F.col("n_letters")).alias("c"))
-    docs = each.groupBy("doc_id", "codes").agg(
+def document_languages(nodes: DataFrame, jobs: DataFrame, documents: DataFrame, lang_codes: DataFrame, elements: DataFrame) -> DataFrame:
+    """(doc_id, lang, confidence, n_langs, label_ok) of every document with a job, by the letters of its spans.
+
+    Where no span has a letter, the texts of the document's elements count.  A document without
+    letters in either has no language, confidence 0 and a label that is not right.
+    """
+    model = train(documents, _codes(lang_codes))
+    labels = job_labels(jobs.where("doc_id IS NOT NULL"))
+    spans = spans_of(nodes).select("doc_id", F.lit(0).alias("place"), "text")
+    lines = elements.select("doc_id", "page_no", "element_no", "text").distinct().select("doc_id", F.lit(1).alias("place"), "text")
+    texts = spans.unionByName(lines).withColumn("n_letters", letters(F.coalesce("text", F.lit("")))).where("n_letters > 0")
+    # Documents are joined after their texts are summed up, so that a huge one is many tasks.
+    each = classified(texts, model).groupBy("doc_id", "place", "lang").agg(F.sum("n_letters").alias("n"), F.sum(F.col("confidence") * F.col("n_letters")).alias("c"))
+    docs = each.groupBy("doc_id", "place").agg(
         F.max_by("lang", F.struct("n", "lang")).alias("lang"), F.max_by(F.col("c"), F.struct("n", "lang")).alias("c"), F.sum("n").alias("n"), F.count("lang").alias("n_langs")
     )
+    docs = docs.groupBy("doc_id").agg(F.min_by(F.struct("lang", "c", "n", "n_langs"), "place").alias("d")).select("doc_id", "d.*")
+    docs = labels.join(docs, "doc_id", "left").withColumn("n_langs", F.coalesce("n_langs", F.lit(0).cast("long")))
     return docs.select("doc_id", "lang", F.when(F.col("n") > 0, F.round(F.col("c") / F.col("n"), 4)).otherwise(0.0).alias("confidence"), "n_langs", F.coalesce(F.array_contains("codes", F.col("lang")), F.lit(False)).alias("label_ok"))
 
 

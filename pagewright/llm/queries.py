@@ -39,7 +39,7 @@ QUERIES: dict[str, Query] = {
     "p2_diagnostics": _over(parsing.against_diagnostics, "sources", "diagnostics"),
     "p3_found": _over(language.mislabelled_spans, "nodes", "ocr_jobs", "documents", "lang_codes"),
     "p3_spans": _over(language.span_languages, "nodes", "ocr_jobs", "documents", "lang_codes"),
-    "p3_documents": _over(language.document_languages, "nodes", "ocr_jobs", "documents", "lang_codes"),
+    "p3_documents": _over(language.document_languages, "nodes", "ocr_jobs", "documents", "lang_codes", "elements"),
     "p3_segments": _over(language.segments, "nodes", "ocr_jobs", "documents", "lang_codes"),
     "p4_found": _over(secrets.found, "sources", "env_refs"),
     "p4_redacted": _over(secrets.redacted, "sources", "env_refs"),

@@ -148,6 +148,24 @@ def test_mislabelled_spans(spark, frame):
     assert got == {("a", 1, 0, 1, "eng"), ("b", 1, 0, 0, "deu"), ("b", 1, 0, 1, "eng")}
 
 
+def test_every_document_with_a_job_has_a_language_row(spark, frame, tmp_path):
+    def span(t):
+        return (t, None, None, None, None, None, None)
+
+    given = {
+        "documents": [{"doc_id": i, "text": t, "lang": x} for i, (t, x) in enumerate(training(random.Random(2)))],
+        "lang_codes": [{"code": c, "name": c} for c in SENTENCES],
+        "nodes": [{"doc_id": "spans", "page_no": 1, "node_no": 0, "spans": [span(". ".join(SENTENCES["deu"]))]}, {"doc_id": "blank", "page_no": 1, "node_no": 0, "spans": [span(" "), span(None)]}, {"doc_id": "null", "page_no": 1, "node_no": 0}],
+        "elements": [{"doc_id": d, "page_no": 1, "element_no": i, "text": t} for d, x in (("lines", "fra"), ("spans", "eng"), ("blank", "eng")) for i, t in enumerate([*SENTENCES[x], None])] * 2,
+        "ocr_jobs": [{"job_id": d or "-", "doc_id": d, "lang": x} for d, x in (("spans", "deu"), ("lines", "fra"), ("blank", "deu"), ("null", "deu"), ("none", None), (None, "deu"))],
+    }
+    for name, rows in given.items():
+        frame(name, rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = QUERIES["p3_documents"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.lang, r.n_langs, r.label_ok) for r in rows} == {"spans": ("deu", 1, True), "lines": ("fra", 1, True), "blank": ("eng", 1, False), "null": (None, 0, False), "none": (None, 0, False)}
+    assert len(rows) == 5 and {r.doc_id: r.confidence for r in rows}["none"] == 0.0
+
+
 # ---- 4
 
 PKCS8 = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))
