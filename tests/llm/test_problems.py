@@ -241,6 +241,19 @@ def test_scanned_pages(frame):
     assert text["elements", 1, 1] == "The museum signs the contract" and text["nodes", 2, 9] == "The museum checks the machine near the river"
 
 
+def test_rare_right_words_are_chosen_by_all_lines(frame):
+    rng = random.Random(12)
+    sides = [[a + b for a in x for b in ("nde", "rol", "mast", "pilk", "sumer")] for x in (("ka", "zo", "pe", "lu"), ("ga", "ro", "wi", "ny"))]
+    # Two right words one glyph edit from "hcot", either too seldom to come into a sample of 4,000 lines.
+    texts = [" ".join(rng.sample(sides[i % 2], 5)) + f" {i}" for i in range(40_000)]
+    texts += [" ".join([*rng.sample(x, 2), w, *rng.sample(x, 2)]) for x, w, n in ((sides[0], "heot", 14), (sides[1], "bcot", 11)) for _ in range(n)]
+    texts.append(f"{sides[1][0]} {sides[1][7]} hcot {sides[1][9]} {sides[1][14]}")
+    rows = [{"doc_id": "d", "page_no": 1 + i // 40, "element_no": i, "text": t, "y": 100.0 + i % 40 * 12, "height": 10.0, "size": 10.0} for i, t in enumerate(texts)]
+    pages = [{"doc_id": "d", "page_no": p, "height": 842.0, "is_ocr": True} for p in range(1, 2 + len(texts) // 40)]
+    got = scanned.paragraphs(frame("elements", rows), frame("nodes", []), frame("extract_pages", pages)).where(f"item_no = {len(texts) - 1}").collect()
+    assert [r.text for r in got] == [texts[-1].replace("hcot", "bcot")]
+
+
 # ---- 7
 
 
