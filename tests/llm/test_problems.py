@@ -254,6 +254,12 @@ def test_rare_right_words_are_chosen_by_all_lines(frame):
     assert [r.text for r in got] == [texts[-1].replace("hcot", "bcot")]
 
 
+def test_short_words_are_misread_too(spark):
+    words = spark.createDataFrame([("the", 500), ("des", 200), ("thc", 1), ("dcs", 1), ("del", 600), ("dei", 15), ("la", 5000), ("lo", 40), ("le", 900), ("lc", 1)], "word string, n long")
+    got = {r.word: {x.right for x in r.rights} for r in scanned.misreadings(words).collect()}
+    assert got == {"thc": {"the"}, "dcs": {"des"}}
+
+
 # ---- 7
 
 
