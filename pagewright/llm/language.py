@@ -5,8 +5,8 @@ n-grams (1 to 4, with word boundaries).  Each language has several centroids, fr
 k-means over its own training rows.  A text goes to the centroid of the highest cosine; it is
 rejected (null) when that lies below a distance bound learnt from the training rows.
 
-Training rows are a bounded sample of labelled ``documents``: at most ``TRAIN_ROWS`` a language, the
-ones of least hash.  Labels are partly wrong, so the training is repeated after rows nearer to another
+Training rows are a bounded sample of labelled ``documents``: at most ``TRAIN_ROWS`` different texts a language,
+of 60 characters and more, whole, the ones of least hash.  Labels are partly wrong, so the training is repeated after rows nearer to another
 language's centroids have been set aside.  All spans of all documents are classified.
 
 Empty texts and texts without letters have no language.  Job labels are read as any case,
@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 from .common import span_text
 from .lookalike import CYRILLIC_TWINS, GREEK_TWINS
 
-#: Labelled rows a language in the training sample, at most.
+#: Different labelled texts a language in the training sample, at most.
 TRAIN_ROWS = 500
-TRAIN_CHARS = 2000
 BUCKETS = 1 << 13
 CENTROIDS = 6
 #: Spans of fewer letters get no verdict in the found query.
@@ -168,14 +167,16 @@ def fit(rows: list[tuple[str, str]], rounds: int = 3) -> Centroids:
 def train(documents: DataFrame, codes: list[str]) -> Centroids:
     """Fit on the bounded sample of labelled documents."""
     lang = F.lower(F.trim("lang"))
-    rows = documents.where(lang.isin(codes) & (F.length("text") >= 60)).select(lang.alias("lang"), F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64("text").alias("h"))
+    rows = documents.where(lang.isin(codes) & (F.length("text") >= 60)).select(lang.alias("lang"), "text", F.xxhash64("text").alias("h"))
     if not codes:
         return fit([])
-    parts = [rows.where(F.col("lang") == c).orderBy("h", "text").limit(TRAIN_ROWS) for c in codes]
+    # Equal texts count once; only their hashes are sorted and exchanged.
+    parts = [rows.where(F.col("lang") == c).select("lang", "h").distinct().orderBy("h").limit(TRAIN_ROWS) for c in codes]
     sample = parts[0]
     for p in parts[1:]:
         sample = sample.unionAll(p)
-    return fit([(r.text, r.lang) for r in sample.select("text", "lang").collect()])
+    chosen = rows.join(F.broadcast(sample), ["lang", "h"]).dropDuplicates(["lang", "text"])  # bounded by TRAIN_ROWS
+    return fit([(r.text, r.lang) for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.h, r.text))])
 
 
 def label_codes(col: Column) -> Column:

@@ -166,6 +166,14 @@ def test_every_document_with_a_job_has_a_language_row(spark, frame, tmp_path):
     assert len(rows) == 5 and {r.doc_id: r.confidence for r in rows}["none"] == 0.0
 
 
+def test_training_takes_different_whole_texts(frame, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda rows: seen.extend(rows))
+    texts = ["The same text again and again. " * 3] * 2000 + [f"{i} The committee signs the report for the archive of the town. " + "x" * 3000 for i in range(40)]
+    language.train(frame("documents", [{"doc_id": i, "text": t, "lang": "eng"} for i, t in enumerate(texts)]), ["eng"])
+    assert sorted(t for t, _ in seen) == sorted(set(texts))
+
+
 # ---- 4
 
 PKCS8 = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))
