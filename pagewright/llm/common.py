@@ -35,6 +35,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys that are broadcast, at most: each holds more than a ``HOT_KEYS``-th of all rows.
+HOT_KEYS = 10_000
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, on: list[str], more: list[str] | None = None) -> DataFrame:
+    """``rows`` whose ``on`` stands in ``keys``, with the columns ``more`` of it.
+
+    ``keys`` has every key once, and in ``n`` how many rows hold it.  Keys of so many rows that there can't be more
+    than ``HOT_KEYS`` of them are joined by broadcast, all others by a shuffle in which no key is hot.
+    """
+    total = keys.agg(F.sum("n")).first()[0] or 0  # one value
+    hot, kept = F.col("n") > total / HOT_KEYS, [*on, *(more or [])]
+    many, few = keys.where(hot).select(*kept), keys.where(~hot).select(*kept)
+    cold = rows.join(F.broadcast(many.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(many), on).select(*rows.columns, *(more or [])).unionByName(cold.join(few, on).select(*rows.columns, *(more or [])))
+
+
 def tokenizer_dir() -> str:
     """Folder of the public tokenizer files; the PAGEWRIGHT_TOKENIZERS variable names another."""
     return os.environ.get("PAGEWRIGHT_TOKENIZERS", "/opt/tokenizers")

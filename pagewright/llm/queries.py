@@ -56,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "p10_found": _over(shared_spans.shared_spans, "documents"),
     "p10_report": _over(shared_spans.shared_report, "documents"),
     "p10_units": _over(shared_spans.unit_report, "documents"),
+    "p10_text": _over(shared_spans.without_repeats, "documents"),
 }
 
 _WINDOWS = f"""
@@ -67,6 +68,12 @@ opens AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER
 runs AS (SELECT doc_id, s, sum(o) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM opens),
 spans AS (SELECT doc_id, CAST(min(s) AS INTEGER) AS span_start, CAST(max(s) + {shared_spans.LENGTH} AS INTEGER) AS span_end FROM runs GROUP BY doc_id, r)"""
 
+_UNITS = rf"""
+listed AS (SELECT doc_id, regexp_extract_all(text, '{shared_spans.UNIT}') AS units FROM documents WHERE length(text) > 0),
+cells AS (SELECT doc_id, unnest(units) AS unit, CAST(generate_subscripts(units, 1) - 1 AS INTEGER) AS unit_no FROM listed),
+placed AS (SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY unit_no) AS span_end FROM cells),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(unit), '[ \t\r\n\f]+', ' ', 'g'), ' ') ORDER BY doc_id, span_end) AS place FROM placed WHERE length(unit) >= {shared_spans.LEAST_UNIT})"""
+
 SQL: dict[str, str] = {
     "p1_found": lookalike.found_sql(),
     "p10_found": f"WITH {_WINDOWS} SELECT doc_id, span_start, span_end FROM spans",
@@ -74,4 +81,9 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(length(d.text), 0) AS INTEGER) AS n_chars, coalesce(c, 0) AS shared_chars,
                CASE WHEN length(d.text) > 0 THEN CAST(coalesce(c, 0) AS DOUBLE) / length(d.text) ELSE 0.0 END AS shared_part
         FROM documents d LEFT JOIN sums USING (doc_id)""",
+    "p10_units": rf"""WITH {_UNITS}
+        SELECT doc_id, unit_no, CAST(span_end - length(unit) AS INTEGER) AS span_start, CAST(span_end AS INTEGER) AS span_end, place = 1 AS kept FROM ranked""",
+    "p10_text": rf"""WITH {_UNITS}, gone AS (SELECT doc_id, list(unit_no) AS nos, list({{'span_start': CAST(span_end - length(unit) AS INTEGER), 'span_end': CAST(span_end AS INTEGER)}} ORDER BY span_end) AS removed FROM ranked WHERE place > 1 GROUP BY doc_id),
+        kept AS (SELECT u.doc_id, string_agg(CASE WHEN list_contains(nos, unit_no) THEN '' ELSE unit END, '' ORDER BY unit_no) AS text FROM placed u JOIN gone USING (doc_id) GROUP BY u.doc_id)
+        SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE k.text END AS text, coalesce(removed, []) AS removed FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN gone g ON g.doc_id = d.doc_id""",
 }

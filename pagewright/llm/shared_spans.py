@@ -1,22 +1,25 @@
 """Problem 10: long exact spans that records share.
 
-Two operators:
-
-* ``unit_report`` hashes sentences and lines, groups their digests globally, keeps the earliest
-  ranked occurrence and marks the rest, with original offsets retained.
-* ``shared_spans`` gives the exact code points that lie in ``length`` code points standing in another
-  record.  Units of punctuation cannot give that, as copies begin and end inside sentences; so
-  its units are cut by content: of every ``length`` code points one gram is selected by its hash
-  (winnowing), which two equal stretches do alike.  Gram digests are grouped globally; only
-  windows whose gram is shared are hashed whole and grouped once more, at 128 bits.
-
-No group is collected: both groupings keep the least and the greatest doc_id of a digest, which
-combine before the shuffle.  Null, empty and shorter texts have no spans.  A text's own
-repetitions are no sharing.
+Lines and sentences (units) are normalised and hashed, and their digests are grouped globally.
+
+* ``unit_report`` keeps the earliest ranked occurrence of each digest and marks the rest, with original
+  offsets retained; ``without_repeats`` removes them.
+* ``shared_spans`` gives the exact code points that lie in ``length`` code points standing in another record.
+  Of equal texts, found by the digest of the whole, only the one of least doc_id goes on.  Every window
+  of ``length`` code points has a mark: the digest of the longest unit that lies in it with both its bounds.  A
+  window that holds no unit has a gram chosen by its hash in place of one (winnowing).  A mark
+  depends on nothing outside its window, so equal windows have equal marks.  Only windows whose mark stands
+  in two different texts are hashed whole, at 128 bits, and grouped once more.
+
+No group is collected: groupings keep the least and the greatest key of a digest, which
+combine before the shuffle; digests that hold a large part of all rows are joined by broadcast.  Null, empty
+and shorter texts have no spans, nor have rows without a doc_id.  A text's own repetitions are no sharing.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, semi_join
 
 #: Code points from which a common stretch counts.
 LENGTH = 200
 
+#: Code points of the shortest unit that is compared.
+LEAST_UNIT = 20
+
+# What ends a unit, and the white space that goes with it.
+UNIT_END = r"[\n.!?]+[ \t\r\n\f]*"
+UNIT = rf"[^\n.!?]*{UNIT_END}|[^\n.!?]+"
+_UNIT_END, _BLANKS = re.compile(UNIT_END), re.compile(r"[ \t\r\n\f]+")
+
 #: Long texts are hashed in pieces of so many code points, which overlap by ``length`` - 1.
 PIECE = 1 << 20
 
@@ -86,21 +97,47 @@ def _pieces(points: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]
         yield at, points[at : at + PIECE + length - 1]
 
 
-def _anchors(length: int):
+def digest(unit: str) -> bytes:
+    """128 bits of a unit without case and kinds of white space."""
+    return hashlib.md5(_BLANKS.sub(" ", unit.lower()).strip(" ").encode("utf-8", "surrogatepass")).digest()
+
+
+def _cuts(text: str) -> list[tuple[int, int]]:
+    """(place, place of the sign that shows it) of every bound between two units."""
+    return [(m.end(), m.start() + len(m[0].rstrip(" \t\r\f")) - 1) for m in _UNIT_END.finditer(text) if m.end() < len(text)]
+
+
+def marks(text: str, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each window's mark, and whether it is a unit's."""
+    points = _points(text)
+    mark, by_unit = np.zeros(len(points) - length + 1, np.uint64), np.zeros(len(points) - length + 1, bool)
+    cuts = _cuts(text)
+    units = []
+    for (start, shown), (end, _) in zip(cuts, cuts[1:], strict=False):
+        if LEAST_UNIT <= end - start and end - shown < length:
+            units.append((end - start, int.from_bytes(digest(text[start:end])[:8], "little"), shown, end))
+    for _, m, shown, end in sorted(units):  # the longest is written last
+        first = max(0, end + 1 - length)
+        mark[first : shown + 1], by_unit[first : shown + 1] = m, True
+    gaps = np.flatnonzero(np.diff(np.concatenate(([True], by_unit, [True])).astype(np.int8)))
+    for a, b in zip(gaps[::2], gaps[1::2], strict=True):
+        for at, piece in _pieces(points[a : b + length - 1], length):
+            place, h = selected(piece, length)
+            mark[a + at : a + at + len(place)] = h[place]
+    return mark, by_unit
+
+
+def _marks(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hashes = [], []
-            for doc, text in zip(b.column("doc_id").to_numpy(zero_copy_only=False), b.column("text").to_pylist(), strict=True):
-                points = _points(text)
-                found = []
-                for _, piece in _pieces(points, length):
-                    at, h = selected(piece, length)
-                    found.append(h[np.unique(at)])
-                h = np.unique(np.concatenate(found))
-                hashes.append(h.view(np.int64))
-                ids.append(np.full(len(h), doc, np.int64))
+            ids, keys, out = [], [], []
+            for doc, key, text in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                own = np.unique(marks(text, length)[0])
+                out.append(own.view(np.int64))
+                ids.append(np.full(len(own), doc, np.int64))
+                keys.append(np.full(len(own), key, np.int64))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(hashes))], names=["doc_id", "anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, out)], names=["doc_id", "key", "mark"])
 
     return run
 
@@ -108,36 +145,42 @@ def _anchors(length: int):
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, shared in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("anchors").to_pylist(), strict=True):
-                shared = np.sort(np.array(shared, np.int64).view(np.uint64))
-                for begin, piece in _pieces(_points(text), length):
-                    at, h = selected(piece, length)
-                    use = np.flatnonzero(np.isin(h[at], shared))
-                    if not len(use):
-                        continue
-                    one, two = (gram_hashes(piece, length, base)[use].view(np.int64) for base in _ODD)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(use), doc, np.int64)), pa.array((use + begin).astype(np.int32)), pa.array(one), pa.array(two)],
-                        names=["doc_id", "start", "h1", "h2"],
-                    )
+            for doc, text, shared in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
+                use = np.flatnonzero(np.isin(marks(text, length)[0], np.array(shared, np.int64).view(np.uint64)))
+                if not len(use):
+                    continue
+                points = _points(text)
+                one, two = (gram_hashes(points, length, base)[use].view(np.int64) for base in _ODD)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(use), doc, np.int64)), pa.array(use.astype(np.int32)), pa.array(one), pa.array(two)], names=["doc_id", "start", "h1", "h2"])
 
     return run
 
 
+def _copies(long: DataFrame) -> DataFrame:
+    """(doc_id, first, n_chars) of the records whose whole text stands in another; ``first`` has the least doc_id."""
+    rows = long.select("doc_id", F.unhex(F.md5("text")).alias("whole"), F.length("text").alias("n_chars"))
+    groups = cut(rows.groupBy("whole").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.max("doc_id").alias("last")).where("least <> last").drop("last"))
+    rows = semi_join(rows, groups, ["whole"], ["least"])
+    return rows.select("doc_id", (F.col("doc_id") == F.col("least")).alias("first"), "n_chars").distinct()
+
+
 def shared_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, span_start, span_end): maximal runs of code points shared with another doc_id."""
-    long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= length)
-    anchors = cut(long.mapInArrow(_anchors(length), "doc_id long, anchor long"))
-    common = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor")
-    # The anchors of one text are bounded by its length, so this list is no group of texts.
-    per_doc = anchors.join(common, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where((F.length("text") >= length) & F.col("doc_id").isNotNull())
+    copies = cut(_copies(long))
+    found = cut(long.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_marks(length), "doc_id long, key long, mark long"))
+    common = cut(found.groupBy("mark").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("a <> b").select("mark", "n"))
+    # The marks of one text are bounded by its length, so this list is no group of texts.
+    per_doc = semi_join(found.select("doc_id", "mark"), common, ["mark"]).groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    per_doc = per_doc.join(copies.where("NOT first").select("doc_id"), "doc_id", "left_anti")
     windows = cut(long.join(per_doc, "doc_id").mapInArrow(_windows(length), "doc_id long, start int, h1 long, h2 long"))
-    twice = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h1", "h2")
-    starts = windows.join(twice, ["h1", "h2"], "left_semi").select("doc_id", "start")
+    twice = cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a <> b").select("h1", "h2", "n"))
+    starts = semi_join(windows, twice, ["h1", "h2"]).select("doc_id", "start").join(copies.select("doc_id"), "doc_id", "left_anti")
     w = Window.partitionBy("doc_id").orderBy("start")
     runs = starts.withColumn("opens", F.coalesce(F.col("start") - F.lag("start").over(w) > length, F.lit(True)))
     runs = runs.withColumn("run", F.sum(F.col("opens").cast("int")).over(w))
-    return runs.groupBy("doc_id", "run").agg(F.min("start").alias("span_start"), (F.max("start") + F.lit(length)).cast("int").alias("span_end")).drop("run")
+    parts = runs.groupBy("doc_id", "run").agg(F.min("start").alias("span_start"), (F.max("start") + F.lit(length)).cast("int").alias("span_end")).drop("run")
+    return parts.unionByName(copies.select("doc_id", F.lit(0).alias("span_start"), F.col("n_chars").alias("span_end")))
 
 
 def shared_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -149,24 +192,49 @@ def shared_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return every.select("doc_id", "n_chars", shared.cast("long").alias("shared_chars"), F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(0.0).alias("shared_part"))
 
 
-UNIT = r"[^\n.!?]*[\n.!?]+\s*|[^\n.!?]+"
+def _units(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, no, start, end, digests = [], [], [], [], []
+            for k, text in enumerate(b.column("text").to_pylist()):
+                bounds = [0, *(p for p, _ in _cuts(text)), len(text)]
+                for i, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    if y - x >= least:
+                        doc.append(k)
+                        no.append(i)
+                        start.append(x)
+                        end.append(y)
+                        digests.append(digest(text[x:y]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(x, pa.int32()) for x in (no, start, end)), pa.array(digests, pa.binary())], names=["doc_id", "unit_no", "span_start", "span_end", "digest"]
+            )
+
+    return run
 
 
-def unit_report(docs: DataFrame, least: int = 20) -> DataFrame:
+def unit_report(docs: DataFrame, least: int = LEAST_UNIT) -> DataFrame:
     """Every sentence or line of at least ``least`` code points: (doc_id, unit_no, span_start, span_end, kept).
 
     Units are compared lower-cased, with white space squeezed; of equal ones the earliest by
     (doc_id, offset) is kept.
     """
-    units = F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))
-    lengths = F.transform(units, lambda u: F.length(u))
-    ends = F.aggregate(
-        lengths, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array((F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, -1).otherwise(F.lit(None).cast("int"))), F.lit(0)) + n).cast("int")))
-    )
-    rows = docs.select("doc_id", units.alias("units"), ends.alias("ends")).select("doc_id", F.posexplode(F.arrays_zip("units", "ends")).alias("unit_no", "u"))
-    rows = rows.select("doc_id", "unit_no", (F.col("u.ends") - F.length("u.units")).alias("span_start"), F.col("u.ends").alias("span_end"), F.col("u.units").alias("unit"))
-    rows = rows.where(F.length("unit") >= least)
-    rows = rows.withColumn("digest", F.md5(F.trim(F.regexp_replace(F.lower("unit"), r"\s+", " ")))).drop("unit")
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "span_start")).alias("first"))
-    kept = F.struct("doc_id", "span_start") == F.col("first")
-    return rows.join(first, "digest").select("doc_id", "unit_no", "span_start", "span_end", kept.alias("kept"))
+    texts = docs.where(F.length("text") > 0).select("doc_id", "text")
+    rows = cut(texts.mapInArrow(_units(least), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, unit_no int, span_start int, span_end int, digest binary"))
+    groups = cut(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "span_start")).alias("first"), F.count("*").alias("n")))
+    again = semi_join(rows, groups.where("n > 1"), ["digest"], ["first"]).withColumn("kept", F.struct("doc_id", "span_start") == F.col("first"))
+    once = semi_join(rows, groups.where("n = 1"), ["digest"]).withColumn("kept", F.lit(True))
+    return once.select("doc_id", "unit_no", "span_start", "span_end", "kept").unionByName(again.select("doc_id", "unit_no", "span_start", "span_end", "kept"))
+
+
+def without_repeats(docs: DataFrame, least: int = LEAST_UNIT) -> DataFrame:
+    """(doc_id, text, removed array<struct<span_start, span_end>>): repeated units are gone, ``removed`` has their original places.
+
+    A null text stays null; a text of repeats only becomes empty.
+    """
+    gone = unit_report(docs, least).where("NOT kept").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("removed"))  # bounded by a record's text
+    rows = docs.select("doc_id", "text").join(gone, "doc_id", "left")
+    starts = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["span_end"]))
+    ends = F.concat(F.transform("removed", lambda r: r["span_start"]), F.array(F.length("text")))
+    kept = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), "")
+    none = F.array().cast("array<struct<span_start:int,span_end:int>>")
+    return rows.select("doc_id", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce("removed", none).alias("removed"))

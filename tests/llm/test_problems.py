@@ -391,6 +391,28 @@ def test_shared_spans_equal_brute_force(frame, length):
     assert {tuple(r) for r in shared_spans.shared_spans(docs, length).collect()} == brute(texts, length)
 
 
+@pytest.mark.parametrize("length", [20, 40])
+def test_shared_spans_by_units_equal_brute_force(frame, length, monkeypatch):
+    monkeypatch.setattr(shared_spans, "LEAST_UNIT", 5)
+    rng = random.Random(length)
+    pool = ["".join(rng.choice("abc .\n  ") for _ in range(90)) for _ in range(4)] + [". " + " " * 45 + "Next.\nIt ends. " * 3]
+    texts = []
+    for i in range(60):
+        parts = [rng.choice(pool)[rng.randrange(30) : rng.randrange(40, 90)] if rng.random() < 0.7 else "".join(rng.choice("abcdefgh . ") for _ in range(rng.randrange(60))) for _ in range(3)]
+        texts.append((i, "".join(parts)))
+    texts += [(i + 100, texts[i][1]) for i in range(4)] + [(i + 200, "x" + texts[i][1]) for i in range(4)]
+    assert any(shared_spans.marks(t, length)[1].any() for _, t in texts if len(t) >= length)
+    docs = frame("documents", [{"doc_id": i, "text": t} for i, t in texts] + [{"doc_id": None, "text": texts[0][1]}])
+    assert {tuple(r) for r in shared_spans.shared_spans(docs, length).collect()} == brute(texts, length)
+
+
+def test_repeats_are_removed_at_their_places(frame):
+    docs = frame("documents", [{"doc_id": 1, "text": "This sentence stands here twice over. A short one. "}, {"doc_id": 2, "text": "é Intro of its own.  This sentence STANDS here twice over. The rest of it is new."}, {"doc_id": 3, "text": None}, {"doc_id": 4, "text": "this sentence stands here twice over."}])
+    rows = {r.doc_id: r for r in shared_spans.without_repeats(docs).collect()}
+    assert rows[2].text == "é Intro of its own.  The rest of it is new." and [tuple(x) for x in rows[2].removed] == [(21, 59)]
+    assert rows[1].removed == [] and rows[3].text is None and rows[4].text == ""
+
+
 def test_units_keep_the_earliest(frame):
     docs = frame("documents", [{"doc_id": 1, "text": "This sentence stands here twice over. Another one that is only here."}, {"doc_id": 2, "text": "Intro text of its own kind. THIS sentence  stands here twice over."}, {"doc_id": 3, "text": None}])
     rows = {(r.doc_id, r.unit_no): (r.span_start, r.span_end, r.kept) for r in shared_spans.unit_report(docs).collect()}
