@@ -2,10 +2,10 @@
 
 A file is scanned for literals that stand where a credential stands: assigned to a telling name,
 as argument, default, header, user part of a URL, comment, or in place of a variable's name.
-Every literal of an encoded look is then decoded, layer after layer (base64, hex, percent, escapes);
-decoded text is scanned again, decoded bytes are parsed by the grammar of key containers (DER:
-PKCS#1, PKCS#8, SEC 1, SPKI, X.509; OpenSSH).  What a hidden layer holds redacts the whole enclosing
-literal, so the code around it stays as it was.
+Every literal of an encoded look, wrapped over lines or not, is then decoded, layer after layer (base64, hex,
+percent, escapes) until nothing is left to decode; decoded text is scanned again, decoded bytes are parsed by the
+grammar of key containers (DER: PKCS#1, PKCS#8, SEC 1, SPKI, X.509; OpenSSH).  What a hidden layer holds redacts
+the whole enclosing literal with all its lines; quotes and line ends stay, and so does the code around it.
 
 Null and empty contents have no findings.  Placeholders, references, digests, public keys and
 certificates are none.  Rows of one file_id count once.
@@ -20,10 +20,11 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEPTH = 4
+#: Shortest encoded literal that can hold a credential: seven characters, as ``pw=abcd``, in base64.
+LEAST_ENCODED = 10
 MARK = "REDACTED"
 
 # Last words of a name that holds a credential; two-word endings for keys.
@@ -48,7 +49,10 @@ _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
 # Published shapes of providers' keys.
-_SHAPES = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_\-]{35}|glpat-[\w\-]{20,}|npm_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,})")
+_SHAPES = re.compile(
+    r"\b(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|xox[baprs]-[A-Za-z0-9-]{10,}|xapp-\d-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_\-]{35}|glpat-[\w\-]{20,}|npm_[A-Za-z0-9]{36}|pypi-[\w\-]{40,}|hf_[A-Za-z0-9]{30,}"
+    r"|SG\.[\w\-]{16,}\.[\w\-]{16,}|ya29\.[\w\-]{20,}|shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}|dop_v1_[0-9a-f]{64}|key-[0-9a-f]{32}|sq0csp-[\w\-]{43}|NRAK-[A-Z0-9]{27}|[a-z]{2,6}_live_[A-Za-z0-9]{16,})"
+)
 _COMMENT = re.compile(r"""(?i)(?:^\s*|[^:\w"'])(?:\#|//|;|--|<!--|\*)\s*(?P<name>(?:[A-Za-z][\w\-]*\s+){0,5}?[A-Za-z][\w\-]*)\s*[:=]\s*["'`]?(?P<v>[^"'`\n]+?)["'`]?\s*(?:-->)?\s*$""")
 _PROSE = re.compile(r"(?i)^(?:see|ask|in|is|from|the|a|an|kept|stored|set|read|use|now|moved|rotate|via|at|by|on|for|of|to|and|or|not)\b")
 _WORD_ENDS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[\s_.\-]+")
@@ -133,9 +137,14 @@ def key_container(b: bytes) -> str | None:
     return None
 
 
+_PERCENTS = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})")  # a percent sign that was escaped over and over
+_ENCODED = r"[A-Za-z0-9+/_\-=%\\]"
+_RUN = re.compile(rf"{_ENCODED}{{{LEAST_ENCODED},}}")
+
+
 def layers(value: str) -> Iterator[bytes]:
     """What the value is when one layer is taken off, in each way that fits."""
-    if "%" in value and re.search(r"%[0-9A-Fa-f]{2}", value) and (u := unquote(value)) != value:
+    if "%" in value and re.search(r"%[0-9A-Fa-f]{2}", value) and (u := unquote(_PERCENTS.sub("%", value))) != value:
         yield u.encode("utf-8", "replace")
     if "\\" in value and re.search(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{3}|n)", value):
         try:
@@ -143,31 +152,66 @@ def layers(value: str) -> Iterator[bytes]:
         except UnicodeDecodeError:
             pass
     packed = re.sub(r"\s+", "", value)
-    if len(packed) >= 16 and len(packed) % 2 == 0 and re.fullmatch(r"(?:0x)?[0-9A-Fa-f]+", packed):
+    if len(packed) >= LEAST_ENCODED and len(packed) % 2 == 0 and re.fullmatch(r"(?:0x)?[0-9A-Fa-f]+", packed):
         yield bytes.fromhex(packed.removeprefix("0x"))
-    if len(packed) >= 16 and re.fullmatch(r"[A-Za-z0-9+/_\-]+={0,2}", packed):
+    if len(packed) >= LEAST_ENCODED and re.fullmatch(r"[A-Za-z0-9+/_\-]+={0,2}", packed):
         try:
             yield base64.b64decode(packed.replace("-", "+").replace("_", "/") + "=" * (-len(packed.rstrip("=")) % 4) if not packed.endswith("=") else packed.replace("-", "+").replace("_", "/"))
         except (binascii.Error, ValueError):
             pass
 
 
-def hidden(value: str, depth: int = DEPTH) -> bool:
-    """Whether a credential lies under the value's layers."""
-    if depth == 0 or len(value) < 16:
-        return False
-    for inner in layers(value):
-        if key_container(inner) == "private":
-            return True
-        try:
-            text = inner.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if len(text) >= 8 and sum(c.isprintable() or c in "\r\n\t" for c in text) == len(text) and (scan(text, depth - 1) or hidden(text, depth - 1)):
-            return True
+def hidden(value: str) -> bool:
+    """Whether a credential lies under the value's layers, however many; every layer is shorter than the one around it."""
+    work, seen = [value], {value}
+    while work:
+        for inner in layers(work.pop()):
+            if key_container(inner) == "private":
+                return True
+            try:
+                text = inner.decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if not all(c.isprintable() or c in "\r\n\t" for c in text):
+                continue
+            if scan(text, False):
+                return True
+            further = [text, *(text[a:b] if p is None else p for a, b, p in encoded(text))]
+            work += [x for x in further if len(x) >= LEAST_ENCODED and x not in seen]
+            seen.update(further)
     return False
 
 
+_WRAP_HEAD = re.compile(rf"({_ENCODED}{{8,}})[\"']?[ \t]*[\\+]?[ \t]*\r?$")
+_WRAP_LINE = re.compile(rf"[ \t]*(?:\+[ \t]*)?(?:[rbuRBU]{{0,2}}[\"'])?({_ENCODED}+)")
+
+
+def encoded(text: str) -> Iterator[tuple[int, int, str | None]]:
+    """(start, end, joined) of the literals that look encoded; ``joined`` without line breaks where they are wrapped."""
+    for m in _RUN.finditer(text):
+        yield m.start(), m.end(), None
+    at = 0
+    block: list[tuple[int, int]] = []  # runs that end one line and begin the next
+    for line in text.split("\n"):
+        whole = _WRAP_LINE.match(line)
+        head = _WRAP_HEAD.search(line)
+        if block and whole:
+            block.append((at + whole.start(1), at + whole.end(1)))
+        if block and not (whole and head and head.start(1) <= whole.start(1)):  # the line does not go on to its end
+            yield from _wrapped(text, block)
+            block = []
+        if not block and head:
+            block = [(at + head.start(1), at + head.end(1))]
+        at += len(line) + 1
+    yield from _wrapped(text, block)
+
+
+def _wrapped(text: str, block: list[tuple[int, int]]) -> Iterator[tuple[int, int, str | None]]:
+    for runs in (block, block[1:]):  # the first may be a word before the literal
+        if len(runs) > 1:
+            yield runs[0][0], runs[-1][1], "".join(re.sub(r"\\n$", "", text[a:b]) for a, b in runs)
+
+
 # ---- the scan
 
 Span = tuple[int, int]
@@ -182,22 +226,41 @@ def _value(text: str, at: int, end: int, config: bool, dashed: bool) -> tuple[in
         if len(quote) == 3:
             stop = text.find(quote, start)
             stop = len(text) if stop < 0 else stop
-            return None if text[start:stop].lstrip().startswith("-----BEGIN") or "\n" in text[start:end].strip() else (start, min(stop, end), text[start : min(stop, end)])
+            body = text[start:stop]
+            if body.lstrip().startswith("-----BEGIN"):
+                return None
+            if not text[start:end].strip() and re.fullmatch(rf"\s*{_ENCODED}{{16,}}(?:\s+{_ENCODED}+)*\s*", body):  # the value begins on the next line
+                start += len(body) - len(body.lstrip())
+                return start, start + len(body.strip()), body.split()[0]
+            return start, start + len(body.rstrip()), text[start : min(stop, end)]
         stop = start
         while stop < end and text[stop] != quote:
             stop += 2 if text[stop] == "\\" else 1
-        return start, min(stop, end), text[start : min(stop, end)]
+        return start, _continued(text, min(stop, end), quote), text[start : min(stop, end)]
     if at < end and text[at] == "(" and not text[at + 1 : end].strip():
         m = re.compile(r"\s*(?:\#[^\n]*\n\s*)*[rbuRBU]?([\"'])((?:[^\"'\n\\]|\\.)*)").match(text, at + 1)
-        return (m.start(2), m.end(2), m[2]) if m else None
+        return (m.start(2), _continued(text, m.end(2), m[1]), m[2]) if m else None
     raw = re.split(r"\s+[#;]\s|[&\s]?[\"'`]|&", text[at:end], maxsplit=1)[0].rstrip().rstrip(",;")
     if not raw or not config or _EXPRESSION.match(raw) and not dashed and not any(c.isdigit() for c in raw) and "." in raw or raw[0] in "[{(|>&*!":
         return None
     return at, at + len(raw), raw
 
 
-def scan(text: str, depth: int = DEPTH) -> list[Span]:
-    """Places of the literal credentials in a text, in order and without overlaps."""
+_NEXT_PIECE = re.compile(r"""[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+[ \t]*(?:\\?\r?\n[ \t]*)?)?[rbuRBU]?(["'])((?:[^"'\n\\]|\\.)+)""")
+
+
+def _continued(text: str, end: int, quote: str) -> int:
+    """The end of the last literal that is put together with the one that ends at ``end``."""
+    while text.startswith(quote, end) and (m := _NEXT_PIECE.match(text, end + 1)) and m[1] == quote and text.startswith(quote, m.end()):
+        after = text[m.end() + 1 : m.end() + 40].lstrip(" \t")
+        if after[:1] in (":", "]") or not text[end + 1 : m.start(1)].strip(" \t") and after[:1] == "=":
+            break  # a key of its own
+        end = m.end()
+    return end
+
+
+def scan(text: str, deep: bool = True) -> list[Span]:
+    """Places of the literal credentials in a text, in order and without overlaps; with ``deep``, of encoded ones too."""
     found: list[Span] = []
     code = bool(_CODE_LINE.search(text))
     for m in _PRIVATE.finditer(text):
@@ -246,10 +309,14 @@ def scan(text: str, depth: int = DEPTH) -> list[Span]:
                 found.append(m.span("v"))
         if (m := _COMMENT.search(text[start:end])) and secret_name(m["name"].strip()) and literal(m["v"]) and not _PROSE.match(m["v"]):
             found.append((start + m.start("v"), start + m.end("v")))
-        if depth:
-            for m in re.finditer(r"[A-Za-z0-9+/_\-=%\\]{24,}", text[start:end]):
-                if hidden(m[0], depth - 1):
-                    found.append((start + m.start(), start + m.end()))
+    if deep:
+        known: dict[str, bool] = {}
+        for a, b, joined in encoded(text):
+            value = text[a:b] if joined is None else joined
+            if value not in known:
+                known[value] = hidden(value)
+            if known[value]:
+                found.append((a, b))
     out: list[Span] = []
     for a, b in sorted(found):
         if out and a < out[-1][1]:
@@ -271,24 +338,45 @@ def with_names(text: str, spans: list[Span], names: list[str]) -> list[Span]:
     return spans
 
 
+_QUOTED_LINE = re.compile(r"""(?P<lead>\s*(?:\+\s*)?[rbuRBU]{0,2})(?P<q>["'])(?P<body>.*?)(?P<tail>(?P=q)[ \t]*[,+\\]?[ \t]*\r?)?$""")
+
+
 def redact(text: str, spans: list[Span]) -> str:
-    """The text with each place replaced; line breaks within a place stay, so line numbers hold."""
+    """The text with each place replaced; quotes and line breaks within a place stay, so the code and its line numbers hold."""
     parts, at = [], 0
     for a, b in spans:
-        parts += (text[at:a], MARK + "".join(re.findall(r"\r?\n", text[a:b])))
+        parts += (text[at:a], _blanked(text, a, b))
         at = b
     return "".join(parts) + text[at:]
 
 
+def _blanked(text: str, a: int, b: int) -> str:
+    first, *rest = text[a:b].split("\n")
+    out = [MARK]
+    quote = text[a - 1 : a]
+    if rest and quote in "\"'" and quote and (m := re.search(rf"{quote}[ \t]*[,+\\]?[ \t]*\r?$", first)):
+        out[0] += m[0]  # the literal is closed on its line
+    elif rest and first.endswith("\r"):
+        out[0] += "\r"
+    elif not rest and quote in "\"'" and quote and (inner := re.findall(rf"{quote}\s*\+?\s*[rbuRBU]?{quote}", first)):
+        out[0] += "".join(inner)  # pieces on one line
+    for k, line in enumerate(rest):
+        m = _QUOTED_LINE.match(line)
+        if m and (m["tail"] or k == len(rest) - 1):
+            out.append(m["lead"] + m["q"] + (m["tail"] or ""))
+        else:
+            out.append("\r" if line.endswith("\r") else "")
+    return "\n".join(out)
+
+
 def _files(sources: DataFrame, env_refs: DataFrame | None) -> DataFrame:
-    """(file_id, content, names): each file once, its latest submission, with the names that references show."""
+    """(file_id, received_at, submitted_at, content, names): every submission, with the names that references show."""
     path = F.regexp_replace("path", r"\\", "/")
-    latest = sources.groupBy("file_id").agg(F.max_by(F.struct("task_id", path.alias("path"), "content"), F.struct("received_at", "submitted_at", "content")).alias("f"))
-    files = latest.select("file_id", "f.task_id", "f.path", "f.content").where("content IS NOT NULL")
+    files = sources.select("file_id", "received_at", "submitted_at", "task_id", path.alias("path"), "content")
     if env_refs is None:
-        return files.select("file_id", "content", F.array().cast("array<string>").alias("names"))
+        return files.select("file_id", "received_at", "submitted_at", "content", F.array().cast("array<string>").alias("names"))
     names = env_refs.where(F.length("name") >= 12).where(~F.col("name").rlike("^[A-Z_]+$")).groupBy("task_id", F.regexp_replace("source_file", r"\\", "/").alias("path")).agg(F.collect_set("name").alias("names"))
-    return files.join(names, ["task_id", "path"], "left").select("file_id", "content", "names")
+    return files.join(names, ["task_id", "path"], "left").select("file_id", "received_at", "submitted_at", "content", "names")
 
 
 def _spans(content: str, names: list[str] | None) -> list[Span]:
@@ -296,26 +384,32 @@ def _spans(content: str, names: list[str] | None) -> list[Span]:
 
 
 def found(sources: DataFrame, env_refs: DataFrame | None = None) -> DataFrame:
-    """(file_id, line_no) of every line on which a literal credential begins."""
+    """(file_id, line_no) of every line on which a literal credential begins.
+
+    Submissions are scanned where they lie; their lines, not their contents, are exchanged to find each file's latest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lines = [], []
-            for i, content, names in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                for n in sorted({content.count("\n", 0, a) + 1 for a, _ in _spans(content, names)}):
-                    ids.append(i)
-                    lines.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32())], names=["file_id", "line_no"])
+            lines = [None if c is None else sorted({c.count("\n", 0, a) + 1 for a, _ in _spans(c, names)}) for c, names in zip(b.column("content").to_pylist(), b.column("names").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(lines, pa.list_(pa.int32()))], names=[*kept, "lines"])
 
-    return _files(sources, env_refs).mapInArrow(run, "file_id long, line_no int")
+    rows = _files(sources, env_refs).withColumn("digest", F.md5("content"))
+    kept = ["file_id", "received_at", "submitted_at", "digest"]
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in kept) + ", lines array<int>"
+    each = rows.select(*kept, "content", "names").mapInArrow(run, schema)
+    latest = each.groupBy("file_id").agg(F.max_by("lines", F.struct("received_at", "submitted_at", "digest")).alias("lines"))
+    return latest.select("file_id", F.explode("lines").alias("line_no"))
 
 
 def redacted(sources: DataFrame, env_refs: DataFrame | None = None) -> DataFrame:
     """(file_id, content, n_redacted) of every file with content."""
+    w = Window.partitionBy("file_id").orderBy(F.desc("received_at"), F.desc("submitted_at"), F.desc(F.md5("content")))
+    files = _files(sources, env_refs).withColumn("place", F.row_number().over(w)).where("place = 1 AND content IS NOT NULL").select("file_id", "content", "names")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(i, c, _spans(c, names)) for i, c, names in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([redact(c, s) for _, c, s in rows], pa.string()), pa.array([len(r[2]) for r in rows], pa.int32())], names=["file_id", "content", "n_redacted"])
 
-    return _files(sources, env_refs).mapInArrow(run, "file_id long, content string, n_redacted int")
+    return files.mapInArrow(run, "file_id long, content string, n_redacted int")
