@@ -327,6 +327,34 @@ def test_twice_garbled_and_partly_garbled():
     assert encoding.undo_multibyte("près de la riviÃ¨re") == "près de la rivière"
 
 
+@pytest.mark.parametrize("page", ["cp1252", "mac_roman", "cp437"])
+@pytest.mark.parametrize("text", ["Αθήνα και η πόλη", "שלום עולם", "مرحبا بالعالم", "漢字仮名交じり文", "안녕하세요", "ok ✓ done", "fine 😀 day", "Ընկեր", "Прага – Москва"])
+def test_every_script_comes_back(page, text):
+    garbled = "".join(bytes([b]).decode(page) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) or page != "cp1252" else chr(b) for b in text.encode())
+    assert encoding.undo_multibyte(garbled) == text
+
+
+@pytest.mark.parametrize("rounds", [1, 3, 6, 9])
+def test_any_number_of_rounds(rounds):
+    text = "Übergröße"
+    for _ in range(rounds):
+        text = text.encode().decode("latin-1")
+    assert encoding.undo_multibyte(text) == "Übergröße"
+
+
+@pytest.mark.parametrize("text", ["«\u00a0café\u00a0»", "Strauß²", "«её»", "слов…»", "CAFÉ»", "–école", "“École”", "«Élan»", "Ø½ × 3", "GROSSE…"])
+def test_chance_sequences_stay(text):
+    assert encoding.undo_multibyte(text) == text
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_garbled_words_with_and_without_broadcast(element, monkeypatch, limit):
+    monkeypatch.setattr(encoding, "BROADCAST_WORDS", limit)
+    right = "El comité envía el albarán"
+    got = encoding.found(element(*[right] * 12, right.encode("cp1252").decode("mac_roman"), "ascii", None)).collect()
+    assert [r.element_no for r in got] == [12]
+
+
 @pytest.mark.parametrize("text", ["«Ätna» – Öl § 969", "ŁÓDŹ, ŻÓŁW I ŹREBIĘ", "Опись на обоих языках, чертёж", "“Ça” – ‘621’", "\uf0b7 Punkt", "ÃO, ÕES: 560", "NAÏVETÉ, ÎLE ET ÂTRE", "Сегодня шкипер", "±304 µm / 5 °C", "663 × ½ → ¼", ""])
 def test_right_text_stays(text):
     assert encoding.undo_multibyte(text) == text
