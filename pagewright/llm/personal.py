@@ -34,8 +34,10 @@ U = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĶŁĻŃŅŇŐŒŘŚŞŠŢŤŪŮŰŹ
 L = "a-zß-öø-ÿāăąćčďđēęěğģīķłļńņňőœřśşšţťūůűźżžа-яё'’"
 _CAP = f"(?:[{U}][{L}]+(?:-[{U}][{L}]+)*)"
 
+# Titles that a single name may follow.
+_TITLES = "Mr|Mrs|Ms|Dr|Prof|Herrn?|Frau|M|Mme|Mlle|Monsieur|Madame|Sra?|Don|Doña|Sig|Signora?|Dhr|Mevr|Pani?|[Гг]осподин|[Гг]оспожа|[Гг]-н|[Гг]-жа"
 _CANDIDATES = {
-    "email": re.compile(r"(?<![\w.+%\-])[\w.+%\-]+\s?(?:@|\(at\)|\[at\]|\{at\}|\sat\s|\(a\)|\[a\]|＠)\s?[\w\-]+(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\}|\(punkt\))\s?|\sdot\s)[\w\-]+)+", re.I),
+    "email": re.compile(r"(?<![\w.+%\-])[\w.+%\-]+\s?(?:@|[(\[{]\s?at?\s?[)\]}]|\sat\s|＠)\s?[\w\-]+(?:(?:\.|\s?(?:[(\[{]\s?(?:dot|punkt)\s?[)\]}])\s?|\sdot\s)[\w\-]+)+", re.I),
     "phone": re.compile(r"(?<![\w/.,:@=²³\-])(?:\(?\+\d|\(?0|[1-9(])[\d() ./\-‐-–]{4,22}\d(?![\w/]|-[A-Za-z])"),
     "id_number": re.compile(r"(?<![\w/@=\-])(?=[A-Z0-9 .\-]{0,24}\d)[A-Z0-9](?:[A-Z0-9]|[ .\-](?=[A-Z0-9])){6,24}(?![\w/@])"),
     "address": re.compile(
@@ -44,14 +46,14 @@ _CANDIDATES = {
                                               | (?:[\w'’.\-]+\s){{1,3}}(?:street|str?\.?|road|rd\.?|lane|ln\.?|avenue|ave\.?|drive|dr\.?|close|court|ct\.?|way|square|terrace|crescent|place|boulevard|blvd\.?)\b )
         | \b(?:calle|c/|avda\.?|avenida|plaza|paseo|camino|carrera|via|viale|piazza|corso|largo|vicolo|strada|ul\.|ulica|al\.|aleja|pl\.|plac|os\.|ул\.|улица|пер\.|переулок|пр\.|просп\.|проспект|пл\.|б-р|шоссе|наб\.|an\sder|am|auf\sder|im|in\sder|aan\sde|aan\shet|op\sde)\s(?:(?!\.\s)[^\d;:()@]){{2,40}}?,?\s(?:n\.\s?|nr\.?\s?|no\.?\s?|д\.\s?|дом\s)?\d{{1,4}}[a-zа-я]?\b
         | \b[\w\-]{{0,40}}(?:straat|weg|laan|plein|gracht|kade|dijk|singel|str\.|straße|strasse|gasse|platz|allee|ufer|ring|damm)\s\d{{1,4}}[a-z]?\b
-        """
+        | (?-i:\b[{U}][{L}.\-]+(?:\s[{U}{L}][{L}.\-]*){{1,3}},?\s\d{{1,4}}\s?[a-z]?(?=,\s(?:\d{{2}}-?\d{{2,4}}\b|[A-Z]{{1,2}}-?\d|[{U}][{L}])))
+        """  # the last: any street, beside a place or a telling word
     ),
-    "name": re.compile(rf"(?<![\w.@’'\-]){_CAP}(?:,?\s(?:[{U}]\.|(?:von|van|de|der|den|di|del|della|da|le|la|ter)(?=\s[{U}])|{_CAP}))+(?![\w@])|(?<![\w.@\-])[{U}]{{3,}}(?:-[{U}]+)?,?\s[{U}]{{3,}}(?:-[{U}]{{3,}})?(?![\w@])|(?<=\s){_CAP}(?=[,:!]?$)"),
+    "name": re.compile(rf"(?<![\w.@’'\-]){_CAP}(?:,?\s(?:[{U}]\.|(?:von|van|de|der|den|di|del|della|da|le|la|ter)(?=\s[{U}])|{_CAP}))+(?![\w@])|(?<![\w.@\-])[{U}]{{3,}}(?:-[{U}]+)?,?\s[{U}]{{3,}}(?:-[{U}]{{3,}})?(?![\w@])|(?<=\s){_CAP}(?=[,:!]?$)|\b(?:{_TITLES})\.?\s{_CAP}(?![\w@])"),
 }
 
 # Words around personal data in eight languages.
 _PHONE_CUE = re.compile(r"(?i)(?:\b(?:tel|tél|fax|phone|telephone|telefon|telefono|teléfono|téléphone|telefoon|tfno|tlf|mobile?|handy|cell|portable|komórka|call|ring|bel|rufen sie|appelez(?: le)?|appeler(?: le)?|llame al|llamar al|chiamare(?: il)?|chiami(?: il)?|dzwonić|zadzwonić|zadzwoń|тел|факс|телефон|звоните|позвоните|моб)\b[^\w+(]{0,4}(?:\w{1,8}\W{1,2}){0,2})$")
-_PHONE_AFTER = re.compile(r"(?i)^\s*(?:at noon|an\b|à midi|por la noche|in de avond|anrufen)")
 _NOT_NUMBER = re.compile(
     r"(?i)(?:\b(?:isbn|issn|iban|bic|typ|type|model|file(?: number)?|item|ref|réf|rif|dossier|aktenzeichen|vorgang|posten|expediente|partida|numer(?: akt)?|sygn|pozycja|pratica|voce|kenmerk|номер(?: дела)?|шифр|позиция|article|order|invoice|bestell\w*|rechnung\w*|n°|nr|no|art|id=|v|version|rev|build|serial|seriennummer|eur|usd|gbp|kg|page|seite|see|§|sku|ean|lot|batch|charge)\b\.?[\s:№#=]*)$"
 )
@@ -66,22 +68,21 @@ _ADDRESS_CUE = re.compile(
     r"(?i)(?:\b(?:lives at|living at|deliver(?:y)? to|address|send to|residing at|wohnhaft|wohnt|lieferung an|anschrift|adresse|demeurant|livrer (?:au|à)|domicilié|domicilio|entregar en|dirección|residente in|consegnare in|indirizzo|zamieszkał[ya]|dostarczyć na|adres|woont op|bezorgen op|адрес|доставить (?:на|по адресу)|проживает)\b\s*:?\s*(?:\w{1,8}\s)?)$"
 )
 _POSTCODE = re.compile(r"^(?:[^.;]|\.(?=\S|\s?[ºª])){0,30}?\b(?:\d{5,6}|\d{2}-\d{3}|\d{4}\s?[A-Z]{2}|[A-Z]{1,2}\d{1,2}[A-Z]?\s?\d[A-Z]{2}|[A-Z]-\d{5})\b")
+_CUE_WORD = re.compile(r"(?i)(?:lives|living|deliver\w*|address|residing|wohnhaft|wohnt|lieferung|anschrift|adresse|demeurant|livrer|domicili\w+|entregar|dirección|residente|consegnare|indirizzo|zamieszkał\w|dostarczyć|adres|woont|bezorgen|адрес|доставить|проживает|call|phone|fax|rufen|appelez|llame|chiamare|dzwonić|bel|звоните)\b")
 _GREETING = re.compile(
     r"(?i)(?:\b(?:dear|hello|hi|mr|mrs|ms|dr|prof|sehr geehrter?(?:/r)?(?: frau| herr)?|liebe[r]?(?:/r)?|frau|herrn?|hallo|cher|chère|cher/chère|bonjour|m\.|mme|mlle|monsieur|madame|estimad[oa](?:/a)?|querid[oa]|hola|sra?|don|doña|gentile|egregio|cara?o?|ciao|signora?|sig|beste|geachte(?: heer| mevrouw)?|dhr|mevr|szanown[ya](?: pani?e?)?|drogi|droga|pani?|уважаем(?:ый|ая)(?:\(ая\)|/ая)?|дорог(?:ой|ая)|здравствуйте|господин|госпожа|г-н|г-жа)[.,:]?\s)$"
 )
 _SIGNED = re.compile(
     r"(?i)(?:\b(?:signed(?: by)?|sincerely|regards|please ask|ask for|contact|attn|unterzeichnet(?: von)?|gezeichnet|gez|unterschrieben von|bitte(?: bei)?|fragen sie(?: bitte)?|wenden sie sich an|ansprechpartner(?:in)?|signé(?: par)?|demandez|demander|firmado(?: por)?|pregunte (?:a|por)|firmato(?: da)?|chiedere a|chieda a|ondertekend(?: door)?|vraag(?: het)?|podpisano|podpisała?|proszę zapytać|proszę pytać|prosimy|подписано|подписала?|подпись|спросите(?: у)?|обратитесь к)\s?[:,]?\s)$"
 )
-_FIRM = re.compile(r"(?i)\b(?:gmbh|ag|ltd|llc|inc|co|corp|group|tools|works?|werke?|ateliers?|pumps?|pumpen|company|sons|söhne|s\.?a\.?r?\.?l?|s\.?p\.?a|b\.?v|n\.?v|oy|ab|sp|zoo|industries|systems|services|consulting|holding|partners|verlag|studio|bank|museum|institut\w*|university|school|office|club|team|board|manual|report|terms|bridges|minutes|acta|service|price|annual|safety|delivery|survey|city|council|harbour|authority)\b")
+_FIRM = re.compile(r"(?i)\b(?:gmbh|ag|kg|ltd|llc|inc|plc|co|corp|group|company|sons|söhne|s\.?a\.?r?\.?l?|s\.?p\.?a|b\.?v|n\.?v|oy|ab|sp|industries|holding|partners|verlag|bank|museum|institut\w*|university|school|office|club|ооо|зао|оао)\b")
 _PRODUCT_AFTER = re.compile(r"(?i)^\s*(?:\d+\s?(?:ml|g|kg|l|cm|mm|stk|pcs)\b|[®™©]|&|–\s|-\s\d|\d)")
 _NOT_NAME_BEFORE = re.compile(r"[©®™&«“„@/#]\s?(?:\d+\s)?$")
-_ROLE = re.compile(r"(?i)^(?:\s(?:checks|describes|signs|prüft|vérifie|comprueba|controlla|controleert|sprawdza|проверяет)\b)")
-
 
 def _email(before: str, span: str, after: str, given: frozenset[str]) -> list[int]:
     domain = re.search(r"(?i)(?:\.|dot[\])}]?\s?)[a-z]{2,12}$", span)
-    return [1 if re.search(r"@|[([{]at?[\])}]", span, re.I) else 0, 1 if domain else -1, 1 if re.match(r"[\w.+%\-]+@[\w\-]+(?:\.[\w\-]+)+$", span) else 0, -1 if re.match(r"\d+\s?@", span) else 0,
-            1 if re.search(r"(?i)\b(?:e-?mail|mail|correo|courriel|posta|poczta|почта|write to|schreiben|écrire à|escriba a|scrivere a|naar|fragen|pytania|вопросы)\b.{0,25}$", before) else 0, -1 if re.search(r"(?i)(?:https?:|www\.)\S*$", before) or not re.search(r"(?i)@|dot|[([{]at", span) else 0]
+    return [1 if re.search(r"@|[([{]\s?at?\s?[\])}]", span, re.I) else 0, 1 if domain else -1, 1 if re.match(r"[\w.+%\-]+@[\w\-]+(?:\.[\w\-]+)+$", span) else 0, -1 if re.match(r"\d+\s?@", span) else 0,
+            1 if re.search(r"(?i)\b(?:e-?mail|mail|correo|courriel|posta|poczta|почта|write to|schreiben|écrire à|escriba a|scrivere a|naar|fragen|pytania|вопросы)\b.{0,25}$", before) else 0, -1 if re.search(r"(?i)(?:https?:|www\.)\S*$", before) or not re.search(r"(?i)@|dot|[([{]\s?at", span) else 0]
 
 
 def _phone(before: str, span: str, after: str, given: frozenset[str]) -> list[int]:
@@ -89,7 +90,7 @@ def _phone(before: str, span: str, after: str, given: frozenset[str]) -> list[in
     international = bool(re.match(r"\(?\+\d|00\d", span))
     shape = re.match(r"^(?:\(?\+\d{1,3}\)?[ \-.]?(?:\(\d\))?[\d ()\-./]{6,}|00\d{2}[ \-]?\d[\d \-]{6,}|\(?0\d{1,4}\)?[ /\-.]{1,3}\d[\d \-.]{4,}|8 \(\d{3}\) [\d\-]{7,9}|\(\d{3}\) \d{3}-\d{4}|\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|0\d(?:[ .]\d{2}){4})$", span)
     date = re.match(r"^(?:\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}|\d{4}-\d{2}-\d{2}|(?:\d{1,3}\.){3}\d{1,3})(?![.\d])", span)
-    return [1 if _PHONE_CUE.search(before) else 0, 1 if international else 0, 1 if shape else -1, -1 if _NOT_NUMBER.search(before) else 0, -1 if _NOT_AFTER.match(after) else 0, -1 if date or len(digits) < 7 or len(digits) > 15 else 0, 1 if _PHONE_AFTER.match(after) else 0, -1 if _ID_CUE.search(before) else 0, -1 if _POSTCODE.match(span + after[:6]) and "," in before[-3:] else 0, 1 if "\x01" in before and shape else 0]
+    return [1 if _PHONE_CUE.search(before) else 0, 1 if international else 0, 1 if shape else -1, -1 if _NOT_NUMBER.search(before) else 0, -1 if _NOT_AFTER.match(after) else 0, -1 if date or len(digits) < 7 or len(digits) > 15 else 0, -1 if _ID_CUE.search(before) else 0, -1 if _POSTCODE.match(span + after[:6]) and "," in before[-3:] else 0, 1 if "\x01" in before and shape else 0]
 
 
 def _id(before: str, span: str, after: str, given: frozenset[str]) -> list[int]:
@@ -98,29 +99,27 @@ def _id(before: str, span: str, after: str, given: frozenset[str]) -> list[int]:
 
 def _address(before: str, span: str, after: str, given: frozenset[str]) -> list[int]:
     return [1 if _ADDRESS_CUE.search(before) else 0, 1 if _POSTCODE.match(after) else 0, 1 if re.search(rf"[{U}]", span) else -1, -1 if re.search(r"(?i)^(?:im|am|in der|op de)\s", span) and not _ADDRESS_CUE.search(before) else 0,
-            1 if re.search(r"(?i)\b(?:street|road|rd|lane|rue|av\.|avda|calle|via|piazza|ul\.|al\.|ул\.|пер\.)|straat|straße|str\.|weg\b|vliet|mühle", span) else 0, -1 if _NOT_AFTER.match(after) or re.match(r"/\d|\d", after) else 0, 1 if re.search(r"\|\s*$|•\s*$|^$|,\s*$", before) else 0]
+            1 if re.search(r"(?i)\b(?:street|road|rd|lane|rue|av\.|avda|calle|via|piazza|ul\.|al\.|ул\.|пер\.)|straat|straße|str\.|weg\b|platz\b|gasse\b|laan\b|plein\b|gracht\b", span) else 0, -1 if _NOT_AFTER.match(after) or re.match(r"/\d|\d", after) else 0, 1 if re.search(r"\|\s*$|•\s*$|^$|,\s*$", before) else 0]
 
 
 def _name(before: str, span: str, after: str, given: frozenset[str]) -> list[int]:
     words = [w for w in re.split(r"[\s,]+", span) if w]
     known = [w.strip(",.").title() in given or any(p in given for p in w.split("-")) for w in words]
     surname = re.match(rf"^{_CAP}(?:,?\s(?:[{U}]\.\s)?{_CAP})$", span)
-    return [1 if any(known) else 0, 1 if _GREETING.search(before) else 0, 1 if _SIGNED.search(before) else 0, -1 if _FIRM.search(span) or re.match(r"\s?(?:&|–|Werke|Group|Tools|Pumps)", after) else 0, -1 if _PRODUCT_AFTER.match(after) or re.match(r".{0,4}\d+\s?ml\b", after) else 0,
-            -1 if _NOT_NAME_BEFORE.search(before) else 0, 1 if surname else 0, -1 if len(words) > 4 or len(words) == 1 and not (_GREETING.search(before) or _SIGNED.search(before)) else 0, 1 if _ROLE.match(after) and not before.strip() else 0, 1 if before.endswith("\x01") else 0, -1 if words[0].lower() in _STARTS else 0, -1 if span.isupper() and not any(known) else 0]
+    return [1 if any(known) else 0, 1 if _GREETING.search(before) else 0, 1 if _SIGNED.search(before) else 0, -1 if _FIRM.search(span) or re.match(r"\s?[&–]", after) or _FIRM.match(after.lstrip()) else 0, -1 if _PRODUCT_AFTER.match(after) or re.match(r".{0,4}\d+\s?ml\b", after) else 0,
+            -1 if _NOT_NAME_BEFORE.search(before) else 0, 1 if surname else 0, -1 if len(words) > 4 or len(words) == 1 and not (_GREETING.search(before) or _SIGNED.search(before)) else 0, 1 if before.endswith("\x01") else 0, -1 if words[0].lower() in _STARTS else 0, -1 if span.isupper() and not any(known) else 0]
 
 
-# Capitalised words that open sentences or titles and are no given names.
+# Articles, prepositions and other small words of the eight languages, which open sentences and are no given names.
 _STARTS = set(
-    "the a an on at in once today this during before after every der die das den dem des am im vor nach heute einmal gegen während jedes le la les l'autorité un une lundi à au aux avant après el los las una en cada hoy antes después durante il lo gli i lunedì ogni di alla prima dopo de het een op voor na tijdens elke vandaag w po przed dzisiaj raz każdej pod в на по перед сегодня каждую после раз во tel fax e-mail signed dear price deliver lives call please write".split()
+    "the a an on at in of to for from by with this that these those today every each during before after and or der die das den dem des ein eine am im vor nach heute jede gegen während mit von für und oder le la les l un une au aux avant après pendant avec chaque et ou"
+    " el los las una unos en cada hoy antes después durante con por y il lo gli i uno ogni di alla prima dopo oggi con per e o de het een op voor na tijdens elke vandaag met en w po przed dzisiaj dziś każdej pod z i na do v во на по перед сегодня каждую каждой после с и под к tel fax mail signed dear please".split()
 )
-_NEXT_STARTS = _STARTS | set("lives fragen livrer demeurant domicilio wohnhaft lieferung zamieszkały dostarczyć residente consegnare woont bezorgen posiadacz proszę rufen appelez llame écrire escriba scrivere mail correo courriel posta poczta".split())
 _LABELERS = {"email": _email, "phone": _phone, "id_number": _id, "address": _address, "name": _name}
 _DIGIT = re.compile(r"\d")
-_FILE_NUMBER = re.compile(r"\b\d{5}/\d{3}\b")  # of files and items, in ordinary sentences
-_DIGITS = re.compile(r"\+\d|(?<![\w/.,])0\d|\d{3}-\d{4}|\(\d|\d \(\d")
-_ID_HINT = re.compile(r"\d{2}[ -]?\d{2,3}[ -]\d|[A-Z]{2,} ?\d|\d[A-Z]|\d-[A-Z]\b|\d{8}")
-_STREET_HINT = ("street", "road", " rd", "lane", "avenue", "ave", "drive", "close", "court", " way", "square", "terrace", "place", "boulevard", "blvd", "rue ", "av.", "bd", "chemin", "impasse", "quai", "allée", "calle", "c/", "avda", "plaza", "paseo", "camino", "carrera", "via", "piazza", "corso", "largo", "vicolo", "strada", "ul.", "ulica", "al.", "pl.", "os.", "ул.", "улица", "пер.", "пр.", "просп", "пл.", "шоссе", "наб.", "an der ", "auf der ", "aan de ", "aan het ", "op de ", "straat", "weg ", "laan", "plein", "gracht", "kade", "dijk", "singel", "str.", "stra", "gasse", "platz", "ufer", "damm")
-_HEAD = re.compile(r"(?i)^(?:dear|hello|hi|bonjour|hola|hallo|beste|geachte|gentile|egregio|estimad[oa]|liebe[r]?|cher|chère|caro|cara|ciao|drogi|droga|szanown[ya]|pani?|mr|mrs|ms|dr|prof|herrn?|frau|monsieur|madame|signora?|don|doña|signed by|unterzeichnet von|gezeichnet von|signé par|firmado por|firmato da|ondertekend door|signed|ask|bitte|vraag|уважаемый|уважаемая|дорогой|дорогая)\s+")
+_AT = re.compile(r"(?i)[@＠]|[(\[{]\s?at?\s?[)\]}]|\sat\s")
+_STREET = re.compile(r"(?i)straat|weg|laan|plein|gracht|kade|dijk|singel|str|straße|gasse|platz|allee|ufer|ring|damm|road|rd|lane|ln|ave|drive|dr\b|close|court|ct\b|way|square|terrace|crescent|place|boulevard|blvd|rue|av\.|bd|chemin|impasse|quai|allée|cours|route|calle|c/|avda|plaza|paseo|camino|carrera|via|piazza|corso|largo|vicolo|ul\.|ulica|al\.|pl\.|plac|os\.|ул|пер|пр|пл|б-р|шоссе|наб")
+_HEAD = re.compile(r"(?i)^(?:dear|hello|hi|bonjour|hola|hallo|beste|geachte|gentile|egregio|estimad[oa]|liebe[r]?|cher|chère|caro|cara|ciao|drogi|droga|szanown[ya]|pani?|mr|mrs|ms|dr|prof|herrn?|frau|monsieur|madame|signora?|don|doña|signed by|unterzeichnet von|gezeichnet von|signé par|firmado por|firmato da|ondertekend door|signed|ask|bitte|vraag|уважаемый|уважаемая|дорогой|дорогая|mme|mlle|sra?|sig|dhr|mevr|г-н|г-жа|господин|госпожа)\.?\s+")
 _PHONE_NEAR = re.compile(r"(?i)[+()]|\b(?:tel|tél|fax|call|tfno|bel|sie|le|al|тел|звоните|chiamare|dzwonić)\b")
 _UNIT = re.compile(r"\s*(?:\w+\s)?\d+\s?(?:ml|g|kg|l|cl|cm|mm|stk|pcs)\b")
 
@@ -129,20 +128,8 @@ _SPACES = dict.fromkeys([0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000],
 
 
 def _triggered(text: str) -> list[str]:
-    """The types whose patterns are worth trying, by cheap signs."""
-    kinds = []
-    if "@" in text or "at)" in text or "at]" in text or " dot " in text or "AT)" in text or "AT]" in text or "at}" in text or "(a)" in text or "＠" in text:
-        kinds.append("email")
-    if _DIGIT.search(text) and _DIGIT.search(_FILE_NUMBER.sub("", text)):
-        low = text.lower()
-        if any(k in low for k in _STREET_HINT):
-            kinds.append("address")
-        if _ID_HINT.search(text):
-            kinds.append("id_number")
-        if _DIGITS.search(text):
-            kinds.append("phone")
-    kinds.append("name")
-    return kinds
+    """The types whose patterns can match: one needs a sign for "at", three a digit."""
+    return (["email"] if _AT.search(text) else []) + (["address", "id_number", "phone"] if _DIGIT.search(text) else []) + ["name"]
 
 
 def _hash(s: str) -> int:
@@ -174,7 +161,7 @@ def candidates_of(text: str, given: frozenset[str], field: str = "text") -> list
             if kind == "name":
                 while head := _HEAD.match(plain[a:b]):
                     a += head.end()
-                while (tail := plain.rfind(" ", a, b)) > 0 and plain[tail + 1 : b].lower() in _NEXT_STARTS:
+                while (tail := plain.rfind(" ", a, b)) > 0 and (plain[tail + 1 : b].lower() in _STARTS or _CUE_WORD.match(plain, tail + 1)):
                     b = tail - (plain[tail - 1] == ",")
                 if plain[a:b].split(" ", 1)[0].lower() in _STARTS or _UNIT.match(plain, b):
                     continue  # an opening word or a product
@@ -189,6 +176,8 @@ def candidates_of(text: str, given: frozenset[str], field: str = "text") -> list
             votes = _LABELERS[kind](before, span, after, given)
             if not any(v > 0 for v in votes):
                 continue  # no labeler speaks for it
+            if kind == "address" and not _STREET.search(span) and not (votes[0] > 0 or votes[1] > 0):
+                continue  # neither a street's word nor a place beside it
             if kind in ("email", "address") or kind == "id_number" and votes[0] > 0:
                 taken.append((a, b))
             out.append((kind, a, b, "".join("-0+"[v + 1] for v in votes), _features(kind, before, span, after, votes)))
@@ -228,6 +217,8 @@ def candidates(texts: DataFrame, given: frozenset[str]) -> DataFrame:
 
 #: Occurrences of a word among name candidates from which its company counts.
 TRUST_FROM = 4
+#: Words of names whose company is joined by broadcast, at most.
+BROADCAST_WORDS = 100_000
 
 
 def trusted(found: DataFrame) -> DataFrame:
@@ -237,9 +228,12 @@ def trusted(found: DataFrame) -> DataFrame:
     wherever it stands; one that never does is part of titles and firms.  Words are counted over all rows.
     """
     names = found.where("pii_type = 'name'").withColumn("id", F.xxhash64("tbl", "doc_id", "page_no", "item_no", "field", "start", "end"))
-    sure = F.col("votes").rlike(r"^(?:\+|.\+|..\+|.{9}\+)").cast("int")
+    sure = F.col("votes").rlike(r"^(?:\+|.\+|..\+|.{8}\+)").cast("int")
     each = names.select("id", F.explode(F.array_distinct("words")).alias("word"), sure.alias("sure"))
     trust = each.groupBy("word").agg(F.count("*").alias("n"), F.avg("sure").alias("share")).where(F.col("n") >= TRUST_FROM)
+    trust = cut(trust)
+    if trust.count() <= BROADCAST_WORDS:
+        trust = F.broadcast(trust)
     by_id = each.select("id", "word").join(trust, "word").groupBy("id").agg(F.max("share").alias("most"), F.min("share").alias("least"))
     vote = F.when(F.col("least") >= 0.5, "+").when(F.col("most") < 0.15, "-").otherwise("0")
     bit = F.when(vote == "+", _hash("name|trust+")).when(vote == "-", _hash("name|trust-")).otherwise(_hash("name|trust0"))
@@ -298,10 +292,17 @@ def detected(texts: DataFrame, given_names: DataFrame) -> DataFrame:
             posterior |= {(kind, p): q for p, q in reliabilities(own).items()}
     weights: dict[str, np.ndarray] = {}
     order = F.xxhash64("doc_id", "page_no", "item_no", "start")
+    # One pass takes each type's share by hash, a little more than is wanted; the least hashes of it are used.
+    total = {kind: sum(r.n for r in counts if r.pii_type == kind) for kind in TYPES}
+    part = F.lit(0.0)
+    for kind, n in total.items():
+        part = F.when(F.col("pii_type") == kind, min(1.0, 1.1 * TRAIN_SPANS / n) if n else 0.0).otherwise(part)
+    order = F.pmod(F.xxhash64("doc_id", "page_no", "item_no", "start", "tbl", "field"), F.lit(1 << 30))
+    rows = found.withColumn("order", order).where(F.col("order") < part * (1 << 30)).select("pii_type", "order", "features", "votes").collect()
     for kind in TYPES:
-        rows = found.where(F.col("pii_type") == kind).orderBy(order, "tbl", "doc_id", "page_no", "item_no", "start").limit(TRAIN_SPANS).select("features", "votes").collect()
-        if rows:
-            weights[kind] = _logistic([(r.features, posterior[kind, r.votes]) for r in rows])
+        own = sorted((r.order, r.features, r.votes) for r in rows if r.pii_type == kind)[:TRAIN_SPANS]
+        if own:
+            weights[kind] = _logistic([(f, posterior[kind, v]) for _, f, v in own])
     shared = found.sparkSession.sparkContext.broadcast((weights, posterior))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
