@@ -1,23 +1,22 @@
 """Problem 2: source files that do not parse in the language their extension names.
 
 Every file is tokenised and recognised by generalised LL over a graph-structured stack (``gll``),
-with the grammars of its language's dialects together; it is flagged if every dialect rejects it.
+with the grammars of its language's dialects together, over one stack; it is flagged if its standard, the only
+dialect that counts as valid, rejects it, and what other dialects say is reported beside (``dialects``).
 For Python a logical line is recognised once for each sequence of token kinds and remembered; the
 file is then recognised over its lines' kinds.  What no grammar holds follows it: escapes in strings
-and TOML's rules on keys.  A flagged file is at last confirmed by the language's own parser.
+and TOML's rules on keys.
 
 Null contents are no cases; an empty file is valid Python and TOML but not JSON.
 """
 
 from __future__ import annotations
 
-import ast
 import io
 import json
 import keyword
 import re
 import tokenize
-import tomllib
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -29,11 +28,19 @@ from pyspark.sql import functions as F
 from .gll import Grammar, squeezed
 
 LANGUAGE = {"py": "python", "pyi": "python", "json": "json", "toml": "toml"}
+#: The dialect of each language that is valid, and one beside it, by their start symbols: Python 2's statements, JSON with
+#: comments and last commas, TOML 1.1's inline tables over several lines.
+STANDARD = {"python": "python-3.13", "json": "json-rfc8259", "toml": "toml-1.0"}
+_OTHER = {"python": "python-2-statements", "json": "json-comments", "toml": "toml-1.1-tables"}
 #: Line shapes that a worker remembers.
 REMEMBERED = 200_000
 
 _PYTHON_LINES = """
-name: NAME | 'match' | 'case' | 'type' | '_' ;
+name: NAME | 'match' | 'case' | 'type' | '_' | 'print' | 'exec' ;
+simple_line_2: simple_2 (';' simple_2)* [';'] ;
+simple_2: simple | 'print' ['>>' expression [',' print_items] | print_items] | 'exec' bit ['in' expression [',' expression]] | 'raise' expression ',' expression [',' expression] ;
+print_items: expression (',' expression)* [','] ;
+except_2_head: 'except' expression ',' name ;
 simple_line: simple (';' simple)* [';'] ;
 simple: assignment | star_expressions | 'return' [star_expressions] | 'import' dotted_as (',' dotted_as)* | from_import
   | 'raise' [expression ['from' expression]] | 'pass' | 'del' del_targets | yield_expr | 'assert' expression [',' expression]
@@ -144,11 +151,12 @@ signed: ['-'] (NUMBER | IMAGINARY) | ['-'] NUMBER ('+' | '-') IMAGINARY ;
 key_pattern: (signed | strings | 'None' | 'True' | 'False' | name ('.' name)+) ':' pattern ;
 class_args: pattern (',' pattern)* [',' named_pattern (',' named_pattern)*] | named_pattern (',' named_pattern)* ;
 named_pattern: name '=' pattern ;
-""".replace("NAME_NOT_BLANK_: NAME ;\n", "").replace("NAME_NOT_BLANK", "plain_name").replace("signed | NUMBER_SUM |", "signed |") + "plain_name: NAME | 'match' | 'case' | 'type' ;\n"
+""".replace("NAME_NOT_BLANK_: NAME ;\n", "").replace("NAME_NOT_BLANK", "plain_name").replace("signed | NUMBER_SUM |", "signed |") + "plain_name: NAME | 'match' | 'case' | 'type' | 'print' | 'exec' ;\n"
 
 _HEADS = ("if", "elif", "else", "while", "for", "try", "except", "except_all", "except_star", "finally", "with", "def", "class", "match", "case")
 for _h in _HEADS:
-    _PYTHON_LINES += f"{_h}_inline: {_h}_head ':' simple_line ;\n"
+    _PYTHON_LINES += f"{_h}_inline: {_h}_head ':' simple_line ;\n{_h}_inline_2: {_h}_head ':' simple_line_2 ;\n"
+_PYTHON_LINES += "except_2_inline_2: except_2_head ':' simple_line_2 ;\n"
 
 _PYTHON_FILE = """
 file: statement* ;
@@ -158,13 +166,19 @@ if: 'if' suite ('elif' suite)* ['else' suite] ;
 while: 'while' suite ['else' suite] ;
 for: 'for' suite ['else' suite] ;
 try: 'try' suite excepts ['else' suite] ['finally' suite] | 'try' suite 'finally' suite | 'try' suite ('except_star' suite)+ ['else' suite] ['finally' suite] ;
-excepts: (('except' | 'except_all') suite)+ ;  # an early bare except is the compiler's concern
+excepts: (('except' | 'except_all') suite)+ ;
 with: 'with' suite ;
 decorated: 'decorator'* ('def' suite | 'class' suite) ;
 match: 'match' BLOCK INDENT ('case' suite)+ DEDENT ;
 """
 
+# The same for Python 2: its rules and line kinds are named apart.
+_PYTHON_FILE += re.sub(r"'(\w+)'|\b(SIMPLE|[a-z_]+)\b", lambda m: f"'{m[1]}_2'" if m[1] else f"{m[2]}_2", _PYTHON_FILE).replace("('except_2' |", "('except_2' | 'except_2_2' |")
+
 _JSON = """
+whole_2: value_2 ;
+value_2: VALUE | '{' [pair_2 (',' pair_2)* [',']] '}' | '[' [value_2 (',' value_2)* [',']] ']' | STR | NUMBER | 'true' | 'false' | 'null' ;
+pair_2: STR ':' value_2 ;
 whole: value ;
 value: VALUE | '{' [pair (',' pair)*] '}' | '[' [value (',' value)*] ']' | STR | NUMBER | 'true' | 'false' | 'null' ;
 pair: STR ':' value ;
@@ -173,6 +187,9 @@ pair: STR ':' value ;
 _TOML = """
 file: line (NL line)* ;
 line: [key '=' value | '[' key ']' | '[[' key ']]'] ;
+file_2: line_2 (NL line_2)* ;
+line_2: [key '=' value_2 | '[' key ']' | '[[' key ']]'] ;
+value_2: SCALAR | '[' NL* [value_2 NL* (',' NL* value_2 NL*)* [',' NL*]] ']' | '{' NL* [key '=' value_2 NL* (',' NL* key '=' value_2 NL*)* [',' NL*]] '}' ;
 key: KEY ('.' KEY)* ;
 value: SCALAR | '[' NL* [value NL* (',' NL* value NL*)* [',' NL*]] ']' | '{' [key '=' value (',' key '=' value)*] '}' ;
 """
@@ -186,6 +203,7 @@ def _grammar(name: str) -> Grammar:
 # ---- Python
 
 _SOFT = {"match", "case", "type", "_"}
+_STATEMENTS_2 = {"print", "exec"}
 _BAD_ESCAPE = re.compile(r"\\(?:\\|x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4})|N(?!\{[^}]+\})|N\{([^}]+)\})|\\.", re.S)
 
 
@@ -238,7 +256,7 @@ def python_lines(source: str) -> Iterator[list[str] | str]:
         elif kind == tokenize.NAME:
             if previous == "!" and raw_parts:
                 line.append("CONVERSION" if t.string in ("s", "r", "a") else "ERROR")
-            elif keyword.iskeyword(t.string) or t.string in _SOFT:
+            elif keyword.iskeyword(t.string) or t.string in _SOFT or t.string in _STATEMENTS_2:
                 line.append(t.string)
             else:
                 if not t.string.isidentifier():
@@ -271,11 +289,12 @@ _STARTS: dict[str, tuple[str, ...]] = {
     "if": ("if",), "elif": ("elif",), "else": ("else",), "while": ("while",), "for": ("for",), "try": ("try",), "except": ("except", "except_all", "except_star"),
     "finally": ("finally",), "with": ("with",), "def": ("def",), "class": ("class",), "match": ("match",), "case": ("case",), "async": ("for", "with", "def"),
 }
+_HEADS_2 = {"except": ("except_2",)}
 _shapes: dict[tuple[str, ...], tuple[frozenset[str], frozenset[str]]] = {}
 
 
 def line_kinds(line: tuple[str, ...]) -> tuple[frozenset[str], frozenset[str]]:
-    """(what the line can be, whether a block or an inline suite follows it)."""
+    """(what the line can be in either dialect, whether a block or an inline suite follows it)."""
     if (known := _shapes.get(line)) is not None:
         return known
     grammar = _grammar("lines")
@@ -283,26 +302,28 @@ def line_kinds(line: tuple[str, ...]) -> tuple[frozenset[str], frozenset[str]]:
     kinds: set[str] = set()
     suites: set[str] = set()
     if line[0] == "@":
-        kinds |= {"decorator"} if grammar.accepts(line, ["decorator"]) else set()
+        kinds |= {"decorator", "decorator_2"} if grammar.accepts(line, ["decorator"]) else set()
     else:
         if not heads or line[0] in _SOFT:
-            kinds |= {"SIMPLE"} if grammar.accepts(line, ["simple_line"]) else set()
+            got = grammar.accepts(line, ["simple_line", "simple_line_2"])
+            kinds |= {{"simple_line": "SIMPLE", "simple_line_2": "SIMPLE_2"}[x] for x in got}
         if heads and line[-1] == ":":
-            got = {x.removesuffix("_head") for x in grammar.accepts(line[:-1], [f"{h}_head" for h in heads])}
-            kinds |= got
+            got = {x.removesuffix("_head") for x in grammar.accepts(line[:-1], [f"{h}_head" for h in (*heads, *_HEADS_2.get(line[0], ()))])}
+            kinds |= {k for x in got for k in ((f"{x}_2",) if x == "except_2" else (x, f"{x}_2"))}
             suites |= {"BLOCK"} if got else set()
         if heads and ":" in line[:-1]:
-            got = {x.removesuffix("_inline") for x in grammar.accepts(line, [f"{h}_inline" for h in heads])}
-            kinds |= got
+            got = grammar.accepts(line, [f"{h}_inline{d}" for h in heads for d in ("", "_2")] + [f"{h}_inline_2" for h in _HEADS_2.get(line[0], ())])
+            kinds |= {x.replace("_inline", "") for x in got}
             suites |= {"INLINE"} if got else set()
     if len(_shapes) < REMEMBERED:
         _shapes[line] = frozenset(kinds), frozenset(suites)
     return frozenset(kinds), frozenset(suites)
 
 
-def python_valid(source: str) -> bool:
+def python_dialects(source: str) -> set[str]:
+    """The dialects that accept the source, as start symbols: ``file``, ``file_2``."""
     if "\0" in source:
-        return False
+        return set()
     source = source.replace("\r\n", "\n").replace("\r", "\n")
     tokens: list[str | frozenset[str]] = []
     try:
@@ -312,57 +333,69 @@ def python_valid(source: str) -> bool:
                 continue
             kinds, suites = line_kinds(tuple(squeezed(line)))
             if not kinds:
-                return False
+                return set()
             if suites and "SIMPLE" in kinds:  # begins with a soft keyword and ends without a colon
-                kinds, suites = frozenset({"SIMPLE"}), frozenset()
+                kinds, suites = kinds & {"SIMPLE", "SIMPLE_2"}, frozenset()
             tokens.append(kinds)
             if suites:
                 tokens.append(suites)
     except (tokenize.TokenError, SyntaxError, ValueError):
-        return False
-    return bool(_grammar("file").accepts(tokens, ["file"]))
+        return set()
+    return _grammar("file").accepts(tokens, ["file", "file_2"])
+
+
+def python_valid(source: str) -> bool:
+    return "file" in python_dialects(source)
 
 
 # ---- JSON
 
-_JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?![0-9A-Za-z_.+-])|(true|false|null)(?![0-9A-Za-z_])|([{}\[\],:]))')
+_JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?![0-9A-Za-z_.+-])|(true|false|null)(?![0-9A-Za-z_])|([{}\[\],:])|(//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/))')
 
 
-def json_valid(text: str) -> bool:
-    tokens, at = [], 0
+def json_dialects(text: str) -> set[str]:
+    """The dialects that accept the text, as start symbols: ``whole``, ``whole_2``."""
+    tokens, at, comments = [], 0, False
     end = len(text.rstrip(" \t\n\r"))
     while at < end:
         m = _JSON_TOKEN.match(text, at)
         if not m:
-            return False
-        tokens.append("STR" if m[1] is not None else "NUMBER" if m[2] is not None else m[3] or m[4])
+            return set()
+        if m[5] is None:
+            tokens.append("STR" if m[1] is not None else "NUMBER" if m[2] is not None else m[3] or m[4])
+        comments |= m[5] is not None
         at = m.end()
-    return _json_recognised(tokens)
+    return _json_recognised(tokens) - ({"whole"} if comments else set())
+
+
+def json_valid(text: str) -> bool:
+    return "whole" in json_dialects(text)
 
 
-_containers: dict[tuple[str, ...], bool] = {}
+_containers: dict[tuple[str, ...], frozenset[str]] = {}
 
 
-def _json_recognised(tokens: list[str]) -> bool:
+def _json_recognised(tokens: list[str]) -> set[str]:
     """Containers are recognised as they close, with what they hold as single values; equal shapes once."""
     stack: list[list[str]] = [[]]
+    dialects = {"whole", "whole_2"}
     for t in tokens:
         if t in "{[" and len(t) == 1:
             stack.append([t])
         elif t in "}]" and len(t) == 1:
             stack[-1].append(t)
-            if len(stack) == 1 or not _json_accepts(stack.pop()):
-                return False
+            if len(stack) == 1 or not (dialects := dialects & _json_accepts(stack.pop())):
+                return set()
             stack[-1].append("VALUE")
         else:
             stack[-1].append(t)
-    return len(stack) == 1 and _json_accepts(stack[0])
+    return dialects & _json_accepts(stack[0]) if len(stack) == 1 else set()
 
 
-def _json_accepts(tokens: list[str]) -> bool:
+def _json_accepts(tokens: list[str]) -> frozenset[str]:
     shape = tuple(squeezed(tokens))
     if (known := _containers.get(shape)) is None:
-        known = bool(_grammar("json").accepts(shape, ["whole"]))
+        known = frozenset(_grammar("json").accepts(shape, ["whole", "whole_2"]))
         if len(_containers) < REMEMBERED:
             _containers[shape] = known
     return known
@@ -401,7 +434,7 @@ def toml_tokens(text: str) -> list[tuple[str, str]] | None:
         elif c == "\n" or text.startswith("\r\n", at):
             out.append(("NL", ""))
             at += 1 if c == "\n" else 2
-            key = not opened
+            key = not opened or opened[-1] == "{"
         elif key:
             if text.startswith(("[[", "]]"), at) and not opened:
                 out.append((text[at : at + 2],) * 2)
@@ -413,6 +446,9 @@ def toml_tokens(text: str) -> list[tuple[str, str]] | None:
                 out.append(("=", "="))
                 at += 1
                 key = False
+            elif c == "," and opened:
+                out.append((",", ","))
+                at += 1
             elif c == "}" and opened and opened[-1] == "{":
                 opened.pop()
                 out.append(("}", "}"))
@@ -491,7 +527,7 @@ def toml_keys_agree(tokens: list[tuple[str, str]]) -> bool:
         own: dict = {}
         ok = True
         while tokens[i][0] != "}":
-            if tokens[i][0] == ",":
+            if tokens[i][0] in (",", "NL"):
                 i += 1
                 continue
             names = path()
@@ -563,61 +599,59 @@ class Tables(list):
     """An array of tables, made by double brackets."""
 
 
-def toml_valid(text: str) -> bool:
+def toml_dialects(text: str) -> set[str]:
+    """The dialects that accept the text, as start symbols: ``file``, ``file_2``."""
     if re.search(r"\r(?!\n)", text):
-        return False
+        return set()
     tokens = toml_tokens(text)
-    if tokens is None or not _grammar("toml").accepts(squeezed([k for k, _ in tokens]), ["file"]):
-        return False
+    got = _grammar("toml").accepts(squeezed([k for k, _ in tokens]), ["file", "file_2"]) if tokens is not None else set()
     try:
-        return toml_keys_agree(tokens)
+        return got if got and toml_keys_agree(tokens) else set()
     except RecursionError:  # values nested hundreds deep hold no more keys than others
-        return True
-
-
-# ---- the operator
+        return got
 
-_VALID = {"python": python_valid, "json": json_valid, "toml": toml_valid}
 
+def toml_valid(text: str) -> bool:
+    return "file" in toml_dialects(text)
 
-def _refuse(constant: str) -> None:
-    raise ValueError(constant)
 
+# ---- the operator
 
-def _confirmed(language: str, text: str) -> bool:
-    """Whether the language's own parser rejects the text too."""
-    try:
-        if language == "python":
-            ast.parse(text)
-        elif language == "json":
-            json.loads(text, parse_constant=_refuse)
-        else:
-            tomllib.loads(text)
-    except RecursionError:
-        return True
-    except (SyntaxError, ValueError, MemoryError):
-        return True
-    return False
+_DIALECTS = {"python": python_dialects, "json": json_dialects, "toml": toml_dialects}
 
 
-def invalid(language: str, text: str) -> bool:
-    """Whether every dialect of the language rejects the text."""
-    return not _VALID[language](text) and _confirmed(language, text)
+def dialects(language: str, text: str) -> list[str]:
+    """The dialects of the language that accept the text, the standard first."""
+    return [(_OTHER if x.endswith("_2") else STANDARD)[language] for x in sorted(_DIALECTS[language](text))]
 
 
 def parsed(sources: DataFrame) -> DataFrame:
-    """(file_id, repo, language, valid) of every file in a supported language, its latest submission."""
-    latest = sources.groupBy("file_id").agg(F.max_by(F.struct("repo", "path", "content"), F.struct("received_at", "submitted_at", "content")).alias("f")).select("file_id", "f.repo", "f.path", "f.content")
+    """(file_id, repo, language, dialects, valid) of every file in a supported language, its latest submission.
+
+    Submissions are parsed where they lie; verdicts, not contents, are exchanged to find each file's latest.
+    """
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     language = F.when(extension.isin("py", "pyi"), "python").when(extension.isin("json", "toml"), extension)
-    files = latest.select("file_id", "repo", language.alias("language"), "content").where("language IS NOT NULL AND content IS NOT NULL")
+    rows = sources.select("file_id", "received_at", "submitted_at", F.md5("content").alias("digest"), "repo", language.alias("language"), "content")
+    kept = [c for c in rows.columns if c != "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [not invalid(x, t) for x, t in zip(b.column("language").to_pylist(), b.column("content").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("repo"), b.column("language"), pa.array(ok, pa.bool_())], names=["file_id", "repo", "language", "valid"])
+            got = [None if x is None or t is None else dialects(x, t) for x, t in zip(b.column("language").to_pylist(), b.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(got, pa.list_(pa.string()))], names=[*kept, "dialects"])
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", dialects array<string>"
+    each = rows.mapInArrow(run, schema)
+    latest = each.groupBy("file_id").agg(F.max_by(F.struct("repo", "language", "dialects"), F.struct("received_at", "submitted_at", "digest")).alias("f")).select("file_id", "f.*")
+    valid = F.lit(False)
+    for x, standard in STANDARD.items():
+        valid = valid | (F.col("language") == x) & F.array_contains("dialects", standard)
+    return latest.where("language IS NOT NULL AND dialects IS NOT NULL").withColumn("valid", valid)
+
 
-    return files.mapInArrow(run, "file_id long, repo string, language string, valid boolean")
+def by_dialect(sources: DataFrame) -> DataFrame:
+    """(file_id, language, dialects): the dialects that accept each file, joined by commas; empty if every one rejects it."""
+    return parsed(sources).select("file_id", "language", F.array_join("dialects", ",").alias("dialects"))
 
 
 def found(sources: DataFrame) -> DataFrame:

@@ -35,6 +35,7 @@ QUERIES: dict[str, Query] = {
     "p1_edits": _over(lookalike.real_edits, "elements", "nodes"),
     "p1_consistent": _over(lookalike.consistent, "elements", "nodes"),
     "p2_found": _over(parsing.found, "sources"),
+    "p2_dialects": _over(parsing.by_dialect, "sources"),
     "p2_rates": _over(parsing.rates, "sources"),
     "p2_diagnostics": _over(parsing.against_diagnostics, "sources", "diagnostics"),
     "p3_found": _over(language.mislabelled_spans, "nodes", "ocr_jobs", "documents", "lang_codes"),

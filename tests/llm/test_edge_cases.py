@@ -4,7 +4,7 @@ import pytest
 
 from pagewright.llm.queries import QUERIES
 
-NAMES = ["p1_found", "p1_consistent", "p2_found", "p2_rates", "p3_found", "p3_documents", "p4_found", "p4_redacted", "p5_found", "p5_redacted", "p6_found", "p7_found", "p7_restored", "p8_ids", "p9_mixture", "p9_shares", "p10_found", "p10_report", "p10_units", "p10_text"]
+NAMES = ["p1_found", "p1_consistent", "p2_found", "p2_dialects", "p2_rates", "p3_found", "p3_documents", "p4_found", "p4_redacted", "p5_found", "p5_redacted", "p6_found", "p7_found", "p7_restored", "p8_ids", "p9_mixture", "p9_shares", "p10_found", "p10_report", "p10_units", "p10_text"]
 KEYS = {"p1_found": 4, "p2_found": 1, "p3_found": 4, "p4_found": 2, "p5_found": 5, "p6_found": 5, "p7_found": 3}
 
 

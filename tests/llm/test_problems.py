@@ -43,6 +43,10 @@ def test_normal_form_keeps_russian(element, no_nodes):
 # ---- 2
 
 
+def refuse(constant):
+    raise ValueError(constant)
+
+
 PYTHON = ["x = 1", "def f(a, /, b=1, *, c, **d): return a", "match x:\n case [1, *r] if r: pass\n case {'a': b, **c}: pass\n", "f'{a!r:>{w}}'", "type X[T] = list[T]", "with (a as b, c): pass", "print(*a, b=1)", "match = 1; case = 2", "x: int = (yield)", "async def f():\n async for x in y: await z\n", "", "#\n", "try: a\nexcept* E: b"]
 NOT_PYTHON = ["print 'x'", "def f(a=1, b): pass", "f(a=1, b)", "x := 1", "except E, e: pass", "if x:\npass", "'\\x1'", "b'é'", "'a' b'b'", "f'{}'", "f'{a!z}'", "(", "x = = 1", "None = 1", "0777", "a = 1 2", "<<<<<<< ours\n", "f(x for x in y, 1)", "class", "\tx\n        y", "del f()", "a\0b"]
 
@@ -77,7 +81,7 @@ def test_python_agrees_with_its_own_parser_on_damaged_files():
 @pytest.mark.parametrize("text", ['{"a": [1, -0.5e3, true, null, "\\u00e9"]}', " 1 ", "{}", "", "NaN", "[1,]", '{"a":1,}', "01", "+1", '"\t"', "[1]]", "{'a': 1}", "// x\n1", '"\\x"'])
 def test_json(text):
     try:
-        json.loads(text, parse_constant=parsing._refuse)
+        json.loads(text, parse_constant=refuse)
         ok = True
     except ValueError:
         ok = False
@@ -96,6 +100,33 @@ def test_toml(text):
     assert parsing.toml_valid(text) is ok
 
 
+@pytest.mark.parametrize(
+    ("language", "text", "accepted"),
+    [
+        ("python", "print 'x'\n", "2"), ("python", "if x: print 'x', y,\n", "2"), ("python", "try:\n  pass\nexcept E, e:\n  raise V, 'x'\n", "2"), ("python", "exec 'x' in d", "2"), ("python", "print('x')\nexec(y)\nprint = 1", "12"), ("python", "class A:\n def f(x): return x", "12"),
+        ("python", "print 'x'\nmatch a b", ""), ("python", "def f(:\n print 'x'", ""), ("json", '{"a": 1, // x\n}', "2"), ("json", "[1,]", "2"), ("json", "[1]", "12"), ("json", "[1,,]", ""), ("json", "/* x */ 1", "2"),
+        ("toml", "a = {b = 1,\n c = 2,\n}", "2"), ("toml", "a = {b = 1}", "12"), ("toml", "a = {\n b = 1\n}\n[c]\nd = 1", "2"), ("toml", "a = {b = 1 c = 2}", ""), ("toml", "a = {b = 1,\n b = 2}", ""),
+    ],
+)
+def test_dialects_run_together(language, text, accepted):
+    assert parsing.dialects(language, text) == [d[language] for k, d in (("1", parsing.STANDARD), ("2", parsing._OTHER)) if k in accepted]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_verdicts_agree_with_the_languages_parsers(tables, sf):
+    def accepts(language, text):
+        try:
+            {"python": ast.parse, "json": lambda t: json.loads(t, parse_constant=refuse), "toml": tomllib.loads}[language](text)
+            return True
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return False
+
+    s = tables("sources", sf)
+    latest = {r.file_id: r.content for r in s.orderBy("received_at", "submitted_at").collect()}
+    rows = parsing.parsed(s).collect()
+    assert rows and all(accepts(r.language, latest[r.file_id]) is r.valid for r in rows)
+
+
 def test_ambiguity_and_left_recursion_are_no_trouble():
     g = Grammar("e: e '+' e | N ; f: f 'x' | ;")
     assert g.accepts(["N", "+"] * 20 + ["N"], ["e", "f"]) == {"e"} and g.accepts(["x"] * 9, ["e", "f"]) == {"f"} and g.accepts(["+"], ["e"]) == set()
@@ -405,7 +436,7 @@ def test_transducer_is_minimal_and_exact(tmp_path):
     rng = random.Random(4)
     words = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))): [rng.randrange(99) for _ in range(rng.randrange(1, 4))] for _ in range(600)}
     path = str(tmp_path / "t.bin")
-    tokens.compile_transducer(words, path)
+    (tmp_path / "t.bin").write_bytes(tokens.compile_transducer(words))
     t = tokens.Transducer(path)
     places = t.places([*words, b"zzz", b"", b"abcabcabcabc"])
     assert [list(t.output(p)) for p in places[: len(words)]] == list(words.values()) and list(places[len(words) :]) == [-1, -1, -1]
