@@ -21,17 +21,23 @@ def span_text(col: Column | str = "spans") -> Column:
     return F.array_join(F.transform(c, lambda s: F.coalesce(s["text"], F.lit(""))), "")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder is read from ``spark.checkpoint.dir``; only where that is unset (tests, a
-    single machine) a temporary folder is taken.
+    Where that is unset, one machine (tests) takes a temporary folder; a cluster must name one that all executors share.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewright-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

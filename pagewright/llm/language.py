@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import span_text
@@ -170,11 +170,9 @@ def train(documents: DataFrame, codes: list[str]) -> Centroids:
     rows = documents.where(lang.isin(codes) & (F.length("text") >= 60)).select(lang.alias("lang"), "text", F.xxhash64("text").alias("h"))
     if not codes:
         return fit([])
-    # Equal texts count once; only their hashes are sorted and exchanged.
-    parts = [rows.where(F.col("lang") == c).select("lang", "h").distinct().orderBy("h").limit(TRAIN_ROWS) for c in codes]
-    sample = parts[0]
-    for p in parts[1:]:
-        sample = sample.unionAll(p)
+    # Equal texts count once; only their hashes are exchanged, and each partition sends on its least.
+    least = Window.partitionBy("lang").orderBy("h")
+    sample = rows.select("lang", "h").distinct().withColumn("place", F.row_number().over(least)).where(F.col("place") <= TRAIN_ROWS).select("lang", "h")
     chosen = rows.join(F.broadcast(sample), ["lang", "h"]).dropDuplicates(["lang", "text"])  # bounded by TRAIN_ROWS
     return fit([(r.text, r.lang) for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.h, r.text))])
 

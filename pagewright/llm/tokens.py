@@ -14,11 +14,9 @@ from __future__ import annotations
 import base64
 import os
 import struct
-import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_dir
+from .common import shared_folder, tokenizer_dir
 
 #: Fixed value: the public pattern that splits text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -79,8 +77,8 @@ class Ranks:
         return [rank[p] for p in piece if p is not None]
 
 
-def compile_transducer(entries: dict[bytes, list[int]], path: str) -> None:
-    """Write the minimal acyclic transducer of ``entries`` to ``path``.
+def compile_transducer(entries: dict[bytes, list[int]]) -> bytes:
+    """The minimal acyclic transducer of ``entries``, as the flat file that workers map.
 
     Words come in sorted order; a state is closed as soon as no further word can pass it, and
     is replaced by an equal one if there is any (same arcs, same finality), which makes the
@@ -127,10 +125,7 @@ def compile_transducer(entries: dict[bytes, list[int]], path: str) -> None:
         np.array(keys, np.int64), np.array(targets, np.int32), np.array(adds, np.int32),
         np.array([f for f, _ in states], np.int32), np.cumsum([0, *map(len, ids)]).astype(np.int32), flat,
     ]
-    with open(path, "wb") as f:
-        f.write(_MAGIC + struct.pack("<7q", root, *map(len, parts)))
-        for p in parts:
-            f.write(p.tobytes())
+    return b"".join([_MAGIC + struct.pack("<7q", root, *map(len, parts)), *(p.tobytes() for p in parts)])
 
 
 class Transducer:
@@ -238,22 +233,23 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def lexicon(docs: DataFrame, words: int = LEXICON_WORDS, folder: str | None = None) -> str:
     """Compile the corpus' ``words`` most frequent words into one file for all executors; gives its place.
 
-    The file goes to the shared folder of ``spark.checkpoint.dir``, where every worker maps it.  Where that
-    is no file system path, Spark distributes it and the place is its name among Spark's files.
+    The file goes to the shared folder of checkpoints and is removed when the application ends.  Workers map it there;
+    where that is no local path for them, Spark distributes it and the place is its name among Spark's files.
     """
     spark, ranks = docs.sparkSession, Ranks(folder or tokenizer_dir())
     top = word_counts(docs).where((F.col("n") > 1) & (F.length("word") <= LEXICON_BYTES)).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
-    entries = {bytes(r.word): ranks.merge(bytes(r.word)) for r in top}
-    name, shared = f"lexicon-{uuid.uuid4().hex}.bin", spark.conf.get("spark.checkpoint.dir", None)
-    if shared and (shared.startswith("file:") or shared.startswith("/")):
-        folder_path = urlparse(shared).path
-        os.makedirs(folder_path, exist_ok=True)
-        path = os.path.join(folder_path, name)
-        compile_transducer(entries, path)
-        return path
-    path = os.path.join(tempfile.mkdtemp(prefix="pagewright-"), name)
-    compile_transducer(entries, path)
-    spark.sparkContext.addFile(path)
+    content = compile_transducer({bytes(r.word): ranks.merge(bytes(r.word)) for r in top})
+    sc, name = spark.sparkContext, f"lexicon-{uuid.uuid4().hex}.bin"
+    path = sc._jvm.org.apache.hadoop.fs.Path(shared_folder(spark), name)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = files.create(path)
+    for at in range(0, len(content), 1 << 20):
+        out.write(bytearray(content[at : at + (1 << 20)]))
+    out.close()
+    files.deleteOnExit(path)
+    if files.getUri().getScheme() == "file":
+        return path.toUri().getPath()
+    sc.addFile(path.toString())
     return name
 
 
@@ -286,5 +282,3 @@ def decoded(ids: list[int], folder: str | None = None) -> str:
     """The text of a list of ids, for round trips."""
     back = {i: b for b, i in Ranks(folder or tokenizer_dir()).rank.items()}
     return b"".join(back[i] for i in ids).decode("utf-8", "replace")
-
-
