@@ -34,6 +34,18 @@ U = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĶŁĻŃŅŇŐŒŘŚŞŠŢŤŪŮŰŹ
 L = "a-zß-öø-ÿāăąćčďđēęěğģīķłļńņňőœřśşšţťūůűźżžа-яё'’"
 _CAP = f"(?:[{U}][{L}]+(?:-[{U}][{L}]+)*)"
 
+# Words of streets, before a name, at its end, and prepositions that places take.
+_STREET_BEFORE = r"calle|c/|avda\.?|avenida|plaza|paseo|camino|carrera|via|viale|piazza|corso|largo|vicolo|strada|ul\.|ulica|al\.|aleja|pl\.|plac|os\.|ул\.|улица|пер\.|переулок|пр\.|просп\.|проспект|пл\.|б-р|шоссе|наб\."
+_PLACE_BEFORE = r"an\sder|am|auf\sder|im|in\sder|aan\sde|aan\shet|op\sde"
+_STREET_ENDS = r"straat|weg|laan|plein|gracht|kade|dijk|singel|str\.|straße|strasse|gasse|platz|allee|ufer|ring|damm"
+_NUMBER_FIRST = (
+    r"\b\d{1,5}(?:\s?(?:bis|ter)|[a-z](?![a-z]))?,?\s+(?:(?:rue|av\.|avenue|boulevard|bd\.?|place|chemin|impasse|quai|allée|cours|route)\s[^\d,;:()]{2,40}"
+    r"|(?:[\w'’.\-]+\s){1,3}(?:street|str?\.?|road|rd\.?|lane|ln\.?|avenue|ave\.?|drive|dr\.?|close|court|ct\.?|way|square|terrace|crescent|place|boulevard|blvd\.?)\b)"
+)
+# What each way to write an address must hold, in lower case; cheaper than the whole pattern.
+_ADDRESS_SIGNS = [
+    re.compile(x) for x in (_NUMBER_FIRST, rf"\b(?:{_STREET_BEFORE})\s", rf"(?:{_STREET_ENDS})\s\d", rf"\b(?:{_PLACE_BEFORE})\s[^\d;:()@]{{2,40}}\d", r"\d\s?[a-z]?,\s(?:\d\d|\w)")
+]
 # Titles that a single name may follow.
 _TITLES = "Mr|Mrs|Ms|Dr|Prof|Herrn?|Frau|M|Mme|Mlle|Monsieur|Madame|Sra?|Don|Doña|Sig|Signora?|Dhr|Mevr|Pani?|[Гг]осподин|[Гг]оспожа|[Гг]-н|[Гг]-жа"
 _CANDIDATES = {
@@ -42,10 +54,9 @@ _CANDIDATES = {
     "id_number": re.compile(r"(?<![\w/@=\-])(?=[A-Z0-9 .\-]{0,24}\d)[A-Z0-9](?:[A-Z0-9]|[ .\-](?=[A-Z0-9])){6,24}(?![\w/@])"),
     "address": re.compile(
         rf"""(?xi)
-        (?: \b(?:flat|apt\.?|unit|suite)\s\d+\w?,?\s )? \b\d{{1,5}}(?:\s?(?:bis|ter)|[a-z](?![a-z]))?,?\s+ (?: (?:rue|av\.|avenue|boulevard|bd\.?|place|chemin|impasse|quai|allée|cours|route)\s[^\d,;:()]{{2,40}}
-                                              | (?:[\w'’.\-]+\s){{1,3}}(?:street|str?\.?|road|rd\.?|lane|ln\.?|avenue|ave\.?|drive|dr\.?|close|court|ct\.?|way|square|terrace|crescent|place|boulevard|blvd\.?)\b )
-        | \b(?:calle|c/|avda\.?|avenida|plaza|paseo|camino|carrera|via|viale|piazza|corso|largo|vicolo|strada|ul\.|ulica|al\.|aleja|pl\.|plac|os\.|ул\.|улица|пер\.|переулок|пр\.|просп\.|проспект|пл\.|б-р|шоссе|наб\.|an\sder|am|auf\sder|im|in\sder|aan\sde|aan\shet|op\sde)\s(?:(?!\.\s)[^\d;:()@]){{2,40}}?,?\s(?:n\.\s?|nr\.?\s?|no\.?\s?|д\.\s?|дом\s)?\d{{1,4}}[a-zа-я]?\b
-        | \b[\w\-]{{0,40}}(?:straat|weg|laan|plein|gracht|kade|dijk|singel|str\.|straße|strasse|gasse|platz|allee|ufer|ring|damm)\s\d{{1,4}}[a-z]?\b
+        (?: \b(?:flat|apt\.?|unit|suite)\s\d+\w?,?\s )? {_NUMBER_FIRST}
+        | \b(?:{_STREET_BEFORE}|{_PLACE_BEFORE})\s(?:(?!\.\s)[^\d;:()@]){{2,40}}?,?\s(?:n\.\s?|nr\.?\s?|no\.?\s?|д\.\s?|дом\s)?\d{{1,4}}[a-zа-я]?\b
+        | \b[\w\-]{{0,40}}(?:{_STREET_ENDS})\s\d{{1,4}}[a-z]?\b
         | (?-i:\b[{U}][{L}.\-]+(?:\s[{U}{L}][{L}.\-]*){{1,3}},?\s\d{{1,4}}\s?[a-z]?(?=,\s(?:\d{{2}}-?\d{{2,4}}\b|[A-Z]{{1,2}}-?\d|[{U}][{L}])))
         """  # the last: any street, beside a place or a telling word
     ),
@@ -89,6 +100,8 @@ def _phone(before: str, span: str, after: str, given: frozenset[str]) -> list[in
     digits = re.sub(r"\D", "", span)
     international = bool(re.match(r"\(?\+\d|00\d", span))
     shape = re.match(r"^(?:\(?\+\d{1,3}\)?[ \-.]?(?:\(\d\))?[\d ()\-./]{6,}|00\d{2}[ \-]?\d[\d \-]{6,}|\(?0\d{1,4}\)?[ /\-.]{1,3}\d[\d \-.]{4,}|8 \(\d{3}\) [\d\-]{7,9}|\(\d{3}\) \d{3}-\d{4}|\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|0\d(?:[ .]\d{2}){4})$", span)
+    if not (shape or international or _PHONE_CUE.search(before)):
+        return [-1]  # nothing speaks for it
     date = re.match(r"^(?:\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}|\d{4}-\d{2}-\d{2}|(?:\d{1,3}\.){3}\d{1,3})(?![.\d])", span)
     return [1 if _PHONE_CUE.search(before) else 0, 1 if international else 0, 1 if shape else -1, -1 if _NOT_NUMBER.search(before) else 0, -1 if _NOT_AFTER.match(after) else 0, -1 if date or len(digits) < 7 or len(digits) > 15 else 0, -1 if _ID_CUE.search(before) else 0, -1 if _POSTCODE.match(span + after[:6]) and "," in before[-3:] else 0, 1 if "\x01" in before and shape else 0]
 
@@ -118,18 +131,21 @@ _STARTS = set(
 _LABELERS = {"email": _email, "phone": _phone, "id_number": _id, "address": _address, "name": _name}
 _DIGIT = re.compile(r"\d")
 _AT = re.compile(r"(?i)[@＠]|[(\[{]\s?at?\s?[)\]}]|\sat\s")
-_STREET = re.compile(r"(?i)straat|weg|laan|plein|gracht|kade|dijk|singel|str|straße|gasse|platz|allee|ufer|ring|damm|road|rd|lane|ln|ave|drive|dr\b|close|court|ct\b|way|square|terrace|crescent|place|boulevard|blvd|rue|av\.|bd|chemin|impasse|quai|allée|cours|route|calle|c/|avda|plaza|paseo|camino|carrera|via|piazza|corso|largo|vicolo|ul\.|ulica|al\.|pl\.|plac|os\.|ул|пер|пр|пл|б-р|шоссе|наб")
+_STREET = re.compile(rf"(?i){_NUMBER_FIRST}|\b(?:{_STREET_BEFORE})\s|(?:{_STREET_ENDS})\s\d")
 _HEAD = re.compile(r"(?i)^(?:dear|hello|hi|bonjour|hola|hallo|beste|geachte|gentile|egregio|estimad[oa]|liebe[r]?|cher|chère|caro|cara|ciao|drogi|droga|szanown[ya]|pani?|mr|mrs|ms|dr|prof|herrn?|frau|monsieur|madame|signora?|don|doña|signed by|unterzeichnet von|gezeichnet von|signé par|firmado por|firmato da|ondertekend door|signed|ask|bitte|vraag|уважаемый|уважаемая|дорогой|дорогая|mme|mlle|sra?|sig|dhr|mevr|г-н|г-жа|господин|госпожа)\.?\s+")
 _PHONE_NEAR = re.compile(r"(?i)[+()]|\b(?:tel|tél|fax|call|tfno|bel|sie|le|al|тел|звоните|chiamare|dzwonić)\b")
 _UNIT = re.compile(r"\s*(?:\w+\s)?\d+\s?(?:ml|g|kg|l|cl|cm|mm|stk|pcs)\b")
 
 
-_SPACES = dict.fromkeys([0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000], " ")
+_SPACES = re.compile("[\u00a0\u2000-\u200a\u202f\u205f\u3000]")
 
 
 def _triggered(text: str) -> list[str]:
-    """The types whose patterns can match: one needs a sign for "at", three a digit."""
-    return (["email"] if _AT.search(text) else []) + (["address", "id_number", "phone"] if _DIGIT.search(text) else []) + ["name"]
+    """The types whose patterns can match: one needs a sign for "at", three a digit, addresses one of their signs too."""
+    if not _DIGIT.search(text):
+        return ["email", "name"] if _AT.search(text) else ["name"]
+    low = text.lower()
+    return (["email"] if _AT.search(text) else []) + (["address"] if any(x.search(low) for x in _ADDRESS_SIGNS) else []) + ["id_number", "phone", "name"]
 
 
 def _hash(s: str) -> int:
@@ -150,7 +166,8 @@ def _features(kind: str, before: str, span: str, after: str, votes: list[int]) -
 
 def candidates_of(text: str, given: frozenset[str], field: str = "text") -> list[tuple[str, int, int, str, list[int]]]:
     """(type, start, end, votes, features) of each candidate span in a text."""
-    plain = text.replace("\n", " " if field in ("text", "spans") else "|").translate(_SPACES)
+    plain = text.replace("\n", " " if field in ("text", "spans") else "|")
+    plain = plain if plain.isascii() else _SPACES.sub(" ", plain)
     out = []
     taken: list[tuple[int, int]] = []
     for kind in _triggered(plain):
