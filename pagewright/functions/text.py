@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What counts as white space, inside a character class.
@@ -122,17 +122,15 @@ def language_spec(c: Column | str) -> Column:
     return F.when(low == "", "eng").when(low.isin("auto", "automatic", "detect"), "auto").otherwise(F.coalesce(F.nullif(F.array_join(parts, "+"), F.lit("")), F.lit("eng")))
 
 
-def token_offsets(c: Column | str) -> Column:
-    """Words with their places: array<struct<start, end, word>>; the end is exclusive."""
-    gaps = F.split(col(c), f"(?<=[{SPACE}])(?=[^{SPACE}])|(?<=[^{SPACE}])(?=[{SPACE}])")
-    start = F.struct(F.array().cast("array<struct<start:int,end:int,word:string>>").alias("out"), F.lit(0).alias("at"))
+def token_offsets(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, start, end, word) of every word of the texts of ``rows``, which have their ``keys`` once; the end is exclusive.
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        here = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("word")))
-        return F.struct(F.when(part.rlike(f"^[^{SPACE}]"), F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"), end.alias("at"))
-
-    return F.aggregate(gaps, start, step, lambda acc: acc["out"])
+    Words are taken with the blanks before them, so that their lengths add up to their ends.
+    """
+    parts = rows.select(*keys, F.posexplode(F.regexp_extract_all(col(text), F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0))).alias("i", "part"))
+    parts = parts.withColumn("word", F.regexp_replace("part", f"^[{SPACE}]+", ""))
+    end = F.sum(F.length("part")).over(Window.partitionBy(*keys).orderBy("i"))
+    return parts.select(*keys, (end - F.length("word")).cast("int").alias("start"), end.cast("int").alias("end"), "word")
 
 
 def safe_suffix(name: Column | str, fallback: str = ".bin") -> Column:
@@ -159,6 +157,16 @@ def uptime_label(seconds: Column | str) -> Column:
     return F.when(parts == "", F.concat(s % 60, F.lit("s"))).otherwise(parts)
 
 
+def bold_font(font: Column | str, flags: Column) -> Column:
+    """Bit 2 of the flags, or a name that says so."""
+    return (flags.bitwiseAND(2) != 0) | F.coalesce(F.lower(col(font)).rlike("bold|black|heavy"), F.lit(False))
+
+
+def italic_font(font: Column | str, flags: Column) -> Column:
+    """Bit 1 of the flags, or a name that says so."""
+    return (flags.bitwiseAND(1) != 0) | F.coalesce(F.lower(col(font)).rlike("italic|oblique"), F.lit(False))
+
+
 def technology(module: Column | str) -> Column:
     """The first framework whose name the module's contains."""
     low = F.lower(col(module))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 import re
+from difflib import SequenceMatcher
+from itertools import groupby
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,7 +47,38 @@ def effective_style() -> list[Column]:
     ]
 
 
-_TOKEN = re.compile(r"\S+")
+Word = tuple[int, int, str]
+Block = tuple[str, int, int, int, int]
+
+
+def _words(text: str) -> list[Word]:
+    return [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", text)]
+
+
+def _blocks(x: list[Word], y: list[Word]) -> list[Block]:
+    """(operation, words from, to, other words from, to) of what differs: by place where both have as many words, else aligned."""
+    a, b = [w[2] for w in x], [w[2] for w in y]
+    if a and len(a) == len(b):
+        runs = [list(run) for differs, run in groupby(range(len(a)), lambda i: a[i] != b[i]) if differs]
+        return [("replace", run[0], run[-1] + 1, run[0], run[-1] + 1) for run in runs]
+    return [block for block in SequenceMatcher(None, a, b).get_opcodes() if block[0] != "equal"]
+
+
+def _extent(words: list[Word], first: int, past: int) -> tuple[int, int]:
+    """Characters of words ``first`` to ``past``; nothing lies at the next word or behind the last.
+
+    Of no words before the first one the end is that of the word before, which may lie left of the start.
+    """
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    at = (starts + ends[-1:] + [0])[first] if first <= len(words) else 0
+    return at, ends[past - 1] if 0 < past <= len(words) else at
+
+
+def _other_tail(word: str, other: str) -> int:
+    """Where the words' unlike tails begin if the tails have no sign in common and the first is not all letters and digits; else 0."""
+    n = len(commonprefix((word, other)))
+    a, b = word[n:], other[n:]
+    return n if n and a and b and len(word) > 1 and set(a).isdisjoint(b) and not a.isalnum() else 0
 
 
 def diff(original: str | None, edited: str | None) -> list[tuple[str, int, int, str, int, int, str, bool]]:
@@ -54,40 +87,19 @@ def diff(original: str | None, edited: str | None) -> list[tuple[str, int, int,
     Equal numbers of words are compared place by place, runs of changed words together; a single
     changed word whose tail of signs alone differs gives that tail.  Else words are aligned.
     """
-    a, b = original or "", edited or ""
-    x, y = list(_TOKEN.finditer(a)), list(_TOKEN.finditer(b))
+    texts = (original or "", edited or "")
+    sides = tuple(map(_words, texts))
+    by_place = len(sides[0]) == len(sides[1])
     out = []
-    if x and len(x) == len(y):
-        i = 0
-        while i < len(x):
-            if x[i][0] == y[i][0]:
-                i += 1
-                continue
-            j = i
-            while j + 1 < len(x) and x[j + 1][0] != y[j + 1][0]:
-                j += 1
-            if i == j and len(x[i][0]) > 1:
-                codes = SequenceMatcher(None, x[i][0], y[i][0]).get_opcodes()
-                if [c[0] for c in codes] == ["equal", "replace"]:
-                    _, p, q, r, s = codes[1]
-                    if not x[i][0][p:q].isalnum():
-                        at, to = x[i].start(), y[i].start()
-                        out.append(("replace", at + p, at + q, x[i][0][p:q], to + r, to + s, y[i][0][r:s], True))
-                        i += 1
-                        continue
-            p, q, r, s = x[i].start(), x[j].end(), y[i].start(), y[j].end()
-            out.append(("replace", p, q, a[p:q], r, s, b[r:s], False))
-            i = j + 1
-        return out
-
-    def place(tokens: list[re.Match], lo: int, hi: int) -> tuple[int, int]:
-        start = tokens[lo].start() if lo < len(tokens) else tokens[-1].end() if tokens else 0
-        return start, tokens[hi - 1].end() if 0 < hi <= len(tokens) else start
-
-    for op, i1, i2, j1, j2 in SequenceMatcher(None, [m[0] for m in x], [m[0] for m in y]).get_opcodes():
-        if op != "equal":
-            (p, q), (r, s) = place(x, i1, i2), place(y, j1, j2)
-            out.append((op, p, q, a[p:q] if i2 > i1 else "", r, s, b[r:s] if j2 > j1 else "", False))
+    for operation, *ranges in _blocks(*sides):
+        tail = 0
+        if by_place and ranges[1] - ranges[0] == 1:
+            tail = _other_tail(sides[0][ranges[0]][2], sides[1][ranges[2]][2])
+        row: list = [operation]
+        for text, words, first, past in zip(texts, sides, ranges[::2], ranges[1::2], strict=True):
+            start, end = _extent(words, first, past)
+            row += [start + tail, end, text[start + tail : end] if past > first else ""]
+        out.append((*row, tail > 0))
     return out
 
 
@@ -107,57 +119,84 @@ def diff_ops(rows: DataFrame, keys: list[str]) -> DataFrame:
     return ops.select(*keys, "op_no", "op.*")
 
 
-def targets(element: dict) -> list[dict]:
-    """What of an element must be replaced, at which characters.
+CHANGE = "array<struct<operation:string,original_start:int,original_end:int,original_substring:string,edited_start:int,edited_end:int,replacement_substring:string,sub_word_punctuation:boolean>>"
+
+
+def changes(elements: DataFrame) -> DataFrame:
+    """The dirty elements with ``changes``: their differences, or what a change of style alone applies to.
+
+    That is the given part, at a selection within the text or at its first place; nothing where the part
+    isn't there; the whole text where no part is given.  Only changed texts go through Python.
+    """
+    rows = elements.where(dirty())
+    original, edited, part = (F.coalesce(c, F.lit("")) for c in ("original_text", "text", "target_substring"))
+    n = F.length(original)
+    chosen = F.coalesce(F.col("selection_start").between(0, n) & (F.col("selection_end") <= n), F.lit(False))
+    at = F.position(part, original) - 1
+    start = F.when(chosen, F.col("selection_start")).otherwise(at)
+    end = F.when(chosen, F.col("selection_end")).otherwise(at + F.length(part))
+
+    def one(start: Column, end: Column, old: Column, edited_end: Column, new: Column) -> Column:
+        return F.array(F.struct(F.lit("replace"), start, end, old, start, edited_end, new, F.lit(False))).cast(CHANGE)
+
+    style = F.when(part == "", one(F.lit(0), n, original, F.length(edited), edited)).when(at >= 0, one(start, end, part, end, part)).otherwise(F.array().cast(CHANGE))
+    same = original == edited
+    changed = rows.where(~same).withColumn("changes", diff_udf("original_text", "text").cast(CHANGE))
+    return changed.unionByName(rows.where(same).withColumn("changes", F.array().cast(CHANGE))).withColumn("changes", F.when(F.size("changes") > 0, F.col("changes")).otherwise(style))
+
+
+def chars_of(lines: DataFrame) -> DataFrame:
+    """Lines (doc_id, page_no, line_no, text, x, y, width, height, font, size) with ``chars``, an array of their characters.
+
+    Where a page's characters have no boxes of their own they are spread evenly over their line; the base lies at 85 % of its height.
+    """
+    step = F.col("width") / F.greatest(F.length("text"), F.lit(1))
+
+    def char(c: Column, i: Column) -> Column:
+        x0 = F.col("x") + i * step
+        return F.struct(c.alias("c"), x0.alias("x0"), F.col("y").alias("y0"), (x0 + step).alias("x1"), (F.col("y") + F.col("height")).alias("y1"), (F.col("y") + 0.85 * F.col("height")).alias("base"), F.col("font").alias("font"), F.col("size").alias("size"))
+
+    return lines.where(F.length("text") > 0).withColumn("chars", F.transform(F.split("text", ""), char))
+
+
+def edit_targets(elements: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """One row a change of every dirty element: which characters of which line it concerns.
 
-    Differences first; for a change of style the given part, at its selection or first place; a
-    part that isn't there gives nothing, no part the whole text.  Characters are spread evenly.
+    ``lines`` have ``chars``, as those of ``chars_of``; without them the elements' own originals are the lines.  A change
+    is ``exact`` where its characters are found in the matched line; an insertion lies behind the character
+    before it.  Else the whole element stands for it (``line_fallback``).
     """
-    text, original = element.get("text") or "", element.get("original_text") or ""
-    x, y, w, h = (float(element.get(k) or 0.0) for k in ("x", "y", "width", "height"))
-    n = max(1, len(original))
-
-    def boxed(op: str, start: int, end: int, piece: str, new: str, unit: str) -> dict:
-        exact = op != "insert" and 0 <= start < end <= len(original)
-        left, right = (x + w * start / n, x + w * end / n) if exact else (x, x + w)
-        at = x + w * min(max(start, 0), n) / n
-        rest = original[end:] if end >= 0 else ""
-        skip = len(rest) - len(rest.lstrip())
-        neighbour = x + w * (end + skip) / n if rest.strip() else None
-        return {
-            "operation": op, "original_start": start, "original_end": end, "target": piece, "replacement": new, "granularity": "insertion_point" if op == "insert" else unit,
-            "x0": None if op == "insert" else left, "x1": None if op == "insert" else right, "baseline": y + 0.85 * h, "insertion_x": at if op == "insert" else None, "neighbour_x": neighbour, "confidence": "exact" if exact or op == "insert" else "line_fallback",
-        }
-
-    ops = diff(original, text)
-    if ops:
-        return [boxed(o[0], o[1], o[2], o[3], o[6], "character" if o[7] else "word") for o in ops]
-    part = element.get("target_substring") or ""
-    if part:
-        s, e = element.get("selection_start"), element.get("selection_end")
-        if s is not None and e is not None and not pd.isna(s) and not pd.isna(e) and original[int(s) : int(e)] == part:
-            return [boxed("replace", int(s), int(e), part, part, "word")]
-        at = original.find(part)
-        return [boxed("replace", at, at + len(part), part, part, "word")] if at >= 0 else []
-    return [boxed("replace", 0, len(original), original, text, "word")]
-
-
-TARGET_SCHEMA = "doc_id string, page_no int, element_no int, target_no int, operation string, original_start int, original_end int, target string, replacement string, granularity string, x0 double, x1 double, baseline double, insertion_x double, neighbour_x double, confidence string"
-
-
-def edit_targets(elements: DataFrame) -> DataFrame:
-    """One row a target of every dirty element."""
-    names = [f.strip().split(" ")[0] for f in TARGET_SCHEMA.split(",")]
-    kept = elements.where(dirty()).select(*PAGE, "element_no", "text", "original_text", "x", "y", "width", "height", "target_substring", "selection_start", "selection_end")
-
-    def resolve(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-                rows += [{"doc_id": r["doc_id"], "page_no": r["page_no"], "element_no": r["element_no"], "target_no": k, **t} for k, t in enumerate(targets(r))]
-            yield pd.DataFrame(rows, columns=names)
-
-    return kept.mapInPandas(resolve, TARGET_SCHEMA)
+    from .spatial import line_matches
+
+    if lines is None:
+        lines = chars_of(elements.select(*PAGE, F.col("element_no").alias("line_no"), F.coalesce("original_text", "text").alias("text"), "x", "y", "width", "height", "font", "size"))
+    rows = changes(elements)
+    own = line_matches(rows.where(F.size("changes") > 0), lines)
+    ops = rows.select(*PAGE, "element_no", "x", "y", "width", "height", "font", "size", F.posexplode("changes").alias("target_no", "op"))
+    ops = ops.join(own, [*PAGE, "element_no"], "left").join(lines.select(*PAGE, "line_no", "chars"), [*PAGE, "line_no"], "left")
+    chars, n = F.col("chars"), F.coalesce(F.size("chars"), F.lit(0))
+    first, past, insert = F.col("op.original_start"), F.col("op.original_end"), F.col("op.operation") == "insert"
+    found = F.col("chars").isNotNull() & (n > 0)
+    inside = found & ~insert & (first >= 0) & (first < past) & (past <= n)
+    mine = F.when(inside, F.slice(chars, first + 1, F.greatest(past - first, F.lit(1))))
+    anchor = F.when(insert & found & (first > 0) & (first <= n), F.get(chars, first - 1)).when(insert & found & (first == 0), F.get(chars, F.lit(0)))
+    behind = F.when(found & (past >= 0) & (past < n), F.get(F.filter(F.slice(chars, past + 1, F.greatest(n - past, F.lit(1))), lambda c: F.trim(F.regexp_replace(c["c"], r"\s", "")) != ""), F.lit(0)))
+
+    def side(f: str, of, whole: Column) -> Column:
+        return F.when(inside, of(F.transform(mine, lambda c: c[f]))).when(~insert, whole)
+
+    base = F.col("y") + 0.85 * F.col("height")
+    mean = F.aggregate(F.transform(mine, lambda c: c["base"]), F.lit(0.0), lambda a, b: a + b) / F.size(mine)
+    exact = inside | insert & found
+    lead = F.coalesce(F.get(mine, F.lit(0)), anchor)
+    return ops.select(
+        *PAGE, "element_no", "target_no", "op.operation", "op.original_start", "op.original_end", F.col("op.original_substring").alias("target"), F.col("op.replacement_substring").alias("replacement"),
+        F.when(~exact, "line").when(insert, "insertion_point").when(F.col("op.sub_word_punctuation"), "character").otherwise("word").alias("granularity"),
+        side("x0", F.array_min, F.col("x")).alias("x0"), side("y0", F.array_min, F.col("y")).alias("y0"), side("x1", F.array_max, F.col("x") + F.col("width")).alias("x1"), side("y1", F.array_max, F.col("y") + F.col("height")).alias("y1"),
+        F.coalesce(mean, anchor["base"], base).alias("baseline"), F.when(insert, F.coalesce(F.when(first > 0, anchor["x1"]).otherwise(anchor["x0"]), F.col("x"))).alias("insertion_x"),
+        F.when(exact, behind["x0"]).alias("neighbour_x"), F.coalesce(lead["font"], F.col("font")).alias("font"), F.coalesce(lead["size"], F.col("size")).alias("size"),
+        F.when(inside, F.size(mine)).when(exact, 0).otherwise(F.length("op.original_substring")).alias("n_chars"), F.when(exact, "exact").otherwise("line_fallback").alias("confidence"),
+    )
 
 
 def available_width(neighbour: Column, x: Column, box_width: Column, page_width: Column) -> Column:

@@ -70,7 +70,7 @@ def base_font_size(elements: DataFrame) -> DataFrame:
 
 def bands(elements: DataFrame, pages: DataFrame) -> DataFrame:
     """Elements with their stripped text and band: header in the top 8 %, else footer in the last 10 %."""
-    e = elements.join(pages.select(*PAGE, F.col("height").alias("page_height")), PAGE)
+    e = elements.join(pages.select(*PAGE, F.col("width").alias("page_width"), F.col("height").alias("page_height")), PAGE)
     band = F.when(F.col("y") + F.col("height") <= 0.08 * F.col("page_height"), "header").when(F.col("y") >= 0.90 * F.col("page_height"), "footer")
     return e.withColumn("band", band).withColumn("line", strip("text"))
 
@@ -102,9 +102,8 @@ def content_roles(banded: DataFrame, repeated: DataFrame, base: DataFrame) -> Da
     rep = repeated.select("doc_id", "band", "line", F.lit(True).alias("again"))
     rows = banded.join(rep, ["doc_id", "band", "line"], "left").join(base, "doc_id")
     again = F.coalesce("again", F.lit(False))
-    width = F.lit(595.0)
     score = watermark_score(
-        F.coalesce("text", F.lit("")), col("x"), col("y"), col("x") + col("width"), col("y") + col("height"), width, col("page_height"), F.lit(False), col("size"), col("base_size"), F.lit(1.0), F.lit(False)
+        F.coalesce("text", F.lit("")), col("x"), col("y"), col("x") + col("width"), col("y") + col("height"), col("page_width"), col("page_height"), F.lit(False), col("size"), col("base_size"), F.lit(1.0), F.lit(False)
     )
     role = (
         F.when(F.coalesce("line", F.lit("")) == "", "primary")

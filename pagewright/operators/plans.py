@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.text import font_variant
 
 PAGE = ["doc_id", "page_no"]
 
@@ -25,8 +26,6 @@ def keyword_boxes(elements: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def redact_plan(matches: DataFrame, boxes: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, seq, reason, x0, y0, x1, y1): per page keyword matches, then boxes in fractions of the page; black fill, one apply a page."""
-    from pyspark.sql import Window
-
     m = matches.select(*PAGE, F.lit(0).alias("rank"), F.lit("keyword").alias("reason"), F.col("element_no").alias("no"), F.col("keyword").alias("sub"), "x0", "y0", "x1", "y1")
     b = boxes.join(pages.select(*PAGE, "width", "height"), PAGE)
     r = G.fraction_rect(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("width"), F.col("height"))
@@ -67,3 +66,43 @@ def compile_plan(targets: DataFrame, elements: DataFrame) -> DataFrame:
     n = targets.groupBy(*PAGE, "element_no").agg(F.count_if(F.col("operation") != "insert").alias("cut"), F.count("*").alias("n"))
     rows = elements.where(dirty()).select(*PAGE, "element_no").join(n, [*PAGE, "element_no"], "left")
     return rows.select(*PAGE, "element_no", F.coalesce("cut", F.lit(1)).cast("int").alias("redactions"), F.coalesce("n", F.lit(1)).cast("int").alias("insertions"))
+
+
+def compile_ops(targets: DataFrame, elements: DataFrame) -> DataFrame:
+    """(doc_id, page_no, seq, op, element_no, x0, y0, x1, y1, text, font, size, color): what a compile of the dirty elements draws, in order.
+
+    All redactions of a page first, then one apply, then grounds, texts, and lines under or through them.
+    Elements that are dirty without a target are replaced as a whole.
+    """
+    from .editing import dirty, effective_style
+    from .records import baseline, decoration
+
+    font = font_variant(F.col("font_family"), F.col("is_bold"), F.col("is_italic"))
+    styled = elements.where(dirty()).select(*PAGE, "element_no", "x", "y", "width", "height", F.col("text").alias("whole"), *effective_style())
+    styled = styled.withColumn("font", font).withColumn("ground", F.when(~F.lower("ground").isin("", "transparent", "none"), F.col("ground")))
+    t = targets.select(*PAGE, "element_no", "target_no", "operation", "x0", "y0", "x1", "y1", "baseline", "insertion_x", "replacement")
+    rows = styled.join(t, [*PAGE, "element_no"], "left")
+    own = {"x0": F.col("x"), "y0": F.col("y"), "x1": F.col("x") + F.col("width"), "y1": F.col("y") + F.col("height")}
+    alone = F.col("operation").isNull()
+    rows = rows.withColumns({k: F.when(alone, v).otherwise(F.col(k)) for k, v in own.items()})
+    rows = rows.withColumn("base", F.coalesce("baseline", baseline(F.col("y"), F.col("height")))).withColumn("left", F.coalesce("x0", "insertion_x", "x"))
+    rows = rows.withColumn("new", F.when(alone, F.col("whole")).otherwise(F.col("replacement")))
+    drawn = F.coalesce(F.col("new"), F.lit("")) != ""
+    under, through, _ = decoration(F.col("base"), F.col("font_size"))
+    none, whole = F.lit(None).cast("double"), ("x0", "y0", "x1", "y1")
+
+    def op(phase: int, name: str, test: Column, box: list[Column], text: Column | None = None) -> Column:
+        text = F.lit(None).cast("string") if text is None else text
+        return F.when(test, F.struct(F.lit(phase).alias("phase"), F.lit(name).alias("op"), *[c.cast("double").alias(k) for k, c in zip(whole, box, strict=True)], text.alias("text")))
+
+    cut, right = [F.col(k) for k in whole], F.coalesce("x1", "insertion_x")
+    ops = F.array(
+        op(0, "redact", F.col("x0").isNotNull(), cut), op(2, "background", F.col("ground").isNotNull() & F.col("x0").isNotNull(), [F.col("x0") - 1, F.col("y0") - 1, F.col("x1") + 1, F.col("y1") + 1]),
+        op(3, "text", drawn, [F.col("left"), F.col("base"), none, none], F.col("new")), op(4, "underline", drawn & F.col("is_underline"), [F.col("left"), under, right, under]), op(4, "strikeout", drawn & F.col("is_strikethrough"), [F.col("left"), through, right, through]),
+    )
+    each = rows.select(*PAGE, "element_no", F.coalesce("target_no", F.lit(0)).alias("target_no"), "font", F.col("font_size").alias("size"), "color", F.explode(F.filter(ops, lambda o: o.isNotNull())).alias("o"))
+    each = each.select(*PAGE, "element_no", "target_no", "o.*", *[F.when(F.col("o.op") == "text", F.col(c)).alias(c) for c in ("font", "size", "color")])
+    apply = each.where("op = 'redact'").select(*PAGE).distinct().select(*PAGE, F.lit(1).alias("phase"), F.lit("apply").alias("op"))
+    every = each.unionByName(apply, allowMissingColumns=True)
+    seq = F.row_number().over(Window.partitionBy(*PAGE).orderBy("phase", "element_no", "target_no", "op"))
+    return every.select(*PAGE, seq.cast("int").alias("seq"), "op", "element_no", *[F.round(k, 6).alias(k) for k in whole], "text", "font", "size", "color")

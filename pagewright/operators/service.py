@@ -35,8 +35,8 @@ def enough_disk(free: Column, size: Column) -> Column:
     return free >= 5 * size + 50 * 1024 * 1024
 
 
-def expired(name: Column, age: Column, is_link: Column, shared: Column, ttl: int = 3600, prefixes: tuple[str, ...] = ("pagewright-", "ocr-work-", "office-work-")) -> Column:
-    """Whether a temporary file goes: links always, old ones, in shared folders only with a known prefix."""
+def expired(name: Column, age: Column, is_link: Column, shared: Column, prefixes: tuple[str, ...], ttl: int = 3600) -> Column:
+    """Whether a temporary file goes: links always, old ones, in shared folders only with one of the service's ``prefixes``."""
     known = F.lit(False)
     for p in prefixes:
         known = known | name.startswith(p)

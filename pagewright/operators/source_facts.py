@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,18 +153,45 @@ def facts_udf(contents: pd.Series) -> pd.Series:
 
 
 def latest(sources: DataFrame) -> DataFrame:
-    """Each file's latest submission, its path with forward slashes."""
-    rows = sources.groupBy("file_id").agg(F.max_by(F.struct("task_id", "repo", "path", "content"), F.struct("received_at", "submitted_at", "content")).alias("f"))
-    return rows.select("file_id", "f.task_id", "f.repo", F.regexp_replace("f.path", r"\\", "/").alias("path"), "f.content")
+    """Each file's latest submission, its path with forward slashes.  A content is exchanged once."""
+    newest = Window.partitionBy("file_id").orderBy(F.desc("received_at"), F.desc("submitted_at"), F.desc("content"))
+    rows = sources.withColumn("place", F.row_number().over(newest)).where("place = 1")
+    return rows.select("file_id", "task_id", "repo", F.regexp_replace("path", r"\\", "/").alias("path"), "content")
 
 
 def source_facts(sources: DataFrame) -> DataFrame:
-    """(task_id, file_id, path, fact columns) of every Python file."""
-    python = latest(sources).where(F.lower("path").rlike(r"\.pyi?$"))
-    return python.select("task_id", "file_id", "path", F.explode(facts_udf("content")).alias("f")).select("task_id", "file_id", "path", "f.*")
+    """(task_id, file_id, path, fact columns) of every Python file, of tasks within their limits only."""
+    files = latest(sources)
+    python = files.where(F.lower("path").rlike(r"\.pyi?$"))
+    facts = python.select("task_id", "file_id", "path", F.explode(facts_udf("content")).alias("f")).select("task_id", "file_id", "path", "f.*")
+    refused = _limits(files).where("status = 'ERROR'").select(F.col("task_id").alias("refused"))
+    return facts.join(refused, facts["task_id"].eqNullSafe(F.col("refused")), "left_anti")
+
+
+def totals(facts: DataFrame) -> DataFrame:
+    """(task_id, n_files, n_nodes): the files parsed and the nodes visited in them."""
+    return facts.where("kind = 'nodes'").groupBy("task_id").agg(F.count("*").alias("n_files"), F.sum("line_number").alias("n_nodes"))
+
+
+# By what the facts of an answer are sorted.
+ORDERS = {"route": ("name", "detail", "path"), "model": ("name", "path"), "env_ref": ("name", "path", "line_number"), "import": ("path", "detail"), "diagnostic": ("path", "name")}
+
+
+def placed(facts: DataFrame) -> DataFrame:
+    """Facts of the five kinds with ``place``, from 0, in their task's answer."""
+    keys = F.lit(None)
+    for kind, columns in ORDERS.items():
+        key = F.concat_ws("\x00", *[F.lpad(F.col(c).cast("string"), 9, "0") if c == "line_number" else F.coalesce(F.col(c), F.lit("")) for c in columns])
+        keys = F.when(F.col("kind") == kind, key).otherwise(keys)
+    order = Window.partitionBy("task_id", "kind").orderBy(keys, "path", "line_number", "name", "detail", "owner")
+    return facts.where(F.col("kind").isin(*ORDERS)).withColumn("place", F.row_number().over(order) - 1)
 
 
 def request_limits(sources: DataFrame) -> DataFrame:
     """(task_id, n_files, n_bytes, status): a task with too many files or bytes is an error as a whole."""
-    rows = latest(sources).groupBy("task_id").agg(F.count("*").alias("n_files"), F.sum(F.octet_length(F.coalesce("content", F.lit("")))).alias("n_bytes"))
+    return _limits(latest(sources))
+
+
+def _limits(files: DataFrame) -> DataFrame:
+    rows = files.groupBy("task_id").agg(F.count("*").alias("n_files"), F.sum(F.octet_length(F.coalesce("content", F.lit("")))).alias("n_bytes"))
     return rows.withColumn("status", F.when((F.col("n_files") > MAX_FILES) | (F.col("n_bytes") > MAX_TOTAL_BYTES), "ERROR").otherwise("SUCCESS"))

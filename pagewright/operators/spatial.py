@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import iou, overlaps, touches
 from ..functions.grouped import by_group
-from ..functions.udf import ratio
+from ..functions.udf import exact_ratio, ratio
 
 PAGE = ["doc_id", "page_no"]
 
@@ -98,7 +98,7 @@ def line_matches(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, page_no, element_no, line_no): the line of an element, by height and then by text.
 
     Lines whose top or middle lies within 4 points are candidates; of several the most similar;
-    without any, a line that holds the text or is more than 0.8 similar.
+    without any, a line that holds the text, or is held by it, or is more than 0.8 similar.  The first of equal ones.
     """
 
     def match(rows: list[dict]) -> list[tuple]:
@@ -107,15 +107,12 @@ def line_matches(wanted: DataFrame, lines: DataFrame) -> DataFrame:
         for r in rows:
             if r["side"] == 0:
                 continue
-            mid = r["y"] + r["height"] / 2
+            mid, text = r["y"] + r["height"] / 2, r["text"]
             near = [x for x in ls if abs(x["y"] - r["y"]) <= 4 or abs(x["y"] + x["height"] / 2 - mid) <= 4]
-            if len(near) > 1:
-                near = [max(near, key=lambda x: ratio(x["text"], r["text"]))]
-            if not near:
-                text = (r["text"] or "").strip()
-                far = [x for x in ls if text and text in x["text"] or ratio(x["text"], text) > 0.8]
-                near = [max(far, key=lambda x: ratio(x["text"], text))] if far else []
-            out.append((r["doc_id"], r["page_no"], r["no"], near[0]["no"] if near else None))
+            if not near and text:
+                near = [x for x in ls if text in x["text"] or x["text"] in text or exact_ratio(x["text"], text) > 0.8]
+            best = near[0] if len(near) == 1 else max(near, key=lambda x: exact_ratio(x["text"], text), default=None)
+            out.append((r["doc_id"], r["page_no"], r["no"], best["no"] if best else None))
         return out
 
     def side(df: DataFrame, no: str, text: str, which: int) -> DataFrame:

@@ -55,3 +55,16 @@ def cascade(candidates: DataFrame) -> DataFrame:
     """Candidate tables of the first stage a page has: (doc_id, page_no, stage, ...), lower stages first."""
     best = F.min("stage").over(Window.partitionBy(*PAGE))
     return candidates.withColumn("best", best).where("stage = best").drop("best")
+
+
+def stacked(nodes: DataFrame) -> DataFrame:
+    """(doc_id, row_no, col_no, text): all table nodes of a document one under the other, columns by position, rows numbered anew from 0.
+
+    A table's rows are counted and summed up before its cells are unfolded.
+    """
+    rows = F.concat(F.array(F.coalesce("headers", F.array().cast("array<string>"))), F.coalesce("rows", F.array().cast("array<array<string>>")))
+    t = nodes.where("kind = 'table'").select(*PAGE, "node_no", rows.alias("all_rows"))
+    before = Window.partitionBy("doc_id").orderBy("page_no", "node_no").rowsBetween(Window.unboundedPreceding, -1)
+    at = t.select(*PAGE, "node_no", F.coalesce(F.sum(F.size("all_rows")).over(before), F.lit(0)).alias("at"))
+    cells = t.join(at, [*PAGE, "node_no"]).select("doc_id", "at", F.posexplode("all_rows").alias("i", "cells"))
+    return cells.select("doc_id", (F.col("at") + F.col("i")).cast("int").alias("row_no"), F.posexplode("cells").alias("col_no", "text"))

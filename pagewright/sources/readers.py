@@ -43,6 +43,38 @@ def tsv_words(lines: DataFrame, column: str = "line") -> DataFrame:
     return out.where(F.col("level").isNotNull())
 
 
+DICT = "struct<text:array<string>,left:array<double>,top:array<double>,width:array<double>,height:array<double>,conf:array<string>>"
+
+
+def dict_words(pages: DataFrame, column: str = "data", zoom: float = 2.0) -> DataFrame:
+    """(other columns, word_no, text, conf, x0, y0, x1, y1) of OCR results that hold each field as one list a page.
+
+    Boxes are scaled back by the zoom at which the page was read.  A confidence that is no number counts as -1;
+    blank texts and words that are not valid are left out.
+    """
+    from ..operators.words import valid_word
+
+    keep = [c for c in pages.columns if c != column]
+    d = F.col(column)
+    rows = pages.select(*keep, F.posexplode(F.arrays_zip(*[d[k].alias(k) for k in ("text", "left", "top", "width", "height", "conf")])).alias("word_no", "w"))
+    rows = rows.select(*keep, "word_no", strip("w.text").alias("text"), F.coalesce(F.col("w.conf").try_cast("double"), F.lit(-1.0)).alias("conf"), *[(F.col(f"w.{k}") / zoom).alias(k) for k in ("left", "top", "width", "height")])
+    rows = rows.where((F.coalesce("text", F.lit("")) != "") & valid_word(F.col("text"), F.col("conf")))
+    return rows.select(*keep, "word_no", "text", "conf", F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("left") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"))
+
+
+def form_boxes(forms: DataFrame, column: str = "boxes") -> DataFrame:
+    """(other columns, box_no, page, x, y, width, height) of JSON lists of boxes in forms; what is no such list gives none."""
+    keep = [c for c in forms.columns if c != column]
+    boxes = F.from_json(column, "array<struct<page:int,x:double,y:double,width:double,height:double>>", {"mode": "PERMISSIVE"})
+    return forms.select(*keep, F.posexplode(boxes).alias("box_no", "b")).select(*keep, "box_no", "b.*").where("page IS NOT NULL")
+
+
+def form_keywords(forms: DataFrame, column: str = "keywords") -> DataFrame:
+    """(other columns, keyword_no, keyword) of lists split on three bars; blank ones are left out."""
+    keep = [c for c in forms.columns if c != column]
+    return forms.select(*keep, F.posexplode(F.split(column, r"\|\|\|")).alias("keyword_no", "keyword")).withColumn("keyword", strip("keyword")).where("keyword <> ''")
+
+
 def source_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of text files, each whole."""
     rows = spark.read.text(path, wholetext=True)

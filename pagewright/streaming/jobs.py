@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -132,36 +133,66 @@ def lease_outcomes(events: DataFrame, pool: str = "pool") -> DataFrame:
 SESSION_TTL, SESSION_CAP = 1800, 32
 
 
+def visit(state: dict, event: dict) -> str:
+    """Apply a session event to the sessions of one manager (``last`` access by content hash, ``pages`` rendered in each) and name the outcome.
+
+    Idle sessions expire and take their pages along; at capacity the one of oldest access goes.
+    """
+    last, pages, now, key = state["last"], state["pages"], float(event["ts"]), event["sha256"]
+
+    def drop(k: str) -> None:
+        last.pop(k, None)
+        pages.pop(k, None)
+
+    for k in [k for k, t in last.items() if now - t > SESSION_TTL]:
+        drop(k)
+    action, known = event["action"], key in last
+    if action == "delete":
+        drop(key)
+        return "deleted" if known else "missing"
+    if not known and action != "create":
+        return "missing"
+    if not known and len(last) >= SESSION_CAP:
+        drop(min(last, key=last.get))
+    last[key] = now
+    if action == "create":
+        return "reused" if known else "created"
+    if action == "get":
+        return "found"
+    page = f"{event['page']}:{event['dpi']:g}"  # a rendered page is kept for its resolution
+    if page in pages.setdefault(key, []):
+        return "cached"
+    pages[key].append(page)
+    return "rendered"
+
+
 def session_outcomes(events: DataFrame, shard: str = "shard") -> DataFrame:
-    """(event_no, outcome) of session events by content hash: created, reused, found, missing or deleted; idle ones expire, the oldest go at capacity.
+    """(event_no, outcome) of session events by content hash: created, reused, found, rendered, cached, missing or deleted.
 
-    Each shard is one manager with its own capacity.
+    Each shard is one manager with its own capacity.  Events other than ``page`` need no page and dpi.
     """
 
     def fold(rows: list[dict]) -> list[tuple]:
-        last: dict[str, float] = {}
-        out = []
-        for e in rows:
-            now, key = float(e["ts"]), e["sha256"]
-            for k in [k for k, t in last.items() if now - t > SESSION_TTL]:
-                del last[k]
-            if e["action"] == "delete":
-                out.append("deleted" if last.pop(key, None) is not None else "missing")
-            elif key in last:
-                last[key] = now
-                out.append("reused" if e["action"] == "create" else "found")
-            elif e["action"] == "get":
-                out.append("missing")
-            else:
-                if len(last) >= SESSION_CAP:
-                    del last[min(last, key=last.get)]
-                last[key] = now
-                out.append("created")
-        return [(e["event_no"], x) for e, x in zip(rows, out, strict=True)]
+        state: dict = {"last": {}, "pages": {}}
+        return [(e["event_no"], visit(state, e)) for e in rows]
 
     return by_group(events, [shard], ["ts", "event_no"], fold, "event_no long, outcome string")
 
 
+def stream_sessions(events: DataFrame, shard: str = "shard") -> DataFrame:
+    """The same over a stream; a manager's sessions are kept as JSON between triggers."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        state = json.loads(group.get[0]) if group.exists else {"last": {}, "pages": {}}
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_no"]).to_dict("records")
+        out = pd.DataFrame({"event_no": [e["event_no"] for e in rows], "outcome": [visit(state, e) for e in rows]})
+        group.update((json.dumps(state),))
+        yield out
+
+    return events.groupBy(shard).applyInPandasWithState(fold, "event_no long, outcome string", "state string", "append", GroupStateTimeout.NoTimeout)
+
+
 # ---- nonces
 
 SKEW = 300

@@ -51,7 +51,8 @@ def test_uptime(spark, seconds, out):
 
 
 def test_token_offsets(spark):
-    assert [tuple(t) for t in one(spark, X.token_offsets(F.lit(" ab  c")))] == [(1, 3, "ab"), (5, 6, "c")]
+    rows = spark.createDataFrame([(1, " ab  c"), (2, ""), (3, None), (4, " \u00a0 ")], "id int, text string")
+    assert [tuple(t) for t in X.token_offsets(rows, ["id"]).orderBy("id", "start").collect()] == [(1, 1, 3, "ab"), (1, 5, 6, "c")]
 
 
 def test_touching_edges_intersect_only_closed_rectangles(spark):

@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from pagewright.plans import core
+from pagewright.plans import core, documents  # noqa: F401  (registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables aren't here")

@@ -55,6 +55,20 @@ def test_sessions(spark):
     assert [got[i] for i in (1, 2, 3, 4, 5, 200)] == ["created", "reused", "found", "missing", "missing", "missing"]
 
 
+def test_rendered_pages_are_kept_with_their_session(spark, tmp_path):
+    steps = [("page", 1, 72.0), ("create", None, None), ("page", 1, 72.0), ("page", 1, 72.0), ("page", 1, 96.0), ("delete", None, None), ("create", None, None), ("page", 1, 72.0)]
+    schema = "event_no long, ts double, action string, sha256 string, page int, dpi double, shard int"
+    rows = [(i, float(i), a, "h", p, dpi, 0) for i, (a, p, dpi) in enumerate(steps)]
+    want = ["missing", "created", "rendered", "cached", "rendered", "deleted", "created", "rendered"]
+    assert [r.outcome for r in jobs.session_outcomes(spark.createDataFrame(rows, schema)).orderBy("event_no").collect()] == want
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.stream_sessions(events).writeStream.outputMode("append").format("memory").queryName("session_visits").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [r.outcome for r in spark.sql("SELECT * FROM session_visits ORDER BY event_no").collect()] == want
+
+
 def test_stream_gives_the_states_of_the_batch(spark, tmp_path):
     rows = [(f"j{i % 7}", i, i, ["queued", "running", "running", "succeeded", "failed", "cancel_requested"][(i * 5) % 6], (i * 37) % 130) for i in range(120)]
     schema = "job_id string, ts long, event_no long, status string, progress int"
