@@ -20,6 +20,12 @@ def ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, (a or "").strip().lower(), (b or "").strip().lower()).ratio()
 
 
+def at_least(a: str, b: str, bound: float) -> bool:
+    """Whether ``ratio`` reaches the bound; cheaper upper bounds come first."""
+    m = SequenceMatcher(None, a.strip().lower(), b.strip().lower())
+    return m.real_quick_ratio() >= bound and m.quick_ratio() >= bound and ratio(a, b) >= bound
+
+
 @lru_cache(maxsize=100_000)
 def exact_ratio(a: str, b: str) -> float:
     """Similarity of two texts as they are."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou, overlaps, touches
-from ..functions.grouped import by_group
-from ..functions.udf import exact_ratio, ratio
+from ..functions.grouped import Columns, by_group
+from ..functions.udf import at_least, exact_ratio
 
 PAGE = ["doc_id", "page_no"]
 
@@ -62,30 +64,31 @@ def reconciled(native: DataFrame, ocr: DataFrame) -> DataFrame:
     inputs have node_no, role, text and bbox.  Similarity alone suffices, so all of a page are compared.
     """
 
-    def merge(rows: list[dict]) -> list[tuple]:
-        native = [r for r in rows if r["source"] == "native"]
-        primary = [r for r in native if r["role"] == "primary"]
+    def merge(g: Columns) -> Iterator[tuple]:
+        texts = g["text"]
+        boxes = list(zip(g["x0"], g["y0"], g["x1"], g["y1"], strict=True))
+        native = [s == "native" for s in g["source"]]
+        primary = [i for i, own in enumerate(native) if own and g["role"][i] == "primary"]
 
-        def area(r: dict) -> float:
-            return max(0.0, r["x1"] - r["x0"]) * max(0.0, r["y1"] - r["y0"])
+        def area(b: tuple) -> float:
+            return max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
 
-        def common(a: dict, b: dict) -> float:
-            w, h = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]), min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
+        def common(a: tuple, b: tuple) -> float:
+            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
             return w * h / (area(a) + area(b) - w * h) if w > 0 and h > 0 else 0.0
 
-        def repeats(r: dict) -> bool:
+        def repeats(i: int) -> bool:
             for p in primary:
-                # Lengths bound the ratio, and often settle it.
-                n, m = len(r["text"]), len(p["text"])
-                if n + m and 2 * min(n, m) / (n + m) < 0.40:
-                    continue
-                s = ratio(r["text"], p["text"])
-                if s >= 0.70 or s >= 0.40 and common(r, p) >= 0.50:
+                # Lengths and then the letters in common bound the ratio, and often settle it.
+                n, m = len(texts[i]), len(texts[p])
+                need = 0.40 if common(boxes[i], boxes[p]) >= 0.50 else 0.70
+                if (not n + m or 2 * min(n, m) / (n + m) >= need) and at_least(texts[i], texts[p], need):
                     return True
             return False
 
-        kept = [r for r in rows if r["source"] == "ocr" and not repeats(r)] if primary else [r for r in rows if r["source"] == "ocr"]
-        return [(r["doc_id"], r["page_no"], r["source"], r["node_no"]) for r in native + kept]
+        for i, own in enumerate(native):
+            if own or not repeats(i):
+                yield g["doc_id"][i], g["page_no"][i], g["source"][i], g["node_no"][i]
 
     def flat(df: DataFrame, source: str) -> DataFrame:
         text = F.trim(F.coalesce("text", F.lit("")))
@@ -101,19 +104,15 @@ def line_matches(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     without any, a line that holds the text, or is held by it, or is more than 0.8 similar.  The first of equal ones.
     """
 
-    def match(rows: list[dict]) -> list[tuple]:
-        ls = [r for r in rows if r["side"] == 0]
-        out = []
-        for r in rows:
-            if r["side"] == 0:
-                continue
-            mid, text = r["y"] + r["height"] / 2, r["text"]
-            near = [x for x in ls if abs(x["y"] - r["y"]) <= 4 or abs(x["y"] + x["height"] / 2 - mid) <= 4]
-            if not near and text:
-                near = [x for x in ls if text in x["text"] or x["text"] in text or exact_ratio(x["text"], text) > 0.8]
-            best = near[0] if len(near) == 1 else max(near, key=lambda x: exact_ratio(x["text"], text), default=None)
-            out.append((r["doc_id"], r["page_no"], r["no"], best["no"] if best else None))
-        return out
+    def match(g: Columns) -> Iterator[tuple]:
+        n = g["side"].count(0)  # lines come first
+        text, tops, mids = g["text"], g["y"], [y + h / 2 for y, h in zip(g["y"], g["height"], strict=True)]
+        for i in range(n, len(text)):
+            near = [k for k in range(n) if abs(tops[k] - tops[i]) <= 4 or abs(mids[k] - mids[i]) <= 4]
+            if not near and text[i]:
+                near = [k for k in range(n) if text[i] in text[k] or text[k] in text[i] or exact_ratio(text[k], text[i]) > 0.8]
+            best = near[0] if len(near) == 1 else max(near, key=lambda k: exact_ratio(text[k], text[i]), default=None)
+            yield g["doc_id"][i], g["page_no"][i], g["no"][i], None if best is None else g["no"][best]
 
     def side(df: DataFrame, no: str, text: str, which: int) -> DataFrame:
         return df.select(*PAGE, F.lit(which).alias("side"), F.col(no).alias("no"), F.coalesce(text, F.lit("")).alias("text"), "y", "height")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grouped import by_group
+from ..functions.grouped import Columns, by_group, rows_of
 
 TERMINAL = ("succeeded", "failed", "cancelled")
 
@@ -42,11 +42,11 @@ JOB_STATE = "status string, progress int, cancel_requested boolean, updates int"
 def fold_jobs(events: DataFrame) -> DataFrame:
     """(job_id, state columns) of (job_id, ts, event_no, status, progress)."""
 
-    def fold(rows: list[dict]) -> list[tuple]:
+    def fold(g: Columns) -> list[tuple]:
         state = None
-        for e in rows:
+        for e in rows_of(g):
             state = step(state, e)
-        return [(rows[0]["job_id"], *(state[k] for k in ("status", "progress", "cancel_requested", "updates")))]
+        return [(g["job_id"][0], *(state[k] for k in ("status", "progress", "cancel_requested", "updates")))]
 
     return by_group(events.select("job_id", "ts", "event_no", "status", "progress"), ["job_id"], ["ts", "event_no"], fold, f"job_id string, {JOB_STATE}")
 
@@ -121,9 +121,9 @@ def admit(active: dict[str, tuple[str, int]], event: dict) -> str:
 def lease_outcomes(events: DataFrame, pool: str = "pool") -> DataFrame:
     """(event_no, outcome) of lease events; capacities are those of one pool, so a pool is one sequence by nature."""
 
-    def fold(rows: list[dict]) -> list[tuple]:
+    def fold(g: Columns) -> list[tuple]:
         active: dict[str, tuple[str, int]] = {}
-        return [(e["event_no"], admit(active, e)) for e in rows]
+        return [(e["event_no"], admit(active, e)) for e in rows_of(g)]
 
     return by_group(events, [pool], ["ts", "event_no"], fold, "event_no long, outcome string")
 
@@ -172,9 +172,9 @@ def session_outcomes(events: DataFrame, shard: str = "shard") -> DataFrame:
     Each shard is one manager with its own capacity.  Events other than ``page`` need no page and dpi.
     """
 
-    def fold(rows: list[dict]) -> list[tuple]:
+    def fold(g: Columns) -> list[tuple]:
         state: dict = {"last": {}, "pages": {}}
-        return [(e["event_no"], visit(state, e)) for e in rows]
+        return [(e["event_no"], visit(state, e)) for e in rows_of(g)]
 
     return by_group(events, [shard], ["ts", "event_no"], fold, "event_no long, outcome string")
 
