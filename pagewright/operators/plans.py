@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.text import font_variant
+from ..functions.text import font_variant, safe_suffix, strip
 
 PAGE = ["doc_id", "page_no"]
 
@@ -106,3 +106,50 @@ def compile_ops(targets: DataFrame, elements: DataFrame) -> DataFrame:
     every = each.unionByName(apply, allowMissingColumns=True)
     seq = F.row_number().over(Window.partitionBy(*PAGE).orderBy("phase", "element_no", "target_no", "op"))
     return every.select(*PAGE, seq.cast("int").alias("seq"), "op", "element_no", *[F.round(k, 6).alias(k) for k in whole], "text", "font", "size", "color")
+
+
+def image_ops(elements: DataFrame, zoom: float = 2.0) -> DataFrame:
+    """(doc_id, page_no, seq, op, element_no, x0, y0, x1, y1, text, color): what a compile draws on pages that were read by OCR.
+
+    Each dirty element's ground is painted on the page's image, in its pixels and one wider on every side;
+    the image takes the page's place; then the new texts are written, in points, at their base lines.
+    """
+    from .editing import dirty
+    from .records import baseline
+
+    rows = elements.where(dirty())
+    ground = F.when(F.lower("bg_color") == "transparent", "#ffffff").otherwise(F.coalesce("bg_color", F.lit("#ffffff")))
+    none = F.lit(None).cast("double")
+    scaled = [F.col("x") * zoom - 1, F.col("y") * zoom - 1, (F.col("x") + F.col("width")) * zoom + 1, (F.col("y") + F.col("height")) * zoom + 1]
+    names = ("x0", "y0", "x1", "y1")
+    paint = rows.where("width > 0 AND height > 0").select(*PAGE, F.lit(0).alias("phase"), F.lit("paint").alias("op"), "element_no", *[c.alias(k) for k, c in zip(names, scaled, strict=True)], F.lit(None).cast("string").alias("text"), ground.alias("color"))
+    image = rows.select(*PAGE).distinct().select(*PAGE, F.lit(1).alias("phase"), F.lit("image").alias("op"))
+    at = [F.col("x"), baseline(F.col("y"), F.col("height")), none, none]
+    text = rows.where("text <> ''").select(*PAGE, F.lit(2).alias("phase"), F.lit("text").alias("op"), "element_no", *[c.alias(k) for k, c in zip(names, at, strict=True)], "text", F.coalesce("text_color", F.lit("#000000")).alias("color"))
+    every = paint.unionByName(text).unionByName(image, allowMissingColumns=True)
+    seq = F.row_number().over(Window.partitionBy(*PAGE).orderBy("phase", "element_no"))
+    return every.select(*PAGE, seq.cast("int").alias("seq"), "op", "element_no", *[F.round(k, 6).alias(k) for k in names], "text", "color")
+
+
+def render_requests(requests: DataFrame, documents: DataFrame) -> DataFrame:
+    """Requests (request_id, doc_id, page, dpi) with zoom or, for a page or resolution that can't be, an error; ``documents`` have n_pages."""
+    rows = requests.join(documents.select("doc_id", "n_pages"), "doc_id", "left")
+    error = (
+        F.when(F.col("n_pages").isNull(), "Empty file uploaded")
+        .when(F.col("page") < 1, "Page number must be 1 or greater")
+        .when(F.col("dpi") <= 0, "DPI must be greater than 0")
+        .when(F.col("page") > F.col("n_pages"), F.concat(F.lit("Invalid page "), F.col("page").cast("string"), F.lit("; document has "), F.col("n_pages").cast("string"), F.lit(" pages")))
+    )
+    return rows.select("request_id", "doc_id", "page", error.alias("error"), F.when(error.isNull(), F.round(F.col("dpi") / 72, 6)).alias("zoom"))
+
+
+def merge_plan(images: DataFrame) -> DataFrame:
+    """(job_id, seq, key, local_name, error): a job's images (job_id, position, key, name) in their order, as pages of one document.
+
+    Local names count from 001 and keep an allowed extension; an image without a key is an error.
+    """
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("position", "key", "name"))
+    rows = images.withColumn("seq", place).withColumn("key", strip(F.coalesce("key", F.lit(""))))
+    number = F.when(F.col("seq") < 1000, F.lpad(F.col("seq").cast("string"), 3, "0")).otherwise(F.col("seq").cast("string"))
+    error = F.when(F.col("key") == "", F.concat(F.lit("missing object key for image #"), F.col("seq").cast("string")))
+    return rows.select("job_id", "seq", "key", F.concat(F.lit("image-"), number, safe_suffix(F.coalesce("name", "key"), ".img")).alias("local_name"), error.alias("error"))

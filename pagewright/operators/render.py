@@ -36,14 +36,20 @@ def visible(nodes: DataFrame, annotations: bool = False) -> DataFrame:
     return nodes.where(~F.coalesce(F.col("role"), F.lit("")).isin(*hidden))
 
 
+def page_markdown(nodes: DataFrame, order: str = "node_no") -> DataFrame:
+    """(doc_id, page_no, markdown): chunks in node order, joined by line breaks.  Bounded by a page, whatever the document's length."""
+    chunks = visible(nodes).select("doc_id", "page_no", F.col(order).alias("at"), node_markdown().alias("chunk")).where("chunk <> ''")
+    return chunks.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "chunk"))), lambda x: x["chunk"]), "\n").alias("markdown"))
+
+
 def document_markdown(nodes: DataFrame, order: str = "node_no") -> DataFrame:
     """(doc_id, markdown): chunks in page and node order, joined by line breaks, stripped, with one at the end.
 
-    Pages are joined first and documents then, so a long document is put together in steps.
+    Pages are joined first and documents then.  A document becomes one value; where documents may be longer than
+    a value should be, ``page_markdown`` and the sink ``write_pages`` do without.
     """
-    chunks = visible(nodes).select("doc_id", "page_no", F.col(order).alias("at"), node_markdown().alias("chunk")).where("chunk <> ''")
-    pages = chunks.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "chunk"))), lambda x: x["chunk"]), "\n").alias("page"))
-    docs = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "page"))), lambda x: x["page"]), "\n").alias("text"))
+    pages = page_markdown(nodes, order)
+    docs = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "markdown"))), lambda x: x["markdown"]), "\n").alias("text"))
     return docs.select("doc_id", F.concat(strip("text"), F.lit("\n")).alias("markdown"))
 
 

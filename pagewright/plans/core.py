@@ -59,6 +59,14 @@ def doc_markdown(spark: SparkSession, d: str) -> DataFrame:
     return render.document_markdown(_nodes(spark, d))
 
 
+@query(
+    f"""WITH {Q.N}, c AS (SELECT doc_id, page_no, node_no, {Q.node()} AS chunk FROM n WHERE coalesce(role, '') NOT IN ('header', 'footer', 'page_number', 'watermark', 'annotation'))
+    SELECT doc_id, page_no, string_agg(chunk, chr(10) ORDER BY node_no) AS markdown FROM c WHERE chunk <> '' GROUP BY doc_id, page_no"""
+)
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return render.page_markdown(_nodes(spark, d))
+
+
 @query(f"WITH {Q.N} SELECT doc_id, page_no, node_no, kind, {Q.node()} AS chunk FROM n")
 def node_markdown(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d).select("doc_id", "page_no", "node_no", "kind", render.node_markdown().alias("chunk"))
@@ -193,32 +201,19 @@ def content_roles(spark: SparkSession, d: str) -> DataFrame:
     return pages.content_roles(banded, pages.repeated_bands(banded), pages.base_font_size(e))
 
 
-_MARKS = [
-    ("CONFIDENTIAL", 200.0, 300.0, 400.0, 500.0, True, 28.0, 10.0, 0.4, False), ("Vertical Table Header Text", 50.0, 100.0, 100.0, 400.0, True, 10.0, 10.0, 1.0, False),
-    ("This is the first draft of it", 50.0, 600.0, 500.0, 620.0, False, 10.0, 10.0, 1.0, False), ("Annual report", 200.0, 300.0, 400.0, 500.0, False, 14.0, 10.0, 1.0, True), ("", 0.0, 0.0, 600.0, 800.0, False, 10.0, 10.0, 0.5, True),
-]
-_MARK_COLUMNS = "text, x0, y0, x1, y1, rotated, size, base, opacity, repeated"
-
-
-def _values(rows: list[tuple]) -> str:
-    def one(v: object) -> str:
-        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else Q.q(v) if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
-
-    return ", ".join(f"({', '.join(map(one, r))})" for r in rows)
-
-
 def _literal(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     return spark.createDataFrame(rows, columns)
 
 
-@query(
-    f"""SELECT text, CASE WHEN rotated THEN 2.0 ELSE 0 END + CASE WHEN opacity < 0.6 THEN 2.0 ELSE 0 END + CASE WHEN {_MARK} THEN 2.0 ELSE 0 END + CASE WHEN size / base >= 1.4 THEN 1.5 ELSE 0 END
-      + CASE WHEN (x0 + x1) / 2 / 600 BETWEEN 0.2 AND 0.8 AND (y0 + y1) / 2 / 800 BETWEEN 0.25 AND 0.75 THEN 1.5 ELSE 0 END + CASE WHEN repeated THEN 2.0 ELSE 0 END AS score FROM (VALUES {_values(_MARKS)}) t({_MARK_COLUMNS})"""
-)
+@query(f"WITH {Q.E}, {Q.P}, {_ROLES} SELECT doc_id, page_no, element_no, score + CASE WHEN again THEN 2.0 ELSE 0 END AS score FROM m WHERE size IS NOT NULL AND text IS NOT NULL")
 def watermark_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all elements; a line counts as repeated if it is so in its band."""
     c = F.col
-    rows = _literal(spark, _MARKS, "text string, x0 double, y0 double, x1 double, y1 double, rotated boolean, size double, base double, opacity double, repeated boolean")
-    return rows.select("text", pages.watermark_score(c("text"), c("x0"), c("y0"), c("x1"), c("y1"), F.lit(600.0), F.lit(800.0), c("rotated"), c("size"), c("base"), c("opacity"), c("repeated")).alias("score"))
+    e = _elements(spark, d)
+    banded = pages.bands(e, _pages(spark, d))
+    rows = banded.join(pages.repeated_bands(banded).select("doc_id", "band", "line", F.lit(True).alias("again")), ["doc_id", "band", "line"], "left").join(pages.base_font_size(e), "doc_id").where("size IS NOT NULL AND text IS NOT NULL")
+    score = pages.watermark_score(c("text"), c("x"), c("y"), c("x") + c("width"), c("y") + c("height"), c("page_width"), c("page_height"), F.lit(False), c("size"), c("base_size"), F.lit(1.0), F.coalesce("again", F.lit(False)))
+    return rows.select("doc_id", "page_no", "element_no", score.alias("score"))
 
 
 # ---- headings, lists, layout
@@ -587,15 +582,18 @@ def scripts_and_languages(spark: SparkSession, d: str) -> DataFrame:
     return words.languages_of_scripts(U.scripts_by_frequency(texts, "id", "t"), _t(spark, d, "lang_codes"))
 
 
-_TRIES = [("a", 1, 0, "eng", 60.0, 10.0, 80), ("a", 1, 1, "eng+deu", 90.0, 5.0, 50), ("a", 1, 2, "deu", 99.0, 50.0, 90), ("b", 1, 0, "eng+deu", 70.0, 8.0, 30), ("b", 1, 1, "deu", 70.0, 8.0, 30), ("b", 1, 2, "fra", 95.0, 9.0, 10)]
+_TRIES = "SELECT doc_id, page_no, i AS try_no, ['eng', 'eng+deu', 'deu'][i + 1] AS spec, CAST((word_count * 37 + i * 29) % 101 AS DOUBLE) AS conf, CAST((word_count * 13 + i * 7) % 50 AS DOUBLE) AS quality, word_count * (i + 1) AS n_chars FROM p, range(0, 3) r(i) WHERE word_count IS NOT NULL"
 
 
 @query(
-    f"""WITH t AS (SELECT * FROM (VALUES {_values(_TRIES)}) t(doc_id, page_no, try_no, spec, conf, quality, n_chars)), s AS (SELECT *, min(CASE WHEN conf >= 88 AND n_chars >= 40 THEN try_no END) OVER (PARTITION BY doc_id, page_no) AS stop FROM t)
+    f"""WITH {Q.P}, t AS ({_TRIES}), s AS (SELECT *, min(CASE WHEN conf >= 88 AND n_chars >= 40 THEN try_no END) OVER (PARTITION BY doc_id, page_no) AS stop FROM t)
     SELECT doc_id, page_no, spec FROM s WHERE stop IS NULL OR try_no <= stop QUALIFY row_number() OVER (PARTITION BY doc_id, page_no ORDER BY conf DESC, quality DESC, len(string_split(spec, '+')), try_no) = 1"""
 )
 def best_language(spark: SparkSession, d: str) -> DataFrame:
-    return words.best_language(_literal(spark, _TRIES, "doc_id string, page_no int, try_no int, spec string, conf double, quality double, n_chars int"))
+    """Three tries a page; confidence and quality, which no table has, follow from the page's words."""
+    n, i = F.col("word_count"), F.col("try_no")
+    rows = _pages(spark, d).where("word_count IS NOT NULL").select("doc_id", "page_no", "word_count", F.posexplode(F.array(F.lit("eng"), F.lit("eng+deu"), F.lit("deu"))).alias("try_no", "spec"))
+    return words.best_language(rows.select("doc_id", "page_no", "try_no", "spec", ((n * 37 + i * 29) % 101).cast("double").alias("conf"), ((n * 13 + i * 7) % 50).cast("double").alias("quality"), (n * (i + 1)).alias("n_chars")))
 
 
 # ---- edits
@@ -792,16 +790,19 @@ def data_uris(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", writers.data_uri(F.lit("png"), F.encode("text", "UTF-8")).alias("uri"))
 
 
-_NAMES = [("scan.PDF", "redact"), ("dir/report.final.txt", "edit"), ("x.exe", "markdown"), ("noext", "ocr"), (".hidden", "sign"), ("a/b.c/photo.JPG", "highlight")]
+_ACTIONS = ("redact", "edit", "markdown", "ocr", "sign", "highlight")
 _STEM = "regexp_replace(regexp_extract(name, '([^/\\\\]*)$', 1), '(.)\\.[^.]*$', '\\1')"
 
 
 @query(
-    f"""SELECT name, CASE WHEN lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) IN ('pdf', 'png', 'jpg', 'jpeg', 'tif', 'tiff', 'bmp', 'webp', 'txt', 'json') THEN '.' || lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) ELSE '.bin' END AS suffix,
-    CASE action WHEN 'edit' THEN 'edited_' || {_STEM} || '.pdf' WHEN 'markdown' THEN {_STEM} || '.md' WHEN 'ocr' THEN {_STEM} || '_ocr.txt' ELSE action || '_' || {_STEM} || '.pdf' END AS download FROM (VALUES {_values(_NAMES)}) t(name, action)"""
+    f"""WITH t AS (SELECT DISTINCT file_id, path AS name, [{", ".join(map(Q.q, _ACTIONS))}][file_id % 6 + 1] AS action FROM sources WHERE path IS NOT NULL)
+    SELECT file_id, name, CASE WHEN lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) IN ('pdf', 'png', 'jpg', 'jpeg', 'tif', 'tiff', 'bmp', 'webp', 'txt', 'json') THEN '.' || lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) ELSE '.bin' END AS suffix,
+    CASE action WHEN 'edit' THEN 'edited_' || {_STEM} || '.pdf' WHEN 'markdown' THEN {_STEM} || '.md' WHEN 'ocr' THEN {_STEM} || '_ocr.txt' ELSE action || '_' || {_STEM} || '.pdf' END AS download FROM t"""
 )
 def file_names(spark: SparkSession, d: str) -> DataFrame:
-    return _literal(spark, _NAMES, "name string, action string").select("name", X.safe_suffix("name").alias("suffix"), X.download_name("action", "name").alias("download"))
+    action = F.element_at(F.array(*[F.lit(a) for a in _ACTIONS]), (F.col("file_id") % 6 + 1).cast("int"))
+    rows = _t(spark, d, "sources").where("path IS NOT NULL").select("file_id", F.col("path").alias("name"), action.alias("action")).distinct()
+    return rows.select("file_id", "name", X.safe_suffix("name").alias("suffix"), X.download_name("action", "name").alias("download"))
 
 
 @query(
@@ -812,12 +813,16 @@ def uptime_labels(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", X.uptime_label(F.pmod(F.col("event_id") * 977, F.lit(200000))).alias("label"))
 
 
-_PATHS = [("/",), ("/health/",), ("/health/deep",), ("/docs",), ("/api/v1/jobs",), ("/home/",), ("/redocs",)]
+_PATHS = ("/", "/health/", "/health/", "/docs", "/api/v1/", "/home/", "/redocs")
+_PATH = f"SELECT event_id, [{', '.join(map(Q.q, _PATHS))}][event_id % 7 + 1] || CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS path FROM events"
 
 
-@query(f"SELECT path, CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END IN ({', '.join(Q.q(p) for p in service.PUBLIC)}) OR starts_with(regexp_replace(path, '/+$', ''), '/health') AS public FROM (VALUES {_values(_PATHS)}) t(path)")
+@query(f"WITH t AS ({_PATH}) SELECT event_id, path, CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END IN ({', '.join(Q.q(p) for p in service.PUBLIC)}) OR starts_with(regexp_replace(path, '/+$', ''), '/health') AS public FROM t")
 def public_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _literal(spark, _PATHS, "path string").select("path", service.public_path(F.col("path")).alias("public"))
+    """Each event as a request to one of a few paths, or to one below it."""
+    start = F.element_at(F.array(*[F.lit(p) for p in _PATHS]), (F.col("event_id") % 7 + 1).cast("int"))
+    rows = _t(spark, d, "events").select("event_id", F.concat(start, F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise("")).alias("path"))
+    return rows.select("event_id", "path", service.public_path(F.col("path")).alias("public"))
 
 
 @query(f"SELECT doc_id, starts_with(text, '{{') OR starts_with(text, '[') OR starts_with(text, '%PDF-') OR starts_with(text, 'RIFF') OR starts_with(text, 'GIF8') AS plain FROM documents WHERE text IS NOT NULL")
@@ -833,22 +838,28 @@ def job_labels(spark: SparkSession, d: str) -> DataFrame:
     return j.select("job_id", "received_at", "total_bytes", service.enough_disk(F.col("total_bytes") * 3, F.col("n_files").cast("long") * 100000).alias("enough"), service.status_label(F.col("status")).alias("label"))
 
 
-_PREFIXES = ("pagewright-", "ocr-work-", "office-work-")
-_FILES = [("pagewright-a", 4000, False, True), ("other", 4000, False, True), ("ocr-work-x", 10, True, True), ("other", 10, False, False), ("other", 9000, False, False), ("office-work-", 3600, False, True)]
+_PREFIXES = ("test", "config", "app")
 
 
-@query(f"SELECT name, age, (NOT shared OR starts_with(name, 'pagewright-') OR starts_with(name, 'ocr-work-') OR starts_with(name, 'office-work-')) AND (is_link OR age > 3600) AS gone FROM (VALUES {_values(_FILES)}) t(name, age, is_link, shared)")
+@query(
+    f"""WITH t AS (SELECT DISTINCT file_id, path, received_at, regexp_extract(path, '([^/\\\\]*)$', 1) AS name, CAST(epoch(TIMESTAMP '2031-07-01') - floor(epoch(received_at)) AS BIGINT) AS age, file_id % 10 = 0 AS is_link, repo IS NULL AS shared FROM sources WHERE path IS NOT NULL)
+    SELECT file_id, path, received_at, (NOT shared OR {" OR ".join(f"starts_with(name, '{p}')" for p in _PREFIXES)}) AND (is_link OR age > 3600) AS gone FROM t"""
+)
 def expired_files(spark: SparkSession, d: str) -> DataFrame:
-    rows = _literal(spark, _FILES, "name string, age int, is_link boolean, shared boolean")
-    return rows.select("name", "age", service.expired(F.col("name"), F.col("age"), F.col("is_link"), F.col("shared"), _PREFIXES).alias("gone"))
+    """Source files as temporary ones: their age by their arrival, those without a repository in a shared folder."""
+    age = F.unix_timestamp(F.lit("2031-07-01 00:00:00")) - F.unix_timestamp(F.col("received_at").cast("timestamp"))
+    name = F.regexp_extract("path", r"([^/\\]*)$", 1)
+    gone = service.expired(name, age, F.col("file_id") % 10 == 0, F.col("repo").isNull(), _PREFIXES)
+    return _t(spark, d, "sources").where("path IS NOT NULL").select("file_id", "path", "received_at", gone.alias("gone")).distinct()
 
 
-_ERRORS = [("FileDataError",), ("EmptyFileError",), ("TimeoutError",), ("ValueError",)]
+_ERRORS = ("FileDataError", "EmptyFileError", "TimeoutError", "ValueError")
 
 
-@query(f"SELECT error, error NOT IN ('FileDataError', 'EmptyFileError') AS retry FROM (VALUES {_values(_ERRORS)}) t(error)")
+@query(f"WITH t AS (SELECT event_id, [{', '.join(map(Q.q, _ERRORS))}][event_id % 4 + 1] AS error FROM events) SELECT event_id, error NOT IN ('FileDataError', 'EmptyFileError') AS retry FROM t")
 def retryable_errors(spark: SparkSession, d: str) -> DataFrame:
-    return _literal(spark, _ERRORS, "error string").select("error", service.retryable(F.col("error")).alias("retry"))
+    error = F.element_at(F.array(*[F.lit(e) for e in _ERRORS]), (F.col("event_id") % 4 + 1).cast("int"))
+    return _t(spark, d, "events").select("event_id", service.retryable(error).alias("retry"))
 
 
 _PAD = {k: "".join(f"{ord(c) ^ x:02x}" for c in "secret".ljust(64, "\0")) for k, x in (("inner", 0x36), ("outer", 0x5C))}
@@ -880,17 +891,16 @@ def verified_requests(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", U.signature_holds(F.lit("secret"), F.col("message"), F.col("signature")).alias("valid"))
 
 
-_META = [("a", " Title\t", None, "s", ""), ("b", None, None, None, None), ("c", "x", "y", "z", "k, l")]
-_META_NEW = [("a", "New ", "Me", None, " "), ("z", "t", "t", "t", "t")]
-
-
 @query(
-    f"""WITH d AS (SELECT * FROM (VALUES {_values(_META)}) t(doc_id, title, author, subject, keywords)), n AS (SELECT * FROM (VALUES {_values(_META_NEW)}) t(doc_id, title, author, subject, keywords))
+    f"""WITH d AS (SELECT doc_id, text AS title, source AS author, bundle_id AS subject, lang AS keywords FROM documents), n AS (SELECT doc_id, tgt_text AS title, CASE WHEN doc_id % 2 = 0 THEN ' ' || tgt_lang || chr(9) END AS author, CAST(NULL AS VARCHAR) AS subject, ' ' AS keywords FROM documents WHERE doc_id % 3 = 0)
     SELECT d.doc_id, {", ".join(f"coalesce({Q.strip(f'coalesce({Q.strip(f'n.{c}')}, d.{c})')}, '') AS {c}" for c in records.METADATA)} FROM d LEFT JOIN n USING (doc_id)"""
 )
 def metadata_write(spark: SparkSession, d: str) -> DataFrame:
-    schema = "doc_id string, title string, author string, subject string, keywords string"
-    return records.write_metadata(_literal(spark, _META, schema), _literal(spark, _META_NEW, schema)).select("doc_id", *records.read_metadata())
+    """Documents' fields as metadata, those of every third one written anew from its counterpart."""
+    t = _t(spark, d, "documents")
+    own = t.select("doc_id", F.col("text").alias("title"), F.col("source").alias("author"), F.col("bundle_id").alias("subject"), F.col("lang").alias("keywords"))
+    new = t.where("doc_id % 3 = 0").select("doc_id", F.col("tgt_text").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), "tgt_lang", F.lit("\t"))).alias("author"), F.lit(None).cast("string").alias("subject"), F.lit(" ").alias("keywords"))
+    return records.write_metadata(own, new).select("doc_id", *records.read_metadata())
 
 
 @query(
@@ -927,19 +937,15 @@ def next_words(spark: SparkSession, d: str) -> DataFrame:
     return _words(spark, d).select("doc_id", "page_no", "word_no", F.lead("x0").over(order).alias("next_x"))
 
 
-_ICONS = [("a", 0.0, 0.0, 20.0, 20.0, None), ("b", 0.0, 0.0, 20.0, 20.0, "data:image/png;base64,AA"), ("c", 0.0, 0.0, 30.0, 20.0, None)]
-
-
-@query(f"SELECT name FROM (VALUES {_values(_ICONS)}) t(name, x0, y0, x1, y1, image_key) WHERE NOT (x1 - x0 < 25 AND y1 - y0 < 25 AND NOT coalesce(starts_with(image_key, 'data:'), false))")
+@query(
+    f"""WITH {Q.N} SELECT doc_id, page_no, node_no FROM n WHERE NOT (bbox.x1 / 8 - bbox.x0 / 8 < 25 AND bbox.y1 / 8 - bbox.y0 / 8 < 25 AND node_no % 3 <> 0)"""
+)
 def shown_images(spark: SparkSession, d: str) -> DataFrame:
-    rows = _literal(spark, _ICONS, "name string, x0 double, y0 double, x1 double, y1 double, image_key string")
-    return records.shown_images(rows.select("name", F.struct("x0", "y0", "x1", "y1").alias("bbox"), "image_key")).select("name")
-
-
-@query("SELECT lower(trim(unnest(string_split('Alpha|||beta||| Gamma ', '|||')))) AS keyword")
-def keyword_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = _literal(spark, [("Alpha|||beta||| Gamma ",)], "form string")
-    return rows.select(F.explode(F.split("form", r"\|\|\|")).alias("k")).select(F.lower(F.trim("k")).alias("keyword"))
+    """Nodes' boxes, an eighth as large, as images; every third one has its data with it."""
+    b = F.col("bbox")
+    key = F.when(F.col("node_no") % 3 == 0, "data:image/png;base64,AA").otherwise("k")
+    rows = _nodes(spark, d).select("doc_id", "page_no", "node_no", G.rect(b["x0"] / 8, b["y0"] / 8, b["x1"] / 8, b["y1"] / 8).alias("bbox"), key.alias("image_key"))
+    return records.shown_images(rows).select("doc_id", "page_no", "node_no")
 
 
 # ---- state: jobs, leases, sessions, nonces

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import udf as U
 from ..operators import editing, extract, from_text, plans, tables, words
-from ..sources import readers
+from ..sources import readers, writers
 from . import core
 from . import sql as Q
 from .core import query
@@ -114,6 +114,54 @@ def stacked_tables(spark: SparkSession, d: str) -> DataFrame:
     return tables.stacked(core._nodes(spark, d))
 
 
+_STACK = f"""{Q.N}, r AS (SELECT doc_id, page_no, node_no, list_concat([coalesce(headers, [])], coalesce(rows, [])) AS rs FROM n WHERE kind = 'table'),
+  a AS (SELECT doc_id, rs, coalesce(sum(len(rs)) OVER (PARTITION BY doc_id ORDER BY page_no, node_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM r), x AS (SELECT doc_id, above, unnest(range(0, len(rs))) AS i, rs FROM a)"""
+
+
+@query(
+    f"""WITH {_STACK} SELECT doc_id, CAST(above + i AS INTEGER) AS row_no, array_to_string(list_transform(rs[i + 1], lambda c: '"' || replace(coalesce(c, ''), '"', '""') || '"'), ',') AS line FROM x WHERE len(rs[i + 1]) > 0
+    UNION ALL SELECT DISTINCT doc_id, 0, '"No tables found"' FROM n WHERE doc_id NOT IN (SELECT doc_id FROM x WHERE len(rs[i + 1]) > 0)"""
+)
+def table_csv(spark: SparkSession, d: str) -> DataFrame:
+    n = core._nodes(spark, d)
+    return writers.csv_rows(tables.stacked(n), n)
+
+
+@query(
+    f"""WITH {Q.P}, {Q.E}, s AS (SELECT e.* FROM e JOIN p USING (doc_id, page_no) WHERE coalesce(p.is_ocr, p.kind = 'scanned', false)), di AS (SELECT * FROM s WHERE {core._DIRTY}),
+    ops AS (SELECT doc_id, page_no, 0 AS phase, 'paint' AS op, element_no, x * 2 - 1 AS x0, y * 2 - 1 AS y0, (x + width) * 2 + 1 AS x1, (y + height) * 2 + 1 AS y1, NULL AS text, CASE WHEN lower(bg_color) = 'transparent' THEN '#ffffff' ELSE coalesce(bg_color, '#ffffff') END AS color FROM di WHERE width > 0 AND height > 0
+      UNION ALL SELECT DISTINCT doc_id, page_no, 1, 'image', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM di UNION ALL SELECT doc_id, page_no, 2, 'text', element_no, x, y + 0.85 * height, NULL, NULL, text, coalesce(text_color, '#000000') FROM di WHERE text <> '')
+    SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY phase, element_no) AS INTEGER) AS seq, op, element_no, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, text, color FROM ops"""
+)
+def image_ops(spark: SparkSession, d: str) -> DataFrame:
+    e = core._elements(spark, d).join(_scanned(spark, d).where("scanned").select("doc_id", "page_no"), ["doc_id", "page_no"])
+    return plans.image_ops(e)
+
+
+@query(
+    f"""WITH {Q.P}, c AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_pages FROM p GROUP BY doc_id), r AS (SELECT doc_id || '/' || page_no AS request_id, doc_id, page_no - 1 + word_count % 3 AS page, CAST((word_count * 7) % 5 * 72 AS DOUBLE) AS dpi FROM p WHERE word_count IS NOT NULL),
+    v AS (SELECT r.*, CASE WHEN page < 1 THEN 'Page number must be 1 or greater' WHEN dpi <= 0 THEN 'DPI must be greater than 0' WHEN page > n_pages THEN 'Invalid page ' || page || '; document has ' || n_pages || ' pages' END AS error FROM r JOIN c USING (doc_id))
+    SELECT request_id, doc_id, page, error, CASE WHEN error IS NULL THEN round(dpi / 72, 6) END AS zoom FROM v"""
+)
+def render_requests(spark: SparkSession, d: str) -> DataFrame:
+    p = core._pages(spark, d)
+    n = F.col("word_count")
+    requests = p.where(n.isNotNull()).select(F.concat_ws("/", "doc_id", "page_no").alias("request_id"), "doc_id", (F.col("page_no") - 1 + n % 3).alias("page"), ((n * 7) % 5 * 72).cast("double").alias("dpi"))
+    return plans.render_requests(requests, p.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages")))
+
+
+@query(
+    """WITH i AS (SELECT DISTINCT task_id AS job_id, file_id AS position, CASE WHEN file_id % 11 = 0 THEN '  ' ELSE path END AS key, CASE WHEN file_id % 2 = 0 THEN path || '.PNG' END AS name FROM sources),
+    o AS (SELECT *, CAST(row_number() OVER (PARTITION BY job_id ORDER BY position, key, name) AS INTEGER) AS seq, regexp_replace(coalesce(key, ''), '^ +| +$', '', 'g') AS k FROM i), x AS (SELECT *, lower(regexp_extract(coalesce(name, k), '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM o)
+    SELECT job_id, seq, k AS key, 'image-' || CASE WHEN seq < 1000 THEN lpad(CAST(seq AS VARCHAR), 3, '0') ELSE CAST(seq AS VARCHAR) END || CASE WHEN ext IN ('pdf', 'png', 'jpg', 'jpeg', 'tif', 'tiff', 'bmp', 'webp', 'txt', 'json') THEN '.' || ext ELSE '.img' END AS local_name, CASE WHEN k = '' THEN 'missing object key for image #' || seq END AS error FROM x"""
+)
+def merge_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Source files as images of their task; some have no key, others a name of their own."""
+    i = F.col("file_id")
+    rows = core._t(spark, d, "sources").select(F.col("task_id").alias("job_id"), i.alias("position"), F.when(i % 11 == 0, "  ").otherwise(F.col("path")).alias("key"), F.when(i % 2 == 0, F.concat("path", F.lit(".PNG"))).alias("name")).distinct()
+    return plans.merge_plan(rows)
+
+
 @query(
     f"""WITH {Q.E}, {Q.WORDS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY word_no) - 1 AS place FROM w)
     SELECT doc_id, page_no, CAST(place AS INTEGER) AS word_no, text, conf, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM k

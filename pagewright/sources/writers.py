@@ -13,6 +13,20 @@ def write_markdown(markdown: DataFrame, path: str) -> None:
     markdown.select(F.pmod(F.xxhash64("doc_id"), F.lit(256)).alias("part"), F.to_json(F.struct("doc_id", "markdown")).alias("value")).write.mode("overwrite").partitionBy("part").text(path)
 
 
+def write_pages(pages: DataFrame, path: str, column: str = "markdown") -> None:
+    """Pages (doc_id, page_no, text) in files that hold ranges of documents in page order, so that a document is its pages read on."""
+    rows = pages.repartitionByRange("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no")
+    rows.select(F.to_json(F.struct("doc_id", "page_no", F.col(column).alias("text"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def csv_rows(stacked: DataFrame, documents: DataFrame, message: str = "No tables found") -> DataFrame:
+    """(doc_id, row_no, line): the rows of stacked tables as CSV lines without a header; a document without a table has one with a message."""
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = stacked.groupBy("doc_id", "row_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_no", quoted.alias("q")))), lambda c: c["q"]), ",").alias("line"))  # bounded by a row's cells
+    empty = documents.select("doc_id").distinct().join(stacked.select("doc_id"), "doc_id", "left_anti")
+    return lines.unionByName(empty.select("doc_id", F.lit(0).alias("row_no"), F.lit(f'"{message}"').alias("line")))
+
+
 def layout_json(pages: DataFrame, elements: DataFrame) -> DataFrame:
     """(doc_id, layout): pages with their elements as one JSON document, as an extraction's result is stored."""
     fields = [c for c in ("text", "original_text", "x", "y", "width", "height", "size", "font", "bg_color", "text_color", "style", "target_substring", "selection_start", "selection_end", "bold", "italic", "underline", "strikethrough") if c in elements.columns]

@@ -1,5 +1,6 @@
 """Operators on small inputs with known results."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -11,7 +12,7 @@ from pagewright.functions import text as X
 from pagewright.functions import udf as U
 from pagewright.operators import editing, extract, from_text, layout, pages, plans, render, service, source_facts, spatial, tables
 from pagewright.schema import SPAN
-from pagewright.sources import readers, writers
+from pagewright.sources import readers, store, writers
 
 NODE = f"doc_id string, page_no int, node_no int, kind string, bbox struct<x0:double,y0:double,x1:double,y1:double>, role string, source string, level int, ordered boolean, spans array<{SPAN}>, items array<struct<spans:array<{SPAN}>,level:int,marker:string>>, headers array<string>, rows array<array<string>>, alignments array<string>, raw_text string, name_spans array<{SPAN}>, title_spans array<{SPAN}>, contact_spans array<{SPAN}>"
 
@@ -219,6 +220,36 @@ def test_markdown_sink_and_object_keys(spark, tmp_path):
     assert keys[0] != keys[1] and all(len(k) == 3 + 32 + 4 and k.startswith("in/") and k.endswith(".pdf") for k in keys)
 
 
+def test_pages_are_written_in_order(spark, tmp_path):
+    rows = [("b", 2, "b2"), ("a", 10, "a10"), ("a", 2, "a2"), ("b", 1, "b1")]
+    writers.write_pages(spark.createDataFrame(rows, "doc_id string, page_no int, markdown string"), str(tmp_path / "out"))
+    read = [line for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [json.loads(x)["text"] for x in read] == ["a2", "a10", "b1", "b2"]
+
+
+def test_object_store(spark, tmp_path):
+    secret, folder = F.lit("0123456789abcdef0123456789abcdef").cast("binary"), str(tmp_path / "store")
+    rows = spark.createDataFrame([("scan.PDF", bytearray(b"one")), ("notes.xyz", bytearray(b"")), ("a.json", bytearray(b"{}"))], "name string, content binary")
+    keys = store.put(rows, folder, secret)
+    got = {r.name: (r.kind, bytes(r.content)) for r in store.get(spark, folder, secret).collect()}
+    assert got == {"scan.PDF": ("application/pdf", b"one"), "notes.xyz": ("application/octet-stream", b""), "a.json": ("application/json", b"{}")}
+    assert [r.name for r in store.get(spark, folder, secret, keys.where("name = 'a.json'")).collect()] == ["a.json"]
+    assert all(bytes(r.content) not in (b"one", b"{}") for r in spark.read.parquet(folder).collect())
+
+
+def test_scanned_pages_are_painted(spark):
+    e = elements(spark, both("same"), {"text": "new", "original_text": "old", "bg_color": "#EEEEEE", "x": 5.0, "y": 7.0}, {"text": "", "original_text": "gone", "bg_color": "transparent", "y": 40.0})
+    ops = plans.image_ops(e).orderBy("seq").collect()
+    assert [(o.op, o.element_no, o.color) for o in ops] == [("paint", 1, "#EEEEEE"), ("paint", 2, "#ffffff"), ("image", None, None), ("text", 1, "#000000")]
+    assert (ops[0].x0, ops[0].y0, ops[0].x1, ops[0].y1) == (9.0, 13.0, 211.0, 35.0) and (ops[3].x0, ops[3].y0) == (5.0, 15.5)
+
+
+def test_merged_images_need_a_key(spark):
+    rows = spark.createDataFrame([("j", 2, " k2 ", "b.PNG"), ("j", 1, "in/a.jpg", None), ("j", 3, " ", "c.exe")], "job_id string, position int, key string, name string")
+    got = [(r.seq, r.key, r.local_name, r.error) for r in plans.merge_plan(rows).orderBy("seq").collect()]
+    assert got == [(1, "in/a.jpg", "image-001.jpg", None), (2, "k2", "image-002.png", None), (3, "", "image-003.img", "missing object key for image #3")]
+
+
 def test_signatures(spark):
     rows = spark.createDataFrame([("get", "/a", "x=1", "5", "n", None), ("POST", "/a", None, "5", "n", "ab")], "method string, path string, query string, stamp string, nonce string, body string")
     rows = rows.withColumn("m", U.signed_message("method", "path", "query", "stamp", "nonce", "body")).withColumn("s", U.hmac_sha256(F.lit("k"), F.col("m")))
