@@ -163,15 +163,3 @@ def consistent(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every record's text in its consistent form, exact duplicates once."""
     rows = compared(elements, nodes).drop("b")
     return normalised(rows, ["a"]).select("tbl", "doc_id", "page_no", "item_no", F.col("a_normal").alias("text"), F.col("a_skeleton").alias("skeleton")).distinct()
-
-
-def found_sql() -> str:
-    """The comparison of ``same_reading`` as one statement for a DuckDB that has the tables."""
-    text = "array_to_string(list_transform(spans, lambda s: coalesce(s.text, '')), '')"
-    return f"""
-    WITH pairs AS (
-      SELECT 'elements' AS tbl, doc_id, page_no, element_no AS item_no, text AS a, original_text AS b FROM elements
-      UNION ALL SELECT 'nodes', doc_id, page_no, node_no, {text}, raw_text FROM nodes),
-    forms AS (SELECT tbl, doc_id, page_no, item_no, {_plain_sql("a")} AS a, {_plain_sql("b")} AS b FROM pairs WHERE a <> b)
-    SELECT DISTINCT tbl, doc_id, page_no, item_no FROM forms
-    WHERE nfc_normalize({_translate("a", CYRILLIC_TWINS | GREEK_TWINS | OTHER_TWINS)}) = nfc_normalize({_translate("b", CYRILLIC_TWINS | GREEK_TWINS | OTHER_TWINS)})"""

@@ -60,6 +60,30 @@ QUERIES: dict[str, Query] = {
     "p10_text": _over(shared_spans.without_repeats, "documents"),
 }
 
+# Written apart from the operator: sign by sign, by ranges of code points.
+_SAME_READING = r"""
+WITH pairs AS (SELECT DISTINCT 'elements' AS tbl, doc_id, page_no, element_no AS item_no, text AS a, original_text AS b FROM elements WHERE text <> original_text
+  UNION SELECT 'nodes', doc_id, page_no, node_no, array_to_string(list_transform(spans, lambda s: coalesce(s.text, '')), ''), raw_text FROM nodes),
+numbered AS (SELECT row_number() OVER () AS k, * FROM pairs WHERE a <> b),
+texts AS (SELECT k, side, regexp_replace(t, chr(173) || '([ \t]*)(\n|$)', '-\1\2', 'g') AS t FROM (SELECT k, 0 AS side, a AS t FROM numbered UNION ALL SELECT k, 1, b FROM numbered)),
+signs AS (SELECT k, side, i, unicode(substr(t, CAST(i AS INTEGER), 1)) AS u FROM (SELECT k, side, t, unnest(range(1, length(t) + 1)) AS i FROM texts)),
+plain AS (SELECT k, side, i, CASE
+  WHEN u IN (173, 847, 1564, 4447, 4448, 6068, 6069, 65279) OR u BETWEEN 6155 AND 6158 OR u BETWEEN 8203 AND 8207 OR u BETWEEN 8234 AND 8238 OR u BETWEEN 8288 AND 8292 OR u BETWEEN 8294 AND 8303 OR u BETWEEN 65024 AND 65039 THEN ''
+  WHEN u IN (160, 5760, 8239, 8287, 12288) OR u BETWEEN 8192 AND 8202 THEN ' '
+  WHEN u IN (8208, 8209, 65123, 65293) THEN '-'
+  WHEN u BETWEEN 65281 AND 65374 THEN chr(u - 65248)
+  WHEN u BETWEEN 65504 AND 65510 AND u <> 65507 THEN substr('¢£¬ ¦¥₩', u - 65503, 1)
+  WHEN u BETWEEN 119808 AND 120483 THEN chr(CASE WHEN (u - 119808) % 52 < 26 THEN 65 + (u - 119808) % 52 ELSE 71 + (u - 119808) % 52 END)
+  WHEN u BETWEEN 120782 AND 120831 THEN chr(48 + (u - 120782) % 10)
+  WHEN u = 64256 THEN 'ff' WHEN u = 64257 THEN 'fi' WHEN u = 64258 THEN 'fl' WHEN u = 64259 THEN 'ffi' WHEN u = 64260 THEN 'ffl' WHEN u IN (64261, 64262) THEN 'st'
+  WHEN u = 306 THEN 'IJ' WHEN u = 307 THEN 'ij' WHEN u = 455 THEN 'LJ' WHEN u = 456 THEN 'Lj' WHEN u = 457 THEN 'lj' WHEN u = 458 THEN 'NJ' WHEN u = 459 THEN 'Nj' WHEN u = 460 THEN 'nj'
+  ELSE chr(u) END AS c FROM signs),
+composed AS (SELECT k, side, nfc_normalize(string_agg(c, '' ORDER BY i)) AS t FROM plain GROUP BY k, side),
+again AS (SELECT k, side, t, unnest(range(1, length(t) + 1)) AS i FROM composed),
+twins AS (SELECT k, side, i, substr(t, CAST(i AS INTEGER), 1) AS c, strpos('АВЕЅІЈКМНОРСТУХҮԌԚԜҺаеорсухѕіјһԁԛԝүЁЇёїΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳαικνορυϲɑɡӏӀµ', substr(t, CAST(i AS INTEGER), 1)) AS place FROM again),
+forms AS (SELECT k, side, nfc_normalize(string_agg(CASE WHEN place > 0 THEN substr('ABESIJKMHOPCTYXYGQWHaeopcyxsijhdqwyËÏëïABEZHIKMNOPTYXCjaikvopucaglIμ', CAST(place AS INTEGER), 1) ELSE c END, '' ORDER BY i)) AS t FROM twins GROUP BY k, side)
+SELECT DISTINCT tbl, doc_id, page_no, item_no FROM numbered n WHERE coalesce((SELECT t FROM forms f WHERE f.k = n.k AND side = 0), '') = coalesce((SELECT t FROM forms f WHERE f.k = n.k AND side = 1), '')"""
+
 _WINDOWS = f"""
 windows AS (SELECT doc_id, unnest(range(0, length(text) - {shared_spans.LENGTH - 1})) AS s, text FROM documents WHERE length(text) >= {shared_spans.LENGTH}),
 hashed AS (SELECT doc_id, s, substr(text, s + 1, {shared_spans.LENGTH}) AS g FROM windows),
@@ -76,7 +100,7 @@ placed AS (SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY unit_n
 ranked AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(unit), '[ \t\r\n\f]+', ' ', 'g'), ' ') ORDER BY doc_id, span_end) AS place FROM placed WHERE length(unit) >= {shared_spans.LEAST_UNIT})"""
 
 SQL: dict[str, str] = {
-    "p1_found": lookalike.found_sql(),
+    "p1_found": _SAME_READING,
     "p10_found": f"WITH {_WINDOWS} SELECT doc_id, span_start, span_end FROM spans",
     "p10_report": f"""WITH {_WINDOWS}, sums AS (SELECT doc_id, CAST(sum(span_end - span_start) AS BIGINT) AS c FROM spans GROUP BY doc_id)
         SELECT d.doc_id, CAST(coalesce(length(d.text), 0) AS INTEGER) AS n_chars, coalesce(c, 0) AS shared_chars,
