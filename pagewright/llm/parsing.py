@@ -3,8 +3,8 @@
 Every file is tokenised and recognised by generalised LL over a graph-structured stack (``gll``),
 with the grammars of its language's dialects together, over one stack; it is flagged if its standard, the only
 dialect that counts as valid, rejects it, and what other dialects say is reported beside (``dialects``).
-For Python a logical line is recognised once for each sequence of token kinds and remembered; the
-file is then recognised over its lines' kinds.  What no grammar holds follows it: escapes in strings
+For Python a logical line is recognised once for each sequence of token kinds and remembered, and so is an
+indented block over its lines' kinds; the file is then recognised over its outermost lines.  What no grammar holds follows it: escapes in strings
 and TOML's rules on keys.
 
 Null contents are no cases; an empty file is valid Python and TOML but not JSON.
@@ -161,7 +161,8 @@ _PYTHON_LINES += "except_2_inline_2: except_2_head ':' simple_line_2 ;\n"
 _PYTHON_FILE = """
 file: statement* ;
 statement: SIMPLE | if | while | for | try | with | decorated | match ;
-suite: INLINE | BLOCK INDENT statement+ DEDENT ;
+suite: INLINE | BLOCK BODY ;
+body: statement+ ;
 if: 'if' suite ('elif' suite)* ['else' suite] ;
 while: 'while' suite ['else' suite] ;
 for: 'for' suite ['else' suite] ;
@@ -169,11 +170,12 @@ try: 'try' suite excepts ['else' suite] ['finally' suite] | 'try' suite 'finally
 excepts: (('except' | 'except_all') suite)+ ;
 with: 'with' suite ;
 decorated: 'decorator'* ('def' suite | 'class' suite) ;
-match: 'match' BLOCK INDENT ('case' suite)+ DEDENT ;
+match: 'match' BLOCK CASES ;
+cases: ('case' suite)+ ;
 """
 
 # The same for Python 2: its rules and line kinds are named apart.
-_PYTHON_FILE += re.sub(r"'(\w+)'|\b(SIMPLE|[a-z_]+)\b", lambda m: f"'{m[1]}_2'" if m[1] else f"{m[2]}_2", _PYTHON_FILE).replace("('except_2' |", "('except_2' | 'except_2_2' |")
+_PYTHON_FILE += re.sub(r"'(\w+)'|\b(SIMPLE|BODY|CASES|[a-z_]+)\b", lambda m: f"'{m[1]}_2'" if m[1] else f"{m[2]}_2", _PYTHON_FILE).replace("('except_2' |", "('except_2' | 'except_2_2' |")
 
 _JSON = """
 whole_2: value_2 ;
@@ -325,23 +327,70 @@ def python_dialects(source: str) -> set[str]:
     if "\0" in source:
         return set()
     source = source.replace("\r\n", "\n").replace("\r", "\n")
-    tokens: list[str | frozenset[str]] = []
+    open_blocks: list[list[frozenset[str]]] = [[]]
     try:
         for line in python_lines(source):
-            if isinstance(line, str):
-                tokens.append(line)
+            if line == "INDENT":
+                open_blocks.append([])
+                continue
+            if line == "DEDENT":
+                if not (body := _body_kinds(tuple(open_blocks.pop()))):
+                    return set()
+                open_blocks[-1].append(body)
                 continue
             kinds, suites = line_kinds(tuple(squeezed(line)))
             if not kinds:
                 return set()
             if suites and "SIMPLE" in kinds:  # begins with a soft keyword and ends without a colon
                 kinds, suites = kinds & {"SIMPLE", "SIMPLE_2"}, frozenset()
-            tokens.append(kinds)
+            open_blocks[-1].append(kinds)
             if suites:
-                tokens.append(suites)
+                open_blocks[-1].append(suites)
     except (tokenize.TokenError, SyntaxError, ValueError):
         return set()
-    return _grammar("file").accepts(tokens, ["file", "file_2"])
+    return set(_file_kinds(tuple(_without_repeats(open_blocks[0])))) if len(open_blocks) == 1 else set()
+
+
+_WHOLE = [frozenset({x, f"{x}_2"}) for x in ("SIMPLE", "def", "class")]
+_files: dict[tuple[frozenset[str], ...], frozenset[str]] = {}
+
+
+def _without_repeats(lines: list[frozenset[str]]) -> list[frozenset[str]]:
+    """Lines without a simple statement, function or class right behind one of the same kinds.
+
+    Each is a statement whatever stands around it, so a sequence of statements is one with or without the second.
+    """
+    out: list[frozenset[str]] = []
+    i = 0
+    while i < len(lines):
+        size = 1 if lines[i] == _WHOLE[0] else 3 if lines[i] in _WHOLE else 0
+        item = lines[i : i + size]
+        if size and len(item) == size and out[-size:] == item and (size == 1 or item[1:] == [frozenset({"BLOCK"}), frozenset({"BODY", "BODY_2"})]):
+            i += size
+        else:
+            out.append(lines[i])
+            i += 1
+    return out
+
+
+def _file_kinds(lines: tuple[frozenset[str], ...]) -> frozenset[str]:
+    if (known := _files.get(lines)) is None:
+        known = frozenset(_grammar("file").accepts(lines, ["file", "file_2"]))
+        if len(_files) < REMEMBERED:
+            _files[lines] = known
+    return known
+
+
+_bodies: dict[tuple[frozenset[str], ...], frozenset[str]] = {}
+
+
+def _body_kinds(lines: tuple[frozenset[str], ...]) -> frozenset[str]:
+    """What an indented block can be, whose inner blocks are single kinds; recognised once for each sequence."""
+    if (known := _bodies.get(lines)) is None:
+        known = frozenset(x.replace("body", "BODY").replace("cases", "CASES") for x in _grammar("file").accepts(lines, ["body", "body_2", "cases", "cases_2"]))
+        if len(_bodies) < REMEMBERED:
+            _bodies[lines] = known
+    return known
 
 
 def python_valid(source: str) -> bool:
