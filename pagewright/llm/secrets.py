@@ -38,6 +38,7 @@ PLACEHOLDER = re.compile(
     | n/?a | test(?:ing)? | foo | bar | foobar | str | string | bytes | int | bool | any | object | \W+ | x+ | \*+ | \.+ | -+ | _+ | \#+ | \?+ | (?:x{2,}|\*{2,}).* | .*\*{4,}
     | <.*> | \[.*\] | \$.* | \{\{?.*\}\}? | %\(?\w+\)?s? | %\w+% | @\w+@ | env\W.* | os\..* | vault:.* | secretsmanager:.* | ssm:.* | \w*\(.*\) | (?:sha\d+|md5)[-:].* )$"""
 )
+_TELLING = re.compile("pass|pwd|pw|secret|token|auth|credential|key|bearer")  # a part of every telling name, in lower case
 _NAME = re.compile(r"""(?P<q>["'`]?)(?P<name>[A-Za-z][A-Za-z0-9_.\-]{1,60})(?P=q)\s*\]?\s*(?P<sep>=>|:=|=(?!=)|:(?![:/]))\s*""")
 _ANNOTATION = re.compile(r"""[A-Za-z_][\w.]*(?:\[[\w., |"']*\])?(?:\s*\|\s*[A-Za-z_][\w.]*(?:\[[\w., |"']*\])?)*\s*=(?!=)\s*(?=[rbuRBU]?["'(])""")
 _LITERAL = re.compile(r"""[rRbBuUfF]{0,2}(?P<q>\"{3}|'{3}|["'`])""")
@@ -280,8 +281,11 @@ def scan(text: str, deep: bool = True) -> list[Span]:
         at += len(line) + 1
         if end - start < 5:
             continue
-        comment = re.search(r"(?:^|\s)(?:#|//|;)\s", text[start:end])
-        for m in _NAME.finditer(text, start, end):
+        # What a pattern needs is looked for before the pattern.
+        low = line.lower()
+        telling = _TELLING.search(low) is not None
+        comment = re.search(r"(?:^|\s)(?:#|//|;)\s", text[start:end]) if telling else None
+        for m in _NAME.finditer(text, start, end) if telling else ():
             if not secret_name(m["name"]):
                 continue
             inside = comment is not None and start + comment.start() <= m.start()
@@ -290,14 +294,14 @@ def scan(text: str, deep: bool = True) -> list[Span]:
                 got = None  # the scheme's pattern takes the part behind it
             if got and literal(got[2]) and not _SCHEME.match(got[2]) and not (got[2][:1] in "'\"" or m["sep"] == ":" and not m["q"] and text[m.start() - 1 : m.start()] in ("'", '"')):
                 found.append(got[:2])
-        for m in _GETENV.finditer(text, start, end):
+        for m in _GETENV.finditer(text, start, end) if "env" in low or "config" in low else ():
             if secret_look(m["name"]):
                 found.append(m.span("name"))
             if m["default"] and secret_name(m["name"]) and literal(m["default"]):
                 found.append(m.span("default"))
-        for pattern in (_URL, _USER_OPTION):
+        for pattern in [x for x, sign in ((_URL, "://"), (_USER_OPTION, "-u")) if sign in line]:
             found += [m.span("v") for m in pattern.finditer(text, start, end) if literal(m["v"])]
-        for m in _SCHEME.finditer(text, start, end):
+        for m in _SCHEME.finditer(text, start, end) if telling or "basic" in low else ():
             if m["kind"].lower() == "basic":
                 try:
                     user, colon, word = base64.b64decode(m["v"] + "=" * (-len(m["v"]) % 4)).decode("utf-8").partition(":")
@@ -307,7 +311,7 @@ def scan(text: str, deep: bool = True) -> list[Span]:
                     found.append(m.span("v"))
             elif literal(m["v"]) and any(c.isdigit() for c in m["v"]):
                 found.append(m.span("v"))
-        if (m := _COMMENT.search(text[start:end])) and secret_name(m["name"].strip()) and literal(m["v"]) and not _PROSE.match(m["v"]):
+        if telling and (m := _COMMENT.search(text[start:end])) and secret_name(m["name"].strip()) and literal(m["v"]) and not _PROSE.match(m["v"]):
             found.append((start + m.start("v"), start + m.end("v")))
     if deep:
         known: dict[str, bool] = {}
