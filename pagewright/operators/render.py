@@ -10,23 +10,28 @@ from ..functions.text import SPACE, list_markdown, spans_markdown, strip, table_
 HIDDEN = ("header", "footer", "page_number", "watermark")
 
 
-def _chunk(prefix: Column, text: Column) -> Column:
+def chunk(prefix: Column, text: Column) -> Column:
     """A chunk stands between line breaks; nothing stands for an empty text."""
     return F.when(text != "", F.concat(F.lit("\n"), prefix, text, F.lit("\n"))).otherwise("")
 
 
+def joined(chunks: list[Column]) -> Column:
+    """Chunks of one node, those that hold anything, joined by line breaks."""
+    return F.array_join(F.filter(F.array(*chunks), lambda c: c != ""), "\n")
+
+
 def node_markdown() -> Column:
     """A node's chunk by its kind."""
     text = spans_markdown("spans")
     marks = F.repeat(F.lit("#"), F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce("level", F.lit(1)))))
     name, title = (strip(F.replace(spans_markdown(c), F.lit("**"), F.lit(""))) for c in ("name_spans", "title_spans"))
-    header = F.concat(_chunk(F.lit("# "), name), _chunk(F.lit("## "), title), _chunk(F.lit(""), spans_markdown("contact_spans")))
-    paragraph = F.when(F.col("role") == "annotation", _chunk(F.lit("> **[Comment]**: "), text)).otherwise(_chunk(F.lit(""), text))
+    header = joined([chunk(F.lit("# "), name), chunk(F.lit("## "), title), chunk(F.lit(""), spans_markdown("contact_spans"))])
+    paragraph = F.when(F.col("role") == "annotation", chunk(F.lit("> **[Comment]**: "), text)).otherwise(chunk(F.lit(""), text))
     return (
         F.when(F.col("kind") == "header_semantic", header)
-        .when(F.col("kind") == "heading", _chunk(F.concat(marks, F.lit(" ")), text))
-        .when(F.col("kind") == "list", _chunk(F.lit(""), F.coalesce(list_markdown("items", "ordered"), F.lit(""))))
-        .when(F.col("kind") == "table", _chunk(F.lit(""), table_markdown("headers", "rows", "alignments")))
+        .when(F.col("kind") == "heading", chunk(F.concat(marks, F.lit(" ")), text))
+        .when(F.col("kind") == "list", chunk(F.lit(""), F.coalesce(list_markdown("items", "ordered"), F.lit(""))))
+        .when(F.col("kind") == "table", chunk(F.lit(""), table_markdown("headers", "rows", "alignments")))
         .otherwise(paragraph)
     )
 
@@ -36,23 +41,34 @@ def visible(nodes: DataFrame, annotations: bool = False) -> DataFrame:
     return nodes.where(~F.coalesce(F.col("role"), F.lit("")).isin(*hidden))
 
 
-def page_markdown(nodes: DataFrame, order: str = "node_no") -> DataFrame:
-    """(doc_id, page_no, markdown): chunks in node order, joined by line breaks.  Bounded by a page, whatever the document's length."""
-    chunks = visible(nodes).select("doc_id", "page_no", F.col(order).alias("at"), node_markdown().alias("chunk")).where("chunk <> ''")
+def pages_of(chunks: DataFrame) -> DataFrame:
+    """(doc_id, page_no, markdown) of chunks (doc_id, page_no, at, chunk): in their order, joined by line breaks.  Bounded by a page."""
     return chunks.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "chunk"))), lambda x: x["chunk"]), "\n").alias("markdown"))
 
 
-def document_markdown(nodes: DataFrame, order: str = "node_no") -> DataFrame:
-    """(doc_id, markdown): chunks in page and node order, joined by line breaks, stripped, with one at the end.
+def put_together(chunks: DataFrame) -> DataFrame:
+    """(doc_id, markdown): pages in their order, joined by line breaks, stripped, with one at the end.
 
     Pages are joined first and documents then.  A document becomes one value; where documents may be longer than
-    a value should be, ``page_markdown`` and the sink ``write_pages`` do without.
+    a value should be, ``pages_of`` and the sink ``write_pages`` do without.
     """
-    pages = page_markdown(nodes, order)
-    docs = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "markdown"))), lambda x: x["markdown"]), "\n").alias("text"))
+    docs = pages_of(chunks).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "markdown"))), lambda x: x["markdown"]), "\n").alias("text"))
     return docs.select("doc_id", F.concat(strip("text"), F.lit("\n")).alias("markdown"))
 
 
+def _node_chunks(nodes: DataFrame, order: str) -> DataFrame:
+    return visible(nodes).select("doc_id", "page_no", F.col(order).alias("at"), node_markdown().alias("chunk")).where("chunk <> ''")
+
+
+def page_markdown(nodes: DataFrame, order: str = "node_no") -> DataFrame:
+    return pages_of(_node_chunks(nodes, order))
+
+
+def document_markdown(nodes: DataFrame, order: str = "node_no") -> DataFrame:
+    """(doc_id, markdown) of nodes in page and node order."""
+    return put_together(_node_chunks(nodes, order))
+
+
 def marked_text(pages: DataFrame) -> DataFrame:
     """(doc_id, text) of (doc_id, page_no, text): every page that isn't blank between markers with its number."""
     kept = pages.where(strip("text") != "")

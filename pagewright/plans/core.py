@@ -283,16 +283,21 @@ def header_parts(spark: SparkSession, d: str) -> DataFrame:
     return layout.header_parts(_regioned(spark, d))
 
 
-@query(
-    f"""WITH {Q.N}, {Q.P}, {Q.REGIONS}, {Q.columns(True)}, t AS (SELECT *, {Q.node_text()} AS t, {Q.any_span("s.is_bold")} AS bold, {Q.any_span("s.is_italic")} AS italic FROM ordered),
-    u AS (SELECT *, len({Q.words("t")}) AS k FROM t), v AS (SELECT *, (regexp_matches(t, {Q.q(X.METADATA)}) OR italic) AND k <= 16 AS meta FROM u),
-    x AS (SELECT *, lead(meta) OVER w AS m1, lead(k, 2) OVER w AS k2, row_number() OVER w AS place FROM v WINDOW w AS (PARTITION BY doc_id, page_no, region_id, col_no ORDER BY reading_order)),
+def _entries(source: str) -> str:
+    """Steps that end in ``o``: the rows of ``source`` with what opens, belongs to and ends an entry."""
+    return f"""et AS (SELECT *, {Q.node_text()} AS t, {Q.any_span("s.is_bold")} AS bold, {Q.any_span("s.is_italic")} AS italic FROM {source}),
+    eu AS (SELECT *, len({Q.words("t")}) AS k FROM et), ev AS (SELECT *, (regexp_matches(t, {Q.q(X.METADATA)}) OR italic) AND k <= 16 AS meta FROM eu),
+    ex AS (SELECT *, lead(meta) OVER w AS m1, lead(k, 2) OVER w AS k2, row_number() OVER w AS place FROM ev WINDOW w AS (PARTITION BY doc_id, page_no, region_id, col_no ORDER BY reading_order)),
     sc AS (SELECT *, round(CASE WHEN t <> '' AND length(t) <= 120 AND NOT regexp_matches(t, '\\.$') AND k <= 12 THEN CASE WHEN bold THEN 0.35 ELSE 0 END + CASE WHEN spans[1].font_size >= 10 THEN 0.15 ELSE 0 END
-      + CASE WHEN k <= 8 THEN 0.15 ELSE 0 END + CASE WHEN m1 THEN 0.25 ELSE 0 END + CASE WHEN k2 > 10 THEN 0.10 ELSE 0 END ELSE 0 END, 6) >= 0.6 AS high FROM x),
-    my AS (SELECT *, high AND kind NOT IN ('table', 'image', 'heading') AS may FROM sc), l AS (SELECT *, lag(may) OVER w AS before FROM my WINDOW w AS (PARTITION BY doc_id, page_no, region_id, col_no ORDER BY reading_order)),
-    b AS (SELECT *, max(CASE WHEN may AND NOT (meta AND coalesce(before, false)) THEN place END) OVER w AS begins FROM l WINDOW w AS (PARTITION BY doc_id, page_no, region_id, col_no ORDER BY reading_order)),
-    ti AS (SELECT *, may AND (place - begins) % 2 = 0 AS title FROM b), tk AS (SELECT *, coalesce(lag(title) OVER w, false) AND meta AS taken FROM ti WINDOW w AS (PARTITION BY doc_id, page_no, region_id, col_no ORDER BY reading_order)),
-    o AS (SELECT *, max(CASE WHEN title THEN place END) OVER w AS opened, max(CASE WHEN NOT taken AND (kind IN ('table', 'heading') OR kind = 'image' AND high) THEN place END) OVER w AS ended, sum(CASE WHEN title THEN 1 ELSE 0 END) OVER w AS entry FROM tk WINDOW w AS (PARTITION BY doc_id, page_no, region_id, col_no ORDER BY reading_order))
+      + CASE WHEN k <= 8 THEN 0.15 ELSE 0 END + CASE WHEN m1 THEN 0.25 ELSE 0 END + CASE WHEN k2 > 10 THEN 0.10 ELSE 0 END ELSE 0 END, 6) >= 0.6 AS high FROM ex),
+    my AS (SELECT *, high AND kind NOT IN ('table', 'image', 'heading') AS may FROM sc), el AS (SELECT *, lag(may) OVER w AS before FROM my WINDOW w AS (PARTITION BY doc_id, page_no, region_id, col_no ORDER BY reading_order)),
+    eb AS (SELECT *, max(CASE WHEN may AND NOT (meta AND coalesce(before, false)) THEN place END) OVER w AS begins FROM el WINDOW w AS (PARTITION BY doc_id, page_no, region_id, col_no ORDER BY reading_order)),
+    ti AS (SELECT *, may AND (place - begins) % 2 = 0 AS title FROM eb), tk AS (SELECT *, coalesce(lag(title) OVER w, false) AND meta AS taken FROM ti WINDOW w AS (PARTITION BY doc_id, page_no, region_id, col_no ORDER BY reading_order)),
+    o AS (SELECT *, max(CASE WHEN title THEN place END) OVER w AS opened, max(CASE WHEN NOT taken AND (kind IN ('table', 'heading') OR kind = 'image' AND high) THEN place END) OVER w AS ended, sum(CASE WHEN title THEN 1 ELSE 0 END) OVER w AS entry FROM tk WINDOW w AS (PARTITION BY doc_id, page_no, region_id, col_no ORDER BY reading_order))"""
+
+
+@query(
+    f"""WITH {Q.N}, {Q.P}, {Q.REGIONS}, {Q.columns(True)}, {_entries("ordered")}
     SELECT doc_id, page_no, node_no, CASE WHEN opened > coalesce(ended, 0) THEN CAST(entry AS INTEGER) END AS entry_no,
       CASE WHEN title THEN 'title' WHEN taken THEN 'metadata' WHEN NOT coalesce(opened > coalesce(ended, 0), false) THEN 'single' WHEN kind = 'list' THEN 'bullet' ELSE 'body' END AS part FROM o"""
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import udf as U
-from ..operators import editing, extract, from_text, plans, tables, words
+from ..operators import editing, extract, from_text, plans, structured, tables, words
 from ..sources import readers, writers
 from . import core
 from . import sql as Q
@@ -43,6 +43,37 @@ def layout_nodes(spark: SparkSession, d: str) -> DataFrame:
     return from_text.classified_nodes(e, sheets).select("doc_id", "page_no", "node_no", "kind", "role", "level")
 
 
+# ---- Markdown with headers and entries
+
+_SIZES = "coalesce(list_max(list_transform(spans, lambda s: coalesce(s.font_size, 0))), 0)"
+_PARTS = "CASE WHEN title THEN 'title' WHEN taken THEN 'metadata' WHEN NOT coalesce(opened > coalesce(ended, 0), false) THEN 'single' WHEN kind = 'list' THEN 'bullet' ELSE 'body' END"
+_STRUCTURED = f"""{Q.REGIONS}, {Q.columns(True)}, hs AS (SELECT *, {Q.node_text()} AS ht, {_SIZES} AS top, region_id = 0 AND is_full AS first FROM ordered), hm AS (SELECT *, max(CASE WHEN first THEN top END) OVER (PARTITION BY doc_id, page_no) AS largest FROM hs),
+  hp AS (SELECT *, CASE WHEN NOT first OR ht = '' THEN NULL WHEN top >= largest - 1 THEN 'name' WHEN regexp_matches(ht, {Q.q(X.CONTACT)}) OR contains(lower(ht), 'address') THEN 'contact' WHEN top >= largest - 6 AND bbox.y0 <= 150 THEN 'title' ELSE 'body' END AS hpart FROM hm),
+  hf AS (SELECT *, coalesce(bool_or(hpart IN ('name', 'title', 'contact')) OVER (PARTITION BY doc_id, page_no), false) AS found FROM hp),
+  hd2 AS (SELECT doc_id, page_no, {", ".join(f"coalesce(flatten(list(spans ORDER BY reading_order) FILTER (WHERE hpart = '{p}')), []) AS {p}" for p in ("name", "title", "contact"))} FROM hf WHERE hpart IN ('name', 'title', 'contact') GROUP BY ALL),
+  head AS (SELECT doc_id, page_no, -1 AS a, 0 AS b, 0 AS c, {Q.joined(Q.chunk(Q.q("# "), Q.strip(f"replace({Q.spans('name')}, '**', '')")), Q.chunk(Q.q("## "), Q.strip(f"replace({Q.spans('title')}, '**', '')")), Q.chunk(Q.q(""), Q.spans("contact")))} AS chunk FROM hd2),
+  kept AS (SELECT * EXCLUDE (ht, top, first, largest, found) FROM hf WHERE NOT first OR NOT found OR hpart = 'body'), {core._entries("kept")},
+  pt AS (SELECT *, {_PARTS} AS part, CASE WHEN opened > coalesce(ended, 0) THEN entry END AS no FROM o), pe AS (SELECT *, CASE WHEN no IS NULL THEN reading_order ELSE min(reading_order) OVER (PARTITION BY doc_id, page_no, region_id, col_no, no) END AS a, {Q.spans("spans")} AS own FROM pt),
+  body AS (SELECT doc_id, page_no, a, CASE part WHEN 'metadata' THEN 1 WHEN 'body' THEN 2 WHEN 'bullet' THEN 3 ELSE 0 END AS b, reading_order AS c, CASE WHEN part = 'title' THEN {Q.chunk(Q.q("### "), "own")} WHEN part = 'metadata' AND own <> '' THEN chr(10) || '*' || own || '*' || chr(10)
+      WHEN part = 'bullet' THEN {Q.chunk(Q.q(""), Q.listed())} WHEN part IN ('metadata', 'body') THEN {Q.chunk(Q.q(""), "own")} WHEN coalesce(role, '') NOT IN ('header', 'footer', 'page_number', 'watermark', 'annotation') THEN {Q.node()} END AS chunk FROM pe),
+  every AS (SELECT * FROM head UNION ALL SELECT * FROM body)
+SELECT doc_id, {Q.strip("string_agg(chunk, chr(10) ORDER BY page_no, a, b, c)")} || chr(10) AS markdown FROM every WHERE chunk <> '' GROUP BY doc_id"""
+
+
+@query(f"WITH {Q.N}, {Q.P}, {_STRUCTURED}")
+def structured_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with a header of name, title and contact, and entries with what belongs to them."""
+    return structured.structured_markdown(core._nodes(spark, d), core._pages(spark, d))
+
+
+@query(f"WITH {_LAID_OUT}, {_STRUCTURED}")
+def layout_markdown_structured(spark: SparkSession, d: str) -> DataFrame:
+    """The same from plain texts."""
+    e = from_text.line_elements(core._t(spark, d, "documents"))
+    sheets = e.select("doc_id", "page_no").distinct().withColumns({"width": F.lit(from_text.WIDTH), "height": F.lit(from_text.HEIGHT)})
+    return structured.structured_markdown(from_text.classified_nodes(e, sheets), sheets)
+
+
 # ---- extraction and compiling
 
 

@@ -66,9 +66,13 @@ def chunk(prefix: str, x: str) -> str:
     return f"CASE WHEN ({x}) <> '' THEN chr(10) || {prefix} || ({x}) || chr(10) ELSE '' END"
 
 
+def joined(*chunks: str) -> str:
+    return f"array_to_string(list_filter([{', '.join(chunks)}], lambda c: c <> ''), chr(10))"
+
+
 def node() -> str:
     name, title = (strip(f"replace({spans(c)}, '**', '')") for c in ("name_spans", "title_spans"))
-    header = f"({chunk(q('# '), name)}) || ({chunk(q('## '), title)}) || ({chunk(q(''), spans('contact_spans'))})"
+    header = joined(chunk(q("# "), name), chunk(q("## "), title), chunk(q(""), spans("contact_spans")))
     marks = "repeat('#', greatest(1, least(6, coalesce(level, 1)))) || ' '"
     return f"""CASE WHEN kind = 'header_semantic' THEN {header} WHEN kind = 'heading' THEN {chunk(marks, spans("spans"))} WHEN kind = 'list' THEN {chunk(q(""), listed())}
       WHEN kind = 'table' THEN {chunk(q(""), table())} WHEN role = 'annotation' THEN {chunk(q("> **[Comment]**: "), spans("spans"))} ELSE {chunk(q(""), spans("spans"))} END"""

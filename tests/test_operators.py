@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as X
 from pagewright.functions import udf as U
-from pagewright.operators import editing, extract, from_text, layout, pages, plans, render, service, source_facts, spatial, tables
+from pagewright.operators import editing, extract, from_text, layout, pages, plans, render, service, source_facts, spatial, structured, tables
 from pagewright.schema import SPAN
 from pagewright.sources import readers, store, writers
 
@@ -174,6 +174,16 @@ def test_entries(spark, page):
     assert [p for _, p in entries(spark, page, dated, dated, dated, dated, long)] == ["title", "metadata", "title", "metadata", "body"]
 
 
+def test_structured_pages(spark, page):
+    rows = [
+        node(0, (50, 40, 550, 70), "Jane Doe", size=24.0, bold=True), node(1, (50, 75, 550, 90), "jane@post.test"), node(2, (50, 92, 550, 99), "", kind="table", headers=["lost"], spans=[]), node(3, (50, 200, 250, 210), "Senior Engineer", bold=True), node(4, (50, 220, 250, 230), "2019, Berlin"),
+        node(5, (50, 240, 250, 250), "x", kind="list", items=[([("Did this", False, False, False, 11.0, "helv", None)], 0, None)]), node(6, (50, 260, 250, 270), "word " * 14), node(7, (350, 200, 550, 210), "Aside", role="footer"), node(8, (350, 220, 550, 230), "Note. Stays."),
+    ]
+    (row,) = structured.structured_markdown(nodes(spark, rows), page).collect()
+    words = ("word " * 14).strip()
+    assert row.markdown == f"# Jane Doe\n\n\njane@post.test\n\n\n### **Senior Engineer**\n\n\n*2019, Berlin*\n\n\n{words}\n\n\n- Did this\n\n\nNote. Stays.\n"
+
+
 def test_extraction_takes_native_lines_or_words(spark):
     line = "doc_id string, page_no int, line_no int, text string, x double, y double, width double, height double, size double, font string, text_color string"
     lines = spark.createDataFrame([("d", 1, 0, " Native ", 1.0, 1.0, 50.0, 10.0, 11.26, None, None), ("d", 1, 1, "Native", 1.0, 1.5, 50.0, 10.0, None, "f", "#111111"), ("d", 1, 2, "flat", 1.0, 40.0, 50.0, 0.0, 9.0, "f", None), ("d", 2, 0, "hidden", 1.0, 1.0, 5.0, 5.0, 9.0, "f", None)], line)
