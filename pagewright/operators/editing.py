@@ -109,7 +109,7 @@ DIFF_SCHEMA = "operation string, original_start int, original_end int, original_
 @F.pandas_udf(T.ArrayType(struct(DIFF_SCHEMA)))
 def diff_udf(original: pd.Series, edited: pd.Series) -> pd.Series:
     names = [f.split(" ")[0] for f in DIFF_SCHEMA.split(", ")]
-    return pd.Series([[dict(zip(names, d, strict=True)) for d in diff(a, b)] for a, b in zip(original, edited, strict=True)])
+    return pd.Series([[] if a is b is None else [dict(zip(names, d, strict=True)) for d in diff(a, b)] for a, b in zip(original, edited, strict=True)])
 
 
 def diff_ops(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,7 +126,7 @@ def changes(elements: DataFrame) -> DataFrame:
     """The dirty elements with ``changes``: their differences, or what a change of style alone applies to.
 
     That is the given part, at a selection within the text or at its first place; nothing where the part
-    isn't there; the whole text where no part is given.  Only changed texts go through Python.
+    isn't there; the whole text where no part is given.  Only changed texts are compared in Python.
     """
     rows = elements.where(dirty())
     original, edited, part = (F.coalesce(c, F.lit("")) for c in ("original_text", "text", "target_substring"))
@@ -140,40 +140,49 @@ def changes(elements: DataFrame) -> DataFrame:
         return F.array(F.struct(F.lit("replace"), start, end, old, start, edited_end, new, F.lit(False))).cast(CHANGE)
 
     style = F.when(part == "", one(F.lit(0), n, original, F.length(edited), edited)).when(at >= 0, one(start, end, part, end, part)).otherwise(F.array().cast(CHANGE))
-    same = original == edited
-    changed = rows.where(~same).withColumn("changes", diff_udf("original_text", "text").cast(CHANGE))
-    return changed.unionByName(rows.where(same).withColumn("changes", F.array().cast(CHANGE))).withColumn("changes", F.when(F.size("changes") > 0, F.col("changes")).otherwise(style))
+    # Equal texts reach Python as nulls.
+    differ = original != edited
+    rows = rows.withColumn("changes", diff_udf(F.when(differ, original), F.when(differ, edited)).cast(CHANGE))
+    return rows.withColumn("changes", F.when(F.size("changes") > 0, F.col("changes")).otherwise(style))
 
 
-def chars_of(lines: DataFrame) -> DataFrame:
-    """Lines (doc_id, page_no, line_no, text, x, y, width, height, font, size) with ``chars``, an array of their characters.
+def spread_chars(line: str = "") -> Column:
+    """The characters of a line (text, x, y, width, height, font, size; columns, or fields of a struct), spread evenly over it.
 
-    Where a page's characters have no boxes of their own they are spread evenly over their line; the base lies at 85 % of its height.
+    Each has its box, its base at 85 % of the height, and the line's font and size.  For pages whose characters have no boxes.
     """
-    step = F.col("width") / F.greatest(F.length("text"), F.lit(1))
+    at = {k: F.col(f"{line}.{k}" if line else k) for k in ("text", "x", "y", "width", "height", "font", "size")}
+    step = at["width"] / F.greatest(F.length(at["text"]), F.lit(1))
 
     def char(c: Column, i: Column) -> Column:
-        x0 = F.col("x") + i * step
-        return F.struct(c.alias("c"), x0.alias("x0"), F.col("y").alias("y0"), (x0 + step).alias("x1"), (F.col("y") + F.col("height")).alias("y1"), (F.col("y") + 0.85 * F.col("height")).alias("base"), F.col("font").alias("font"), F.col("size").alias("size"))
+        x0 = at["x"] + i * step
+        return F.struct(c.alias("c"), x0.alias("x0"), at["y"].alias("y0"), (x0 + step).alias("x1"), (at["y"] + at["height"]).alias("y1"), (at["y"] + 0.85 * at["height"]).alias("base"), at["font"].alias("font"), at["size"].alias("size"))
+
+    return F.transform(F.split(at["text"], ""), char)
 
-    return lines.where(F.length("text") > 0).withColumn("chars", F.transform(F.split("text", ""), char))
+
+def chars_of(lines: DataFrame) -> DataFrame:
+    """Lines that hold text, with ``chars``."""
+    return lines.where(F.length("text") > 0).withColumn("chars", spread_chars())
 
 
 def edit_targets(elements: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """One row a change of every dirty element: which characters of which line it concerns.
 
-    ``lines`` have ``chars``, as those of ``chars_of``; without them the elements' own originals are the lines.  A change
+    ``lines`` have ``chars``, as those of ``chars_of``; without ``lines`` the elements' own originals are the lines.  A change
     is ``exact`` where its characters are found in the matched line; an insertion lies behind the character
     before it.  Else the whole element stands for it (``line_fallback``).
     """
     from .spatial import line_matches
 
-    if lines is None:
-        lines = chars_of(elements.select(*PAGE, F.col("element_no").alias("line_no"), F.coalesce("original_text", "text").alias("text"), "x", "y", "width", "height", "font", "size"))
-    rows = changes(elements)
-    own = line_matches(rows.where(F.size("changes") > 0), lines)
-    ops = rows.select(*PAGE, "element_no", "x", "y", "width", "height", "font", "size", F.posexplode("changes").alias("target_no", "op"))
-    ops = ops.join(own, [*PAGE, "element_no"], "left").join(lines.select(*PAGE, "line_no", "chars"), [*PAGE, "line_no"], "left")
+    spread = lines is None
+    if spread:
+        lines = elements.select(*PAGE, F.col("element_no").alias("line_no"), F.coalesce("original_text", "text").alias("text"), "x", "y", "width", "height", "font", "size").where(F.length("text") > 0)
+    own = line_matches(elements.where(dirty()), lines)
+    # A matched line's characters are made for its changes only.
+    named = lines.select(*PAGE, "line_no", F.struct(*[F.col(c) for c in lines.columns if c not in (*PAGE, "line_no")]).alias("line"))
+    ops = changes(elements).select(*PAGE, "element_no", "x", "y", "width", "height", "font", "size", F.posexplode("changes").alias("target_no", "op"))
+    ops = ops.join(own.where("line_no IS NOT NULL").join(named, [*PAGE, "line_no"]), [*PAGE, "element_no"], "left").withColumn("chars", spread_chars("line") if spread else F.col("line.chars"))
     chars, n = F.col("chars"), F.coalesce(F.size("chars"), F.lit(0))
     first, past, insert = F.col("op.original_start"), F.col("op.original_end"), F.col("op.operation") == "insert"
     found = F.col("chars").isNotNull() & (n > 0)

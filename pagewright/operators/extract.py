@@ -16,8 +16,8 @@ ELEMENT = ["element_no", "text", "x", "y", "width", "height", "size", "font", "t
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
-    """Without repeated elements of a page (``first_of_near``)."""
-    return rows.join(first_of_near(rows), [*PAGE, "element_no"], "left_semi")
+    """Without repeated elements of a page."""
+    return first_of_near(rows, [c for c in ELEMENT if c != "element_no"])
 
 
 def native_elements(lines: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def ocr_elements(words: DataFrame) -> DataFrame:
     The size is that of the tallest word's em square.  Weight and colour would need the page's pixels.
     """
     kept = words.select(*PAGE, "word_no", "text", "conf", "x0", "y0", "x1", "y1").where((strip("text") != "") & valid_word(F.col("text"), F.col("conf")))
-    rows = kept.join(cluster_words(kept), [*PAGE, "word_no"]).groupBy(*PAGE, "line_no").agg(
+    rows = cluster_words(kept, ["text", "x0", "y0", "x1", "y1"]).groupBy(*PAGE, "line_no").agg(
         F.sort_array(F.collect_list(F.struct("x0", "word_no", "text"))).alias("ws"), F.min("x0").alias("x"), F.min("y0").alias("y"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max(F.col("y1") - F.col("y0")).alias("tall")
     )
     rows = rows.withColumn("text", strip(F.array_join(F.transform("ws", lambda w: w["text"]), " "))).withColumns({"width": F.col("x1") - F.col("x"), "height": F.col("y1") - F.col("y")})

@@ -61,16 +61,19 @@ def content_class(chars: Column, image_ratio: Column, text_ratio: Column) -> Col
 
 def base_font_size(elements: DataFrame) -> DataFrame:
     """Per document the size, to one digit, that most characters have; of equal ones the first seen; 10 where there are none."""
-    n = F.length(strip("text"))
-    counted = elements.select("doc_id", F.when((n > 0) & F.col("size").isNotNull(), F.round("size", 1)).alias("size"), n.alias("n"), F.struct("page_no", "element_no").alias("at"))
+    counted = elements.select("doc_id", "size", F.length(strip("text")).alias("n"), F.struct("page_no", "element_no").alias("at"))
+    counted = counted.withColumn("size", F.when((F.col("n") > 0) & F.col("size").isNotNull(), F.round("size", 1)))
     weights = counted.groupBy("doc_id", "size").agg(F.sum("n").alias("weight"), F.min("at").alias("first"))  # combined before the shuffle
     rank = F.when(F.col("size").isNotNull(), F.struct(-F.col("weight"), "first"))
     return weights.groupBy("doc_id").agg(F.coalesce(F.min_by("size", rank), F.lit(10.0)).alias("base_size"))
 
 
-def bands(elements: DataFrame, pages: DataFrame) -> DataFrame:
-    """Elements with their stripped text and band: header in the top 8 %, else footer in the last 10 %."""
-    e = elements.join(pages.select(*PAGE, F.col("width").alias("page_width"), F.col("height").alias("page_height")), PAGE)
+def bands(elements: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Elements with their stripped text and band: header in the top 8 %, else footer in the last 10 %.
+
+    Without ``pages`` the elements have page_width and page_height themselves.
+    """
+    e = elements if pages is None else elements.join(pages.select(*PAGE, F.col("width").alias("page_width"), F.col("height").alias("page_height")), PAGE)
     band = F.when(F.col("y") + F.col("height") <= 0.08 * F.col("page_height"), "header").when(F.col("y") >= 0.90 * F.col("page_height"), "footer")
     return e.withColumn("band", band).withColumn("line", strip("text"))
 
@@ -97,8 +100,8 @@ def watermark_score(text: Column, x0: Column, y0: Column, x1: Column, y1: Column
     return total
 
 
-def content_roles(banded: DataFrame, repeated: DataFrame, base: DataFrame) -> DataFrame:
-    """(keys, role): watermark, header, page_number, footer or primary."""
+def content_roles(banded: DataFrame, repeated: DataFrame, base: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(keys, role, columns to keep): watermark, header, page_number, footer or primary."""
     rep = repeated.select("doc_id", "band", "line", F.lit(True).alias("again"))
     rows = banded.join(rep, ["doc_id", "band", "line"], "left").join(base, "doc_id")
     again = F.coalesce("again", F.lit(False))
@@ -113,4 +116,4 @@ def content_roles(banded: DataFrame, repeated: DataFrame, base: DataFrame) -> Da
         .when((F.col("band") == "footer") & again, "footer")
         .otherwise("primary")
     )
-    return rows.select("doc_id", "page_no", "element_no", role.alias("role"))
+    return rows.select("doc_id", "page_no", "element_no", role.alias("role"), *(keep or []))

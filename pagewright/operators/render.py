@@ -11,8 +11,9 @@ HIDDEN = ("header", "footer", "page_number", "watermark")
 
 
 def chunk(prefix: Column, text: Column) -> Column:
-    """A chunk stands between line breaks; nothing stands for an empty text."""
-    return F.when(text != "", F.concat(F.lit("\n"), prefix, text, F.lit("\n"))).otherwise("")
+    """A chunk stands between line breaks; nothing stands for an empty text.  The text is worked out once."""
+    some = F.get(F.filter(F.array(text), lambda t: t != ""), F.lit(0))
+    return F.coalesce(F.concat(F.lit("\n"), prefix, some, F.lit("\n")), F.lit(""))
 
 
 def joined(chunks: list[Column]) -> Column:
@@ -46,13 +47,13 @@ def pages_of(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "chunk"))), lambda x: x["chunk"]), "\n").alias("markdown"))
 
 
-def put_together(chunks: DataFrame) -> DataFrame:
-    """(doc_id, markdown): pages in their order, joined by line breaks, stripped, with one at the end.
+def documents_of(pages: DataFrame) -> DataFrame:
+    """(doc_id, markdown) of (doc_id, page_no, markdown): pages in their order, joined by line breaks, stripped, with one at the end.
 
     Pages are joined first and documents then.  A document becomes one value; where documents may be longer than
     a value should be, ``pages_of`` and the sink ``write_pages`` do without.
     """
-    docs = pages_of(chunks).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "markdown"))), lambda x: x["markdown"]), "\n").alias("text"))
+    docs = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "markdown"))), lambda x: x["markdown"]), "\n").alias("text"))
     return docs.select("doc_id", F.concat(strip("text"), F.lit("\n")).alias("markdown"))
 
 
@@ -66,7 +67,7 @@ def page_markdown(nodes: DataFrame, order: str = "node_no") -> DataFrame:
 
 def document_markdown(nodes: DataFrame, order: str = "node_no") -> DataFrame:
     """(doc_id, markdown) of nodes in page and node order."""
-    return put_together(_node_chunks(nodes, order))
+    return documents_of(page_markdown(nodes, order))
 
 
 def marked_text(pages: DataFrame) -> DataFrame:

@@ -230,8 +230,8 @@ _HEADING_SQL = f"""CASE WHEN t IS NULL OR t = '' OR regexp_matches(t, '[.,;]$')
 )
 def heading_levels(spark: SparkSession, d: str) -> DataFrame:
     e = _elements(spark, d)
-    rows = e.join(pages.base_font_size(e), "doc_id")
-    return rows.select("doc_id", "page_no", "element_no", layout.heading_level(F.col("text"), F.col("size"), F.col("base_size"), F.coalesce("bold", F.lit(False)), F.lit(True)).alias("level"))
+    rows = e.join(pages.base_font_size(e), "doc_id").withColumn("t", X.strip("text"))
+    return rows.select("doc_id", "page_no", "element_no", layout.heading_level(F.col("t"), F.col("size"), F.col("base_size"), F.coalesce("bold", F.lit(False)), F.lit(True)).alias("level"))
 
 
 @query(

@@ -38,9 +38,7 @@ def layout_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LAID_OUT} SELECT doc_id, page_no, node_no, kind, role, level FROM n")
 def layout_nodes(spark: SparkSession, d: str) -> DataFrame:
-    e = from_text.line_elements(core._t(spark, d, "documents"))
-    sheets = e.select("doc_id", "page_no").distinct().withColumns({"width": F.lit(from_text.WIDTH), "height": F.lit(from_text.HEIGHT)})
-    return from_text.classified_nodes(e, sheets).select("doc_id", "page_no", "node_no", "kind", "role", "level")
+    return from_text.classified_nodes(from_text.line_elements(core._t(spark, d, "documents"))).select("doc_id", "page_no", "node_no", "kind", "role", "level")
 
 
 # ---- Markdown with headers and entries
@@ -69,9 +67,7 @@ def structured_markdown(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_LAID_OUT}, {_STRUCTURED}")
 def layout_markdown_structured(spark: SparkSession, d: str) -> DataFrame:
     """The same from plain texts."""
-    e = from_text.line_elements(core._t(spark, d, "documents"))
-    sheets = e.select("doc_id", "page_no").distinct().withColumns({"width": F.lit(from_text.WIDTH), "height": F.lit(from_text.HEIGHT)})
-    return structured.structured_markdown(from_text.classified_nodes(e, sheets), sheets)
+    return structured.structured_markdown(from_text.classified_nodes(from_text.line_elements(core._t(spark, d, "documents"))))
 
 
 # ---- extraction and compiling
