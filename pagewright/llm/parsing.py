@@ -242,7 +242,7 @@ def python_lines(source: str) -> Iterator[list[str] | str]:
     """Logical lines as token kinds, and INDENT and DEDENT; raises on what the tokeniser rejects."""
     line: list[str] = []
     raw_parts: list[bool] = []  # of the f-strings that are open, whether they are raw
-    previous = ""
+    previous, end = "", (0, 0)
     for t in tokenize.generate_tokens(io.StringIO(source).readline):
         kind = t.type
         if kind in (tokenize.COMMENT, tokenize.NL):
@@ -257,7 +257,7 @@ def python_lines(source: str) -> Iterator[list[str] | str]:
             yield "DEDENT"
         elif kind == tokenize.NAME:
             if previous == "!" and raw_parts:
-                line.append("CONVERSION" if t.string in ("s", "r", "a") else "ERROR")
+                line.append("CONVERSION" if t.string in ("s", "r", "a") and t.start == end else "ERROR")
             elif keyword.iskeyword(t.string) or t.string in _SOFT or t.string in _STATEMENTS_2:
                 line.append(t.string)
             else:
@@ -284,7 +284,7 @@ def python_lines(source: str) -> Iterator[list[str] | str]:
                 yield line
         else:
             line.append(t.string if kind == tokenize.OP else "ERROR")
-        previous = t.string
+        previous, end = t.string, t.end
 
 
 _STARTS: dict[str, tuple[str, ...]] = {

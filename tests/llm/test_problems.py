@@ -48,7 +48,7 @@ def refuse(constant):
 
 
 PYTHON = ["x = 1", "def f(a, /, b=1, *, c, **d): return a", "match x:\n case [1, *r] if r: pass\n case {'a': b, **c}: pass\n", "f'{a!r:>{w}}'", "type X[T] = list[T]", "with (a as b, c): pass", "print(*a, b=1)", "match = 1; case = 2", "x: int = (yield)", "async def f():\n async for x in y: await z\n", "", "#\n", "try: a\nexcept* E: b"]
-NOT_PYTHON = ["print 'x'", "def f(a=1, b): pass", "f(a=1, b)", "x := 1", "except E, e: pass", "if x:\npass", "'\\x1'", "b'é'", "'a' b'b'", "f'{}'", "f'{a!z}'", "(", "x = = 1", "None = 1", "0777", "a = 1 2", "<<<<<<< ours\n", "f(x for x in y, 1)", "class", "\tx\n        y", "del f()", "a\0b"]
+NOT_PYTHON = ["print 'x'", "def f(a=1, b): pass", "f(a=1, b)", "x := 1", "except E, e: pass", "if x:\npass", "'\\x1'", "b'é'", "'a' b'b'", "f'{}'", "f'{a!z}'", "f'{a! r}'", "(", "x = = 1", "None = 1", "0777", "a = 1 2", "<<<<<<< ours\n", "f(x for x in y, 1)", "class", "\tx\n        y", "del f()", "a\0b"]
 
 
 @pytest.mark.parametrize("source", PYTHON + NOT_PYTHON)
