@@ -637,7 +637,7 @@ def font_variants(spark: SparkSession, d: str) -> DataFrame:
     '#' || lower(lpad(to_hex((page_no * 65793 + element_no) & 16777215), 6, '0')) AS as_hex FROM v"""
 )
 def colors(spark: SparkSession, d: str) -> DataFrame:
-    rows = _elements(spark, d).select("doc_id", "page_no", "element_no", G.hex_channels(F.col("text_color")).alias("c"), G.color_hex(F.col("page_no") * 65793 + F.col("element_no")).alias("as_hex"))
+    rows = _elements(spark, d).select("doc_id", "page_no", "element_no", G.hex_channels(F.col("text_color")).alias("c"), G.color_hex(F.col("page_no").cast("long") * 65793 + F.col("element_no")).alias("as_hex"))
     return rows.select("doc_id", "page_no", "element_no", "c.r", "c.g", "c.b", "as_hex")
 
 

@@ -42,3 +42,11 @@ def test_query(spark, engine, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert Counter(tuple(plain(r[c]) for c in columns) for r in rows) == Counter(tuple(plain(r[i]) for i in order) for r in result.fetchall())
+
+
+def test_colors_of_high_page_numbers(spark, tmp_path):
+    """Page 41,660 stands in a table of 100 times sf0.1; its product with 65,793 is beyond 32 bits."""
+    rows = spark.read.parquet(f"{DATA}/elements.parquet").limit(1)
+    rows.selectExpr("* EXCEPT (page_no, element_no)", "explode(array(1, 41660, 2147483647)) AS page_no", "2147483647 AS element_no").write.parquet(f"{tmp_path}/elements.parquet")
+    got = {r.page_no: r.as_hex for r in core.QUERIES["colors"](spark, str(tmp_path)).collect()}
+    assert got == {p: f"#{(p * 65793 + 2147483647) & 0xFFFFFF:06x}" for p in (1, 41660, 2147483647)}
