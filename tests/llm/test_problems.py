@@ -357,6 +357,36 @@ def test_short_words_are_misread_too(spark):
     assert got == {"thc": {"the"}, "dcs": {"des"}}
 
 
+def test_long_words_are_misread_too(spark):
+    # Two edits in 28 letters, one and two in over 40, and one that leads from 41 letters to 40.
+    ship, law, forty = "donaudampfschiffahrtskapitän", "rindfleischetikettierungsüberwachungsaufgabenübertragung", "m" + "bad" * 13
+    wrong = {"clonaudarnpfschiffahrtskapitän": ship, law.replace("d", "cl", 1): law, law.replace("w", "vv").replace("ragung", "raguug"): law, "rn" + "bad" * 13: forty}
+    assert len(ship) > 24 and len(law) > 40 and len(forty) == 40
+    lines = [(w, None, None) for w in (ship, law, forty) for _ in range(20)] + [(w, None, None) for w in wrong]
+    words = scanned.word_counts(spark.createDataFrame(lines, "text string, before string, after string")).cache()
+    assert {r.word: r.n for r in words.collect()} == {ship: 20, law: 20, forty: 20} | dict.fromkeys(wrong, 1)
+    got = {r.word: [(x.right, x.n) for x in r.rights] for r in scanned.misreadings(words).collect()}
+    assert got == {w: [(right, 20)] for w, right in wrong.items()}
+
+
+def test_digests_of_edited_words():
+    rng = random.Random(3)
+    for n in (5, 39, 40, 41, 42, 90):
+        w = "".join(rng.choice("abcdrnmiltuvwпи10") for _ in range(n))
+        forms = [(w[:i] + b + w[j:], i, j) for i in range(n) for k in (1, 2, 3) for b in scanned._BY_SHOWN.get(w[i : i + k], ()) for j in (i + k,) if j <= n]
+        assert list(scanned.edits(w)) == [(scanned.word_key(x), i, j) for x, i, j in forms]
+        assert all(scanned.word_key(w) in {k for k, _, _ in scanned.edits(x, scanned._BY_RIGHT)} for x, _, _ in forms[:5])
+
+
+def test_a_word_of_very_many_letters(spark):
+    rng = random.Random(4)
+    right = "".join(rng.choice("abcdeghkmopqrst") for _ in range(20_000))
+    i, j = right.index("m", 100), right.index("d", 15_000)
+    word = f"{right[:i]}rn{right[i + 1 : j]}cl{right[j + 1 :]}"
+    got = scanned.misreadings(spark.createDataFrame([(right, 50), (word, 1)], "word string, n long")).collect()
+    assert [(r.word, [x.asDict() for x in r.rights]) for r in got] == [(word, [{"right": right, "n": 50, "start": i, "end": i + 2}])]
+
+
 # ---- 7
 
 
